@@ -139,11 +139,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    doc = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    doc = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
     j = lab.join(doc, "doc_id", "inner")
     return j.select(
         "doc_id",
         F.col("source").alias("fold"),
+        F.col("lang").alias("dataset"),
         F.col("quality").cast("double").alias("y_true"),
         ((F.col("n_chars") % 1000) / 1000.0).alias("y_prob"),
     )
