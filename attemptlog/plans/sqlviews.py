@@ -85,8 +85,8 @@ VIEWS = {
     arg_min(p_name, p_partkey) AS prompt,
     {_flags_sql(FLAGS_A)}
   FROM part GROUP BY p_partkey % 40""",
-    "vectors": """SELECT vec_id AS id, label AS student_id,
-    list_transform(embedding, x -> CAST(x AS DOUBLE)) AS vec FROM embeddings""",
+    "vectors": """SELECT vec_id AS id, CAST(label AS BIGINT) AS student_id,
+    CAST(embedding AS DOUBLE[]) AS vec FROM embeddings""",
     "predictions": """SELECT l.doc_id, d.source AS fold, d.lang AS dataset, CAST(l.quality AS DOUBLE) AS y_true,
     (d.n_chars % 1000) / 1000.0 AS y_prob
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
