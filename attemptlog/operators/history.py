@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from attemptlog.functions.textfn import clean_prompt
 from attemptlog.functions.timefn import normalise_zone
 from attemptlog.operators.attempts import attempt_rows, invert_labels, trim_after_best
+from attemptlog.session import cut_lineage
 
 
 # ---------------------------------------------------------------------------
@@ -177,22 +178,26 @@ def truncate_history(df: DataFrame, n: int = 30,
 # ---------------------------------------------------------------------------
 
 
-def prepare_submissions(subs: DataFrame, questions: DataFrame, n_hist: int = 30,
-                        n_last: int = 50, order: Sequence[str] = ("ts",),
-                        keys: Sequence[str] = ("student_id", "course_id", "problem_id"),
-                        q: float = 0.75, perfect: float = 100.0, sentinel: float = -1.0,
-                        valid_n: int = 31, valid_max_bad: int = 30,
-                        question_keys: Sequence[str] = ("problem_id",),
-                        code: str | None = "code_id") -> DataFrame:
-    """K2: submissions -> one row per (student, course, target task).
-
-    F2 -> A1 -> W3 -> A5 -> P8 -> J4 -> K3 -> W1 -> W2 -> A4 -> J6 -> P11.
-    ``questions`` has ``id``, ``type``, ``prompt``; ``question_keys`` are the
-    attempt columns matched to ``id`` (add ``course_id`` for a two-key match).
+def submission_stages(subs: DataFrame, questions: DataFrame, n_hist: int = 30,
+                      n_last: int = 50, order: Sequence[str] = ("ts",),
+                      keys: Sequence[str] = ("student_id", "course_id", "problem_id"),
+                      q: float = 0.75, perfect: float = 100.0, sentinel: float = -1.0,
+                      valid_n: int = 31, valid_max_bad: int = 30,
+                      question_keys: Sequence[str] = ("problem_id",),
+                      code: str | None = "code_id") -> dict:
+    """The stages of K2, each a DataFrame: ``tasks`` (valid, labelled task
+    table), ``numbered`` (with the task number), ``history`` (per student and
+    course) and ``final`` (the output contract).
+
+    The task table and the numbered table feed several branches (validity,
+    percentile, history/targets); both are checkpointed into the shared
+    checkpoint folder so the branches read a materialised table instead of
+    re-running the attempt plan, and a lost executor never forces a recompute
+    of the whole chain.
     """
     keys = list(keys)
     group = [k for k in keys if k != "problem_id"]
-    tasks = task_table(subs, keys, list(order), trim="all", perfect=perfect, code=code)
+    tasks = cut_lineage(task_table(subs, keys, list(order), trim="all", perfect=perfect, code=code))
     ok = valid_students(tasks, group=group, n=valid_n, max_bad=valid_max_bad,
                         sentinel=sentinel)
     tasks = tasks.join(ok, "student_id", "left_semi") \
@@ -203,7 +208,7 @@ def prepare_submissions(subs: DataFrame, questions: DataFrame, n_hist: int = 30,
     qsel = qs.select(*[F.col(c) for c in qs.columns if c not in qkeys or c == "id"])
     tasks = tasks.join(qsel, cond[0] if len(cond) == 1 else cond, "inner").drop("id")
     labelled = label_struggle(tasks, q=q, perfect=perfect)
-    numbered = number_tasks(labelled, group=group, order=("end_time", "problem_id"))
+    numbered = cut_lineage(number_tasks(labelled, group=group, order=("end_time", "problem_id")))
     early, late = early_late(numbered, n_hist, n_last)
     hist = build_history(early, group=group, code=code is not None)
     out = attach_history(late, hist, group).filter(F.col("num_tasks") == n_hist)
@@ -212,7 +217,25 @@ def prepare_submissions(subs: DataFrame, questions: DataFrame, n_hist: int = 30,
     out = invert_labels(out)
     cols = group + ["new_task_id", "max_score", "new_task", "prev_tasks_id",
                     *(["prev_tasks"] if code else []), "prev_scores", "prev_labels", "Label"]
-    return out.select(*cols, F.col("row_number").alias("task_number"))
+    final = out.select(*cols, F.col("row_number").alias("task_number"))
+    return {"tasks": labelled, "numbered": numbered, "history": hist, "final": final}
+
+
+def prepare_submissions(subs: DataFrame, questions: DataFrame, n_hist: int = 30,
+                        n_last: int = 50, order: Sequence[str] = ("ts",),
+                        keys: Sequence[str] = ("student_id", "course_id", "problem_id"),
+                        q: float = 0.75, perfect: float = 100.0, sentinel: float = -1.0,
+                        valid_n: int = 31, valid_max_bad: int = 30,
+                        question_keys: Sequence[str] = ("problem_id",),
+                        code: str | None = "code_id") -> DataFrame:
+    """K2: submissions -> one row per (student, course, target task).
+
+    F2 -> A1 -> W3 -> A5 -> P8 -> J4 -> K3 -> W1 -> W2 -> A4 -> J6 -> P11.
+    ``questions`` has ``id``, ``type``, ``prompt``; ``question_keys`` are the
+    attempt columns matched to ``id`` (add ``course_id`` for a two-key match).
+    """
+    return submission_stages(subs, questions, n_hist, n_last, order, keys, q, perfect,
+                             sentinel, valid_n, valid_max_bad, question_keys, code)["final"]
 
 
 # ---------------------------------------------------------------------------
@@ -242,8 +265,8 @@ def prepare_event_log(events: DataFrame, code: DataFrame, early: DataFrame, late
     ev = ev.join(code, "code_id", "inner")                                 # J1 + J2
     if zone and zone in ev.columns:
         ev = ev.withColumn("ts", normalise_zone("ts", zone))               # F4
-    tasks = task_table(ev, keys, list(order), trim="code_if_perfect", perfect=perfect,
-                       code="code")
+    tasks = cut_lineage(task_table(ev, keys, list(order), trim="code_if_perfect",
+                                   perfect=perfect, code="code"))
     q = questions.withColumnRenamed("id", "problem_id")
     qkeys = [k for k in keys if k in q.columns and k != "student_id"]
     tasks = tasks.join(q.select(*qkeys, "prompt"), qkeys, "inner")         # J3

@@ -8,16 +8,20 @@ group holding a third of all rows would run in a single task.
 
 ``sequenced`` computes the same values with bounded tasks:
 
-1. every row gets a segment ``seg = floor(ord_num / seg_width)``; a window over
-   ``(key, seg)`` gives the local position and the local previous row.  A task
-   now holds at most one order-range of one key, never a whole hot key.
+0. hot keys (more than ``target_rows`` attempts) are found with a grouped count;
+   that table has at most ``rows / target_rows`` entries, so broadcasting it is
+   bounded by construction.  A hot key's order range is cut into
+   ``4 * ceil(n / target_rows)`` equal-width segments; every other key is one
+   segment.
+1. a window over ``(key, seg)`` gives the local position and the local previous
+   row.  A task now holds one segment, never a whole hot key.
 2. a per-(key, seg) aggregate (same partitioning, no extra shuffle) gives the
    segment size, its first/last row and its best score.
-3. a window over ``key`` ordered by ``seg`` runs on that small segment table
-   (one row per segment) and gives running offsets, the previous segment's last
-   row and the group-level first/last/best.
-4. the segment table joins back on ``(key, seg)``; the big side is already
-   hash-partitioned on exactly those columns, so only the small side moves.
+3. a window over ``key`` ordered by ``seg`` runs on that segment table (one row
+   per segment) and gives running offsets, the previous segment's last row and
+   the group-level first/last/best.
+4. the segment table joins back on ``(key, seg)``; the attempt rows are already
+   hash-partitioned on exactly those columns, so only the segment table moves.
 
 Results are exact: segmentation only decides which rows share a task.  One
 shuffle of the attempt rows, as for a plain window.
@@ -31,39 +35,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Default segment widths: 2**20 order units for integer orders, one day for time.
-SEG_WIDTH_INT = 1 << 20
-SEG_WIDTH_MICROS = 86_400 * 1_000_000
+# Attempts per segment above which a key counts as hot and is split.
+TARGET_ROWS = 1 << 22
 
 
-def _order_number(df: DataFrame, name: str) -> tuple[Column, int]:
+def _order_number(df: DataFrame, name: str) -> Column:
     dt = df.schema[name].dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")), SEG_WIDTH_MICROS
+        return F.unix_micros(F.col(name).cast("timestamp"))
     if isinstance(dt, T.DateType):
-        return F.unix_date(F.col(name)).cast("long") * 86_400_000_000, SEG_WIDTH_MICROS
-    return F.col(name).cast("long"), SEG_WIDTH_INT
+        return F.unix_date(F.col(name)).cast("long") * 86_400_000_000
+    return F.col(name).cast("long")
 
 
-def sequenced(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-              carry: Iterable[str] = (), value: str | None = None,
-              seg_width: int | None = None) -> DataFrame:
-    """Add sequence columns to flat attempt rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], num: Column,
+             target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Keys with more than ``target_rows`` rows, with their order range.
 
-    Adds ``pos`` (1-based), ``n`` (group size), ``prev_<c>`` (value of ``c`` on
-    the previous attempt, NULL on the first), ``first_<c>`` / ``last_<c>`` (on
-    the group's first/last attempt) for every ``c`` in ``carry``; with
-    ``value`` also ``best`` (group max) and ``best_pos`` (first position where
-    it occurs).  ``order`` must be unique within a key (end it in a tiebreak).
-    Rows with a NULL key are dropped (pandas group-by semantics, Q1).
-    """
-    keys, order, carry = list(keys), list(order), list(carry)
-    df = df.na.drop(subset=keys)
-    num, default_width = _order_number(df, order[0])
-    width = int(seg_width or default_width)
+    A grouped count (combined map-side); the result has at most
+    ``rows / target_rows`` entries, which bounds its broadcast."""
+    return (df.withColumn("_num", num).groupBy(*keys)
+              .agg(F.count(F.lit(1)).alias("_kn"), F.min("_num").alias("_lo"), F.max("_num").alias("_hi"))
+              .filter(F.col("_kn") > target_rows))
+
+
+def _plain(df: DataFrame, keys, order, carry, value) -> DataFrame:
+    # one keyed window: a single shuffle of the rows, groups of at most target_rows
+    w = Window.partitionBy(*keys).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = df.withColumn("pos", F.row_number().over(w).cast("long")) \
+          .withColumn("n", F.count(F.lit(1)).over(whole).cast("long"))
+    for c in carry:
+        x = (x.withColumn(f"prev_{c}", F.lag(c).over(w))
+              .withColumn(f"first_{c}", F.first(c).over(whole))
+              .withColumn(f"last_{c}", F.last(c).over(whole)))
+    if value:
+        x = x.withColumn("best", F.max(value).over(whole))
+        x = x.withColumn("best_pos", F.min(F.when(F.col(value) == F.col("best"), F.col("pos")))
+                         .over(whole).cast("long"))
+    return x
+
+
+def _segmented(x: DataFrame, keys, order, carry, value) -> DataFrame:
+    # rows carry ``_seg``; see the module docstring, steps 1-4
     lw = Window.partitionBy(*keys, "_seg").orderBy(*order)
-    x = df.withColumn("_seg", F.floor(num / F.lit(width)).cast("long")) \
-          .withColumn("_lpos", F.row_number().over(lw))
+    x = x.withColumn("_lpos", F.row_number().over(lw))
     for c in carry:
         x = x.withColumn(f"_lprev_{c}", F.lag(c).over(lw))
 
@@ -105,11 +121,50 @@ def sequenced(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             F.when(F.col("_lpos") == 1, F.col("_pprev")[c]).otherwise(F.col(f"_lprev_{c}")))
         out = out.withColumn(f"first_{c}", F.col("_gfirst")[c]) \
                  .withColumn(f"last_{c}", F.col("_glast")[c])
-    tmp = [c for c in out.columns if c.startswith("_")]
-    return out.drop(*tmp)
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def sequenced(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+              carry: Iterable[str] = (), value: str | None = None,
+              seg_width: int | None = None, target_rows: int = TARGET_ROWS,
+              detect_hot: bool = True) -> DataFrame:
+    """Add sequence columns to flat attempt rows.
+
+    Adds ``pos`` (1-based), ``n`` (group size), ``prev_<c>`` (value of ``c`` on
+    the previous attempt, NULL on the first), ``first_<c>`` / ``last_<c>`` (on
+    the group's first/last attempt) for every ``c`` in ``carry``; with
+    ``value`` also ``best`` (group max) and ``best_pos`` (first position where
+    it occurs).  ``order`` must be unique within a key (end it in a tiebreak).
+    Rows with a NULL key are dropped (pandas group-by semantics, Q1).
+
+    Ordinary keys take one keyed window; keys with more than ``target_rows``
+    rows are split into order-range segments (exact, bounded tasks).
+    ``seg_width`` forces the segmented path with a fixed width for every key;
+    ``detect_hot=False`` skips the hot-key count (only for inputs whose keys
+    are known to be bounded).
+    """
+    keys, order, carry = list(keys), list(order), list(carry)
+    df = df.na.drop(subset=keys)
+    num = _order_number(df, order[0])
+    cols = df.columns
+    if seg_width:
+        x = df.withColumn("_seg", F.floor(num / F.lit(int(seg_width))).cast("long"))
+        return _segmented(x, keys, order, carry, value)
+    if not detect_hot:
+        return _plain(df, keys, order, carry, value)
+    hot = hot_keys(df, keys, num, target_rows)
+    tagged = df.withColumn("_num", num).join(F.broadcast(hot), keys, "left")
+    cold = tagged.filter(F.col("_kn").isNull()).select(*cols)
+    nseg = (F.ceil(F.col("_kn") / F.lit(target_rows)) * 4).cast("double")
+    seg = F.floor((F.col("_num") - F.col("_lo")).cast("double") * nseg /
+                  (F.col("_hi") - F.col("_lo") + 1).cast("double")).cast("long")
+    hot_rows = tagged.filter(F.col("_kn").isNotNull()).select(*cols, seg.alias("_seg"))
+    a = _plain(cold, keys, order, carry, value)
+    b = _segmented(hot_rows, keys, order, carry, value)
+    return a.unionByName(b.select(*a.columns))
 
 
 def positions_only(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   seg_width: int | None = None) -> DataFrame:
+                   target_rows: int = TARGET_ROWS) -> DataFrame:
     """``pos`` and ``n`` only (cheapest form of :func:`sequenced`)."""
-    return sequenced(df, keys, order, seg_width=seg_width)
+    return sequenced(df, keys, order, target_rows=target_rows)

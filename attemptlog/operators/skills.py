@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attemptlog.operators.sequence import sequenced
+from attemptlog.session import cut_lineage
 
 
 def last_or_zero(c) -> Column:
@@ -90,7 +91,8 @@ def skills_vector(df: DataFrame, size: int = 10, n: int = 30, latents: bool = Fa
     """K5: skill vector per row.  The min-max range is fitted on all rows by
     default (Q12, as the reference does); pass ``fit_on`` (e.g. the training
     fold after the same :func:`raw_skills`) to avoid the leak."""
-    raw = raw_skills(df, size, n, latents, similarity)
+    # the raw vectors feed the column range and the rows: materialise once
+    raw = cut_lineage(raw_skills(df, size, n, latents, similarity))
     width = size + (3 if latents else 0)
     rng = column_range(fit_on if fit_on is not None else raw, "skills_raw", width)
     return minmax_fill(raw, "skills_raw", rng)

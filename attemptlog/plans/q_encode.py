@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from attemptlog.operators import encode as E
 from attemptlog.operators import history as H
-from attemptlog.plans.q_history import B_ORDER, N_HIST, N_LAST, SUBS_SQL, _b_numbered, subs
+from attemptlog.plans.q_history import N_HIST, N_LAST, SUBS_SQL, b_stages
 from attemptlog.plans.registry import finalize, register
 from attemptlog.plans.sqlviews import with_views
-from attemptlog.sources import views as V
 
 ROW = ["student_id", "course_id", "new_task_id"]
 PAD_ATTEMPTS = 765
@@ -21,12 +20,10 @@ def _fix(sql):
 
 
 def _base(spark, d):
-    out = H.prepare_submissions(subs(spark, d), V.questions(spark, d), n_hist=N_HIST,
-                                n_last=N_LAST, order=B_ORDER)
-    n = _b_numbered(spark, d)
-    early, late = H.early_late(n, N_HIST, N_LAST)
-    vocab = E.task_vocabulary(late.withColumnRenamed("problem_id", "new_task_id"),
-                              H.build_history(early))
+    st = b_stages(spark, d)
+    out = st["final"]
+    early, late = H.early_late(st["numbered"], N_HIST, N_LAST)
+    vocab = E.task_vocabulary(late.withColumnRenamed("problem_id", "new_task_id"), st["history"])
     out = E.map_array(out, ROW, "prev_tasks_id", vocab, out="prev_q")
     tq = vocab.select(F.col("task_id").alias("_t"), F.col("task_index").alias("target_q"))
     out = out.join(tq, out["new_task_id"].cast("string") == tq["_t"], "left").drop("_t")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attemptlog.operators import concepts as C
 from attemptlog.operators import history as H
 from attemptlog.operators import skills as SK
-from attemptlog.plans.q_history import B_ORDER, N_HIST, N_LAST, SUBS_SQL, _b_numbered, subs
+from attemptlog.plans.q_history import N_HIST, N_LAST, SUBS_SQL, _b_numbered, b_stages
 from attemptlog.plans.registry import finalize, register
 from attemptlog.plans.sqlviews import with_views
 from attemptlog.sources import views as V
@@ -95,8 +95,7 @@ fv AS (SELECT sc.*, CASE WHEN y > 0 THEN y ELSE m END AS z FROM sc JOIN mn
 
 
 def _skills(spark, d):
-    out = H.prepare_submissions(subs(spark, d), V.questions(spark, d), n_hist=N_HIST,
-                                n_last=N_LAST, order=B_ORDER)
+    out = b_stages(spark, d)["final"]
     out = C.attach_concepts(out, rollup(spark, d), ["student_id", "course_id", "new_task_id"],
                             pad_to=N_HIST, size=SIZE)
     return SK.skills_vector(out, size=SIZE, n=N_HIST)

@@ -75,15 +75,14 @@ def _fix(sql):
     return sql.replace("\n)\n, ", "\n),\n")
 
 
+def b_stages(spark, d):
+    """K2 stages on the driver tables (task table and numbered table are checkpointed)."""
+    return H.submission_stages(subs(spark, d), V.questions(spark, d), n_hist=N_HIST,
+                               n_last=N_LAST, order=B_ORDER)
+
+
 def _b_numbered(spark, d):
-    tasks = H.task_table(subs(spark, d), B_KEYS, B_ORDER, trim="all")
-    ok = H.valid_students(tasks, group=["student_id", "course_id"])
-    tasks = tasks.join(ok, "student_id", "left_semi") \
-                 .filter(~F.array_contains("scores", F.lit(-1.0)))
-    q = V.questions(spark, d)
-    tasks = tasks.join(q.select("id", "type", "prompt"), tasks.problem_id == q.id, "inner").drop("id")
-    lab = H.label_struggle(tasks)
-    return H.number_tasks(lab, group=["student_id", "course_id"])
+    return b_stages(spark, d)["numbered"]
 
 
 @register("prepare_submissions", _fix(with_views(["attempts", "questions"], SUBS_SQL + f"""
@@ -94,8 +93,7 @@ SELECT n.student_id, n.course_id, n.problem_id AS new_task_id, round(n.max_score
 FROM num n LEFT JOIN hist h USING (student_id, course_id)
 WHERE n.row_number > {N_HIST} AND n.row_number <= {N_LAST} AND h.num_tasks = {N_HIST}""")))
 def q_prepare_submissions(spark, d):
-    out = H.prepare_submissions(subs(spark, d), V.questions(spark, d), n_hist=N_HIST,
-                                n_last=N_LAST, order=B_ORDER)
+    out = b_stages(spark, d)["final"]
     return finalize(out.select(
         "student_id", "course_id", "new_task_id", "max_score", "new_task",
         F.array_join("prev_tasks_id", ",").alias("prev_tasks_id"),
