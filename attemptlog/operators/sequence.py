@@ -138,7 +138,9 @@ def sequenced(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     Rows with a NULL key are dropped (pandas group-by semantics, Q1).
 
     Ordinary keys take one keyed window; keys with more than ``target_rows``
-    rows are split into order-range segments (exact, bounded tasks).
+    rows are split into order-range segments (exact, bounded tasks).  The
+    hot-key table is computed first (one grouped count, a small job); when it
+    is empty the plan is just the keyed window.
     ``seg_width`` forces the segmented path with a fixed width for every key;
     ``detect_hot=False`` skips the hot-key count (only for inputs whose keys
     are known to be bounded).
@@ -153,6 +155,9 @@ def sequenced(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     if not detect_hot:
         return _plain(df, keys, order, carry, value)
     hot = hot_keys(df, keys, num, target_rows)
+    if hot.isEmpty():
+        # no key above target_rows: one keyed window is bounded already
+        return _plain(df, keys, order, carry, value)
     tagged = df.withColumn("_num", num).join(F.broadcast(hot), keys, "left")
     cold = tagged.filter(F.col("_kn").isNull()).select(*cols)
     nseg = (F.ceil(F.col("_kn") / F.lit(target_rows)) * 4).cast("double")

@@ -10,7 +10,7 @@ def load_all():
         from attemptlog.plans import q_history  # noqa: F401
     except ImportError:
         pass
-    for mod in ("q_splits", "q_features", "q_text", "q_encode", "q_jobs"):
+    for mod in ("q_splits", "q_features", "q_text", "q_encode", "q_jobs", "q_more"):
         try:
             __import__(f"attemptlog.plans.{mod}")
         except ImportError as exc:  # module not written yet

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -59,7 +60,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared folder (never ``localCheckpoint``)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df):
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
+    read it back (never ``localCheckpoint``).
+
+    One computation plus a write, where ``DataFrame.checkpoint`` computes the
+    plan once for the action and again to write the files.  Downstream
+    branches read the table (with column pruning) instead of re-running the
+    upstream plan, and a lost executor only re-reads files.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
