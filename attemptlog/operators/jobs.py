@@ -227,7 +227,7 @@ def canned_scorer(prompts: list) -> list:
     for p in prompts:
         n = len(p or "")
         d, a, r = n % 5 + 1, (n // 5) % 5 + 1, (n // 25) % 5 + 1
-        style = (n // 125) % 4
+        style = (n // 2) % 4
         if style == 0:
             out.append(f'Scores: {{"Decomposition": {d}, "Algorithmic Design": {a}, '
                        f'"Reading Comprehension": {r}}} done.')

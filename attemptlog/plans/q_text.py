@@ -212,11 +212,11 @@ ri AS (SELECT n.student_id, n.course_id, CAST(n.row_number - 1 AS BIGINT) AS pos
           || CAST(lc.last_code AS VARCHAR) AS prompt
         FROM num n JOIN lc USING (student_id, course_id, problem_id)
         JOIN questions q ON n.problem_id = q.id WHERE n.row_number <= 10),
-sc AS (SELECT *, length(prompt) AS L, (length(prompt) // 125) % 4 AS style FROM ri),
+rsc AS (SELECT *, length(prompt) AS L, (length(prompt) // 2) % 4 AS style FROM ri),
 pr AS (SELECT *, CASE WHEN style = 3 THEN NULL ELSE CAST(L % 5 + 1 AS DOUBLE) END AS decomposition,
         CASE WHEN style = 3 THEN NULL ELSE CAST((L // 5) % 5 + 1 AS DOUBLE) END AS alg,
         CASE WHEN style = 3 THEN NULL ELSE CAST((L // 25) % 5 + 1 AS DOUBLE) END AS reading
-        FROM sc)"""
+        FROM rsc)"""
 
 
 @register("build_rubric_inputs", _fix(with_views(["attempts", "questions"], RUBRIC_SQL + """
@@ -260,7 +260,18 @@ def q_skill_averages(spark, d):
     return finalize(SK.rubric_averages(per).select("student_id", "dec_avg", "alg_avg", "read_avg"))
 
 
-@register("extend_with_rubric")
+def _ext_sql():
+    from attemptlog.plans.q_features import SKILLS_SQL
+    rub = RUBRIC_SQL[len(SUBS_SQL):]          # the rubric CTEs after the shared prefix
+    return _fix(with_views(["attempts", "questions"], SKILLS_SQL + rub + """
+, av AS (SELECT student_id, avg(decomposition / 5) AS dec_avg, avg(alg / 5) AS alg_avg,
+        avg(reading / 5) AS read_avg FROM pr GROUP BY student_id)
+SELECT f.student_id, f.course_id, f.new_task_id, CAST(13 AS BIGINT) AS n_skills,
+  round(av.dec_avg, 6) AS dec_avg, round(av.alg_avg, 6) AS alg_avg, round(av.read_avg, 6) AS read_avg
+FROM fin f LEFT JOIN av USING (student_id)""").replace(")\n, av AS", "),\nav AS"))
+
+
+@register("extend_with_rubric", _ext_sql())
 def q_extend_with_rubric(spark, d):
     per = R.collect_rubric(R.parse_rubric(_answers(spark, d)))
     ext = SK.extend_with_rubric(_skills(spark, d), per)
