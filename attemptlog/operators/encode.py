@@ -134,19 +134,22 @@ def path_entries(paths: DataFrame, key: Sequence[str], col: str = "RawASTPath",
 
 
 def path_vocabulary(paths: DataFrame, key: Sequence[str], train_ids: DataFrame | None = None,
-                    student: str = "student_id", col: str = "RawASTPath") -> tuple[DataFrame, DataFrame]:
+                    student: str = "student_id", col: str = "RawASTPath",
+                    weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A30 + F26: node and path vocabularies from training students only.
 
     Tokens of trimmed length <= 3 are left out of the vocabulary; indices
-    start at 2 (0 = END, 1 = UNK), ordered by count desc, then token."""
+    start at 2 (0 = END, 1 = UNK), ordered by count desc, then token.
+    ``weight`` counts a row that many times (distinct snippets weighted by
+    their number of uses, instead of exploding every use)."""
     p = paths if train_ids is None else paths.join(train_ids.select(student), student, "left_semi")
-    e = path_entries(p, key, col)
-    nodes = e.select(F.explode(F.array("start", "end")).alias("token"))
-    pth = e.select(F.col("path").alias("token"))
+    e = path_entries(p.withColumn("_w", F.col(weight) if weight else F.lit(1)), list(key) + ["_w"], col)
+    nodes = e.select(F.explode(F.array("start", "end")).alias("token"), "_w")
+    pth = e.select(F.col("path").alias("token"), "_w")
 
     def vocab(t: DataFrame) -> DataFrame:
         t = t.filter(F.length(F.trim("token")) > 3)
-        c = t.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+        c = t.groupBy("token").agg(F.sum("_w").cast("long").alias("count"))
         c = c.withColumn("_neg", -F.col("count"))
         r = global_rank(c, ["_neg", "token"], out="index")
         return r.withColumn("index", F.col("index") + 2).drop("_neg")

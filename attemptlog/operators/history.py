@@ -31,7 +31,7 @@ from attemptlog.session import cut_lineage
 
 def task_table(attempts: DataFrame, keys: Sequence[str], order: Sequence[str],
                trim: str = "all", perfect: float = 100.0, code: str | None = "code_id",
-               ts: str = "ts", score: str = "score") -> DataFrame:
+               ts: str = "ts", score: str = "score", lists: bool = True) -> DataFrame:
     """One row per task with the ordered attempt array and its statistics.
 
     ``trim='all'`` (dataset B) cuts scores, snapshots and times at the first
@@ -48,6 +48,13 @@ def task_table(attempts: DataFrame, keys: Sequence[str], order: Sequence[str],
         rows = trim_after_best(rows, "code_if_perfect")
     else:
         rows = rows.withColumn("code_kept", F.lit(True))
+    stats = [F.min_by(F.col(ts), F.col("pos")).alias("start_time"),
+             F.max_by(F.col(ts), F.col("pos")).alias("end_time"),
+             F.max(score).alias("max_score"),
+             F.count(F.lit(1)).cast("long").alias("num_snapshots")]
+    if not lists:
+        # statistics only: plain partial aggregates, no per-task arrays
+        return rows.groupBy(*keys).agg(*stats)
     fields = [F.col("pos"), F.col(ts).alias("ts"), F.col(score).alias("score"),
               F.col("code_kept")]
     if code:

@@ -171,17 +171,25 @@ def _escape(tok: str) -> str:
 
 
 def path_strings(code: str, max_len: int = MAX_PATH_LENGTH, max_width: int = MAX_PATH_WIDTH) -> list[str]:
-    """``start,md5(path),end`` for every leaf pair within the limits."""
+    """``start,md5(path),end`` for every leaf pair within the limits.
+
+    For a fixed left leaf, the common ancestor with leaves further right can
+    only move up, and the path is at least (depth of the left leaf - depth of
+    the ancestor) long, so the scan to the right stops once that bound passes
+    ``max_len``: the result is the same as checking every pair."""
     leaves = _leaves(_tree(code))
     out = []
     for i in range(len(leaves)):
+        ta, pa = leaves[i]
         for j in range(i + 1, len(leaves)):
-            (ta, pa), (tb, pb) = leaves[i], leaves[j]
+            tb, pb = leaves[j]
             k = 0
             while k < min(len(pa), len(pb)) and pa[k] == pb[k]:
                 k += 1
             if k >= len(pa) or k >= len(pb):
                 continue
+            if len(pa) - k > max_len:
+                break
             # pa[k] / pb[k] is the common ancestor (same node, different child)
             anc = pa[k][0]
             up = [t for t, _ in reversed(pa[k + 1:])]
@@ -261,16 +269,23 @@ def score_rubric(inputs: DataFrame, fn: Callable[[list], list] | None = None,
 
 
 def fit_struggle(df: DataFrame, features: Sequence[str], label: str = "Label",
-                 fold: str = "fold", reg: float = 0.0, max_iter: int = 50) -> DataFrame:
+                 fold: str = "fold", reg: float = 0.0, max_iter: int = 50,
+                 materialize: bool = True) -> DataFrame:
     """Per fold, fit a logistic regression on the other folds and score the
-    held-out fold.  Returns (fold, y_true, y_prob) rows for the metric operators."""
+    held-out fold.  Returns (fold, y_true, y_prob) rows for the metric operators.
+
+    The feature table is written once to the checkpoint folder before the fold
+    loop, so the k fits read it instead of re-running the feature plan."""
+    from attemptlog.session import cut_lineage
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # k small values
-    data = df.withColumn("_y", F.col(label).cast("double"))
+    data = df.select(*features, label, fold).withColumn("_y", F.col(label).cast("double"))
+    if materialize:
+        data = cut_lineage(data)
+    folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # k small values
     outs = []
     for k in folds:
         train = data.filter(F.col(fold) != k)
@@ -293,9 +308,11 @@ def tune_struggle(df: DataFrame, features: Sequence[str], grid: Sequence[float]
                   label: str = "Label", fold: str = "fold") -> DataFrame:
     """Grid over the regularisation strength, scored by 1 - mean fold AUC."""
     from attemptlog.operators.metrics import average_over_groups, roc_auc
+    from attemptlog.session import cut_lineage
+    data = cut_lineage(df.select(*features, label, fold))
     rows = None
     for reg in grid:
-        pred = fit_struggle(df, features, label, fold, reg=reg)
+        pred = fit_struggle(data, features, label, fold, reg=reg, materialize=False)
         auc = average_over_groups(roc_auc(pred, [fold])).select(
             F.lit(float(reg)).alias("reg"), (1 - F.col("roc_auc")).alias("objective"))
         rows = auc if rows is None else rows.unionByName(auc)

@@ -94,8 +94,8 @@ fv AS (SELECT sc.*, CASE WHEN y > 0 THEN y ELSE m END AS z FROM sc JOIN mn
        USING (student_id, course_id, new_task_id))"""
 
 
-def _skills(spark, d):
-    out = b_stages(spark, d)["final"]
+def _skills(spark, d, stages=None):
+    out = (stages or b_stages(spark, d))["final"]
     out = C.attach_concepts(out, rollup(spark, d), ["student_id", "course_id", "new_task_id"],
                             pad_to=N_HIST, size=SIZE)
     return SK.skills_vector(out, size=SIZE, n=N_HIST)

@@ -111,7 +111,7 @@ SELECT t.student_id, t.course_id, t.problem_id, CAST(t.num_snapshots AS BIGINT)
   round(p.p75, 6) AS p75, CAST(t.num_snapshots <= p.p75 AND t.max_score >= 100 AS BIGINT) AS Label
 FROM t JOIN p USING (problem_id)""")))
 def q_label_struggle(spark, d):
-    tasks = H.task_table(V.attempts_big(spark, d), B_KEYS, V.BIG_ORDER, trim="all", code=None)
+    tasks = H.task_table(V.attempts_big(spark, d), B_KEYS, V.BIG_ORDER, trim="all", code=None, lists=False)
     out = H.label_struggle(tasks)
     return finalize(out.select("student_id", "course_id", "problem_id", "num_snapshots",
                                "p75", "Label"))
@@ -123,7 +123,7 @@ def q_label_struggle(spark, d):
 SELECT problem_id, round(quantile_cont(num_snapshots, 0.75), 6) AS p75,
   round(quantile_cont(num_snapshots, 0.5), 6) AS p50 FROM t GROUP BY problem_id""")))
 def q_problem_percentile(spark, d):
-    tasks = H.task_table(V.attempts_big(spark, d), B_KEYS, V.BIG_ORDER, trim="all", code=None)
+    tasks = H.task_table(V.attempts_big(spark, d), B_KEYS, V.BIG_ORDER, trim="all", code=None, lists=False)
     p75 = H.problem_percentile(tasks, 0.75)
     p50 = H.problem_percentile(tasks, 0.5, out="p50")
     return finalize(p75.join(p50, "problem_id"))

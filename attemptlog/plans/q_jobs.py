@@ -18,6 +18,7 @@ from attemptlog.operators.sequence import sequenced
 from attemptlog.plans.q_attempts import deep_summary
 from attemptlog.plans.q_text import _rubric_inputs
 from attemptlog.plans.registry import finalize, register
+from attemptlog.session import cut_lineage
 from attemptlog.sources import views as V
 
 
@@ -80,10 +81,13 @@ def q_ast_paths(spark, d):
 
 
 def _paths_by_step(spark, d):
+    """(steps, paths): the attempts' code ids, and one path string per distinct
+    snippet (the Python job runs once per snippet and is written once)."""
     code = _python_code(spark, d).withColumn("code_id", F.md5("code"))
     distinct = code.select("code_id", "code").distinct()
-    p = D.ast_paths(distinct, "code", ["code_id"])          # once per distinct snippet
-    return code.join(p, "code_id", "inner").select("student_id", "problem_id", "ord", "RawASTPath")
+    paths = cut_lineage(D.ast_paths(distinct, "code", ["code_id"]))
+    steps = code.select("student_id", "problem_id", "ord", "code_id")
+    return steps, paths
 
 
 def _train_ids(spark, d):
@@ -92,23 +96,31 @@ def _train_ids(spark, d):
     return SP.stratified_split(labels).filter(F.col("split") == "train")
 
 
+def _vocab(spark, d):
+    steps, paths = _paths_by_step(spark, d)
+    # uses per snippet among training students: the vocabulary counts every use
+    uses = steps.join(_train_ids(spark, d).select("student_id"), "student_id", "left_semi") \
+                .groupBy("code_id").agg(F.count(F.lit(1)).alias("uses"))
+    nodes, pth = E.path_vocabulary(paths.join(uses, "code_id", "inner"), ["code_id"], weight="uses")
+    return steps, paths, nodes, pth
+
+
 @register("path_vocabulary")
 def q_path_vocabulary(spark, d):
-    steps = _paths_by_step(spark, d)
-    nodes, paths = E.path_vocabulary(steps, ["student_id", "problem_id"], _train_ids(spark, d))
+    _, _, nodes, paths = _vocab(spark, d)
     out = nodes.withColumn("kind", F.lit("node")).unionByName(paths.withColumn("kind", F.lit("path")))
     return finalize(out.select("kind", "token", "count", "index"))
 
 
 @register("encode_code_steps")
 def q_encode_code_steps(spark, d):
-    steps = _paths_by_step(spark, d)
-    key = ["student_id", "problem_id", "ord"]
-    nodes, paths = E.path_vocabulary(steps, key, _train_ids(spark, d))
-    enc = E.encode_code_steps(steps, nodes, paths, key, max_paths=100)
+    steps, paths, nodes, pth = _vocab(spark, d)
+    enc = E.encode_code_steps(paths, nodes, pth, ["code_id"], max_paths=100)   # once per snippet
     nz = F.size(F.filter("path_idx", lambda x: x != E.PAD))
     unk = F.size(F.filter("path_idx", lambda x: x == E.UNK))
-    return finalize(enc.select(*key, nz.cast("long").alias("n_paths"), unk.cast("long").alias("n_unknown")))
+    per = enc.select("code_id", nz.cast("long").alias("n_paths"), unk.cast("long").alias("n_unknown"))
+    key = ["student_id", "problem_id", "ord"]
+    return finalize(steps.join(per, "code_id", "inner").select(*key, "n_paths", "n_unknown"))
 
 
 @register("score_rubric")

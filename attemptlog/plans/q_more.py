@@ -74,7 +74,7 @@ def q_attach_questions(spark, d):
     qbc = q.crossJoin(courses).select(
         "id", "course", F.concat_ws(" / ", "prompt", "course").alias("prompt"),
         F.lit(100.0).alias("max_score"))
-    tasks = H.task_table(V.attempts_big(spark, d), B_KEYS, V.BIG_ORDER, trim="all", code=None)
+    tasks = H.task_table(V.attempts_big(spark, d), B_KEYS, V.BIG_ORDER, trim="all", code=None, lists=False)
     j = J.attach_questions(tasks, qbc, ["course_id", "problem_id"], ["course", "id"])
     return finalize(j.select("student_id", "course_id", "problem_id", "max_score", "max_score_q", "prompt"))
 

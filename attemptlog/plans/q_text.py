@@ -13,7 +13,7 @@ from attemptlog.operators import rubric as R
 from attemptlog.operators import skills as SK
 from attemptlog.operators.attempts import first_per_key
 from attemptlog.plans.q_features import _skills
-from attemptlog.plans.q_history import N_HIST, N_LAST, SUBS_SQL, _b_numbered
+from attemptlog.plans.q_history import N_HIST, N_LAST, SUBS_SQL, b_stages
 from attemptlog.plans.registry import finalize, register
 from attemptlog.plans.sqlviews import with_views
 from attemptlog.sources import views as V
@@ -189,18 +189,19 @@ def q_missing_constructs_java(spark, d):
 
 # ------------------------------- rubric -------------------------------
 
-def _hist(spark, d):
-    early, _ = H.early_late(_b_numbered(spark, d), N_HIST, N_LAST)
+def _hist(spark, d, stages=None):
+    numbered = (stages or b_stages(spark, d))["numbered"]
+    early, _ = H.early_late(numbered, N_HIST, N_LAST)
     return H.build_history(early)
 
 
-def _rubric_inputs(spark, d):
-    return R.build_rubric_inputs(_hist(spark, d), V.questions(spark, d), which="last")
+def _rubric_inputs(spark, d, stages=None):
+    return R.build_rubric_inputs(_hist(spark, d, stages), V.questions(spark, d), which="last")
 
 
-def _answers(spark, d):
+def _answers(spark, d, stages=None):
     from attemptlog.operators.jobs import score_rubric
-    return score_rubric(_rubric_inputs(spark, d))
+    return score_rubric(_rubric_inputs(spark, d, stages))
 
 
 RUBRIC_SQL = SUBS_SQL + """
@@ -273,8 +274,9 @@ FROM fin f LEFT JOIN av USING (student_id)""").replace(")\n, av AS", "),\nav AS"
 
 @register("extend_with_rubric", _ext_sql())
 def q_extend_with_rubric(spark, d):
-    per = R.collect_rubric(R.parse_rubric(_answers(spark, d)))
-    ext = SK.extend_with_rubric(_skills(spark, d), per)
+    st = b_stages(spark, d)                      # one K2 build for both inputs
+    per = R.collect_rubric(R.parse_rubric(_answers(spark, d, st)))
+    ext = SK.extend_with_rubric(_skills(spark, d, st), per)
     return finalize(ext.select("student_id", "course_id", "new_task_id",
                                F.size("skills_vec").cast("long").alias("n_skills"),
                                "dec_avg", "alg_avg", "read_avg"))
