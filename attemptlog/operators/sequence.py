@@ -63,14 +63,16 @@ def _plain(df: DataFrame, keys, order, carry, value) -> DataFrame:
     # one keyed window: a single shuffle of the rows, groups of at most target_rows
     w = Window.partitionBy(*keys).orderBy(*order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = df.withColumn("pos", F.row_number().over(w).cast("long")) \
-          .withColumn("n", F.count(F.lit(1)).over(whole).cast("long"))
+    cols = {"pos": F.row_number().over(w).cast("long"),
+            "n": F.count(F.lit(1)).over(whole).cast("long")}
     for c in carry:
-        x = (x.withColumn(f"prev_{c}", F.lag(c).over(w))
-              .withColumn(f"first_{c}", F.first(c).over(whole))
-              .withColumn(f"last_{c}", F.last(c).over(whole)))
+        cols[f"prev_{c}"] = F.lag(c).over(w)
+        cols[f"first_{c}"] = F.first(c).over(whole)
+        cols[f"last_{c}"] = F.last(c).over(whole)
+    if value:
+        cols["best"] = F.max(value).over(whole)
+    x = df.withColumns(cols)
     if value:
-        x = x.withColumn("best", F.max(value).over(whole))
         x = x.withColumn("best_pos", F.min(F.when(F.col(value) == F.col("best"), F.col("pos")))
                          .over(whole).cast("long"))
     return x
