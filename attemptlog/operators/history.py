@@ -164,6 +164,22 @@ def attach_history(late: DataFrame, history: DataFrame,
     return late.join(history, list(group), "left")
 
 
+def history_long(attempt_rows: DataFrame, numbered: DataFrame,
+                 group: Sequence[str] = ("student_id", "course_id"), n_hist: int = 30,
+                 task_key: str = "problem_id") -> DataFrame:
+    """A4 in long form: one row per (person, history task number, attempt
+    position), exact and without arrays.
+
+    The nested contract puts every attempt of a task into one array; a task
+    with very many attempts then becomes one huge value.  This form carries the
+    same content as flat rows (join of the sequenced attempts with the task
+    numbers), so nothing is collected per task."""
+    group = list(group)
+    t = numbered.filter(F.col("row_number") <= n_hist) \
+                .select(*group, task_key, F.col("row_number").alias("task_number"), "Label")
+    return attempt_rows.join(t, group + [task_key], "inner")
+
+
 def last_snapshots(df: DataFrame, n: int = 100, col: str = "prev_tasks") -> DataFrame:
     """Keep the last ``n`` snapshots of every history task."""
     return df.withColumn(col, F.transform(

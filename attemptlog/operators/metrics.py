@@ -50,19 +50,27 @@ def score_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum(1 - F.col("y_true")).cast("long").alias("neg"))
 
 
-def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def roc_auc(df: DataFrame, by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
     """Exact ROC-AUC with ties counted one half (NULL for a single class).
 
     AUC = sum over scores s of pos(s) * (neg below s + neg(s) / 2) / (P * N).
+    "neg below s" is a prefix sum over distinct scores.  It is computed per
+    score bucket (``floor(score * buckets)``): a running sum inside the bucket
+    plus the negatives of all lower buckets from a table with one row per
+    bucket, so no task holds all distinct scores of a large fold.
     """
     by = list(by)
     c = score_counts(df, by)
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("y_prob") \
-        .rowsBetween(Window.unboundedPreceding, -1)
     if not by:
         c = c.withColumn("_g", F.lit(0))
-        w = Window.partitionBy("_g").orderBy("y_prob").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    part = by or ["_g"]
+    c = c.withColumn("_b", F.floor(F.col("y_prob") * buckets).cast("long"))
+    inner = Window.partitionBy(*part, "_b").orderBy("y_prob").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_nb_in", F.coalesce(F.sum("neg").over(inner), F.lit(0)))
+    b = c.groupBy(*part, "_b").agg(F.sum("neg").alias("_bneg"))
+    lower = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("_nb_lo", F.coalesce(F.sum("_bneg").over(lower), F.lit(0))).drop("_bneg")
+    c = c.join(b, part + ["_b"], "inner").withColumn("neg_below", F.col("_nb_lo") + F.col("_nb_in"))
     g = c.groupBy(*by) if by else c.groupBy()
     P, N = F.sum("pos"), F.sum("neg")
     num = F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))

@@ -289,3 +289,17 @@ def q_filter_event_type(spark, d):
     e = drop_incomplete(filter_event_type(e, "click"), ["user_id", "ts", "value"])
     return finalize(e.groupBy(F.col("user_id").alias("student_id"))
                     .agg(F.count(F.lit(1)).alias("n_click")))
+
+
+@register("history_long", _fix(with_views(["attempts", "questions"], SUBS_SQL + f"""
+SELECT s1.student_id, s1.course_id, CAST(n.row_number AS BIGINT) AS task_number, s1.pos,
+  round(s1.score, 6) AS score, CAST(NOT n.Label AS BIGINT) AS struggling
+FROM s1 JOIN num n USING (student_id, course_id, problem_id)
+WHERE s1.pos <= s1.best_pos AND n.row_number <= {N_HIST}""")))
+def q_history_long(spark, d):
+    from attemptlog.operators.attempts import attempt_rows, trim_after_best
+    st = b_stages(spark, d)
+    rows = trim_after_best(attempt_rows(subs(spark, d), B_KEYS, B_ORDER), "all")
+    h = H.history_long(rows, st["numbered"], n_hist=N_HIST)
+    return finalize(h.select("student_id", "course_id", "task_number", "pos", "score",
+                             (~F.col("Label")).alias("struggling")))

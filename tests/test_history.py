@@ -93,3 +93,12 @@ def test_prepare_submissions_small(spark):
     # P75 of (2, 2, 2, 2, 2, 2) is 2; solved tasks are not struggling -> inverted label False
     assert r["prev_labels"] == [False, True, False]
     _ = F
+
+
+def test_history_long(spark):
+    rows = spark.createDataFrame([("s", "c", 1, 1, 5.0), ("s", "c", 1, 2, 7.0), ("s", "c", 2, 1, 1.0)],
+                                 "student_id string, course_id string, problem_id long, pos long, score double")
+    num = spark.createDataFrame([("s", "c", 1, 1, True), ("s", "c", 2, 2, False)],
+                                "student_id string, course_id string, problem_id long, row_number long, Label boolean")
+    out = H.history_long(rows, num, n_hist=1).orderBy("pos").collect()
+    assert [(r["task_number"], r["pos"], r["score"]) for r in out] == [(1, 1, 5.0), (1, 2, 7.0)]

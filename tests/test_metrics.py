@@ -92,3 +92,12 @@ def test_fold_average_is_unweighted(spark):
     avg = M.average_over_groups(M.metrics_by_group(df, 0.5, ["fold"])).collect()[0]["accuracy"]
     assert abs(avg - (per["a"] + per["b"]) / 2) < 1e-12
     assert abs(M.brier(df).collect()[0][0] - sum((p - y) ** 2 for _, y, p in data) / 6) < 1e-12
+
+
+def test_auc_bucketing_is_exact(spark):
+    rnd = random.Random(9)
+    data = [(float(rnd.randint(0, 1)), round(rnd.random(), 3)) for _ in range(300)]
+    df = spark.createDataFrame(data, "y_true double, y_prob double")
+    exp = _pairwise_auc([(int(y), p) for y, p in data])
+    for b in (1, 7, 1024, 100000):
+        assert abs(M.roc_auc(df, buckets=b).collect()[0][0] - exp) < 1e-12
