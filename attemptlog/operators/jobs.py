@@ -33,6 +33,14 @@ def distinct_snippets(df: DataFrame, col: str = "prev_tasks") -> DataFrame:
 _TOKEN = re.compile(r"\w+", re.UNICODE)
 
 
+def _spread(df: DataFrame, *cols) -> DataFrame:
+    """Hash-spread the input of a CPU-bound Python job over
+    ``spark.sql.shuffle.partitions`` tasks (AQE would otherwise coalesce a
+    small-in-bytes input into one Python worker)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols) if cols else df.repartition(n)
+
+
 def hashed_token_vector(text: str, dim: int = 64) -> np.ndarray:
     """Default encoder: L2-normalised counts of hashed lower-case word tokens."""
     v = np.zeros(dim, dtype=np.float32)
@@ -59,7 +67,7 @@ def embed_texts(snippets: DataFrame, fn: Callable[[list], list] | None = None,
             yield pd.DataFrame({col: b[col], "vector": [list(map(float, v)) for v in vecs]})
     schema = T.StructType([T.StructField(col, T.StringType()),
                            T.StructField("vector", T.ArrayType(T.FloatType()))])
-    return snippets.select(col).mapInPandas(run, schema)
+    return _spread(snippets.select(col), col).mapInPandas(run, schema)
 
 
 def load_embeddings(frames: Sequence[DataFrame], key: str = "code") -> DataFrame:
@@ -219,7 +227,7 @@ def ast_paths(df: DataFrame, code: str = "code", key: Sequence[str] = ("code_id"
             yield b[key].assign(RawASTPath=paths, n_paths=[p.count(sep) + 1 if p else 0 for p in paths])
     fields = [df.schema[k] for k in key] + [T.StructField("RawASTPath", T.StringType()),
                                             T.StructField("n_paths", T.LongType())]
-    return df.select(*key, code).mapInPandas(run, T.StructType(fields))
+    return _spread(df.select(*key, code), *key).mapInPandas(run, T.StructType(fields))
 
 
 # ---------------------------------------------------------------------------
@@ -260,7 +268,7 @@ def score_rubric(inputs: DataFrame, fn: Callable[[list], list] | None = None,
             yield b.assign(answer=scorer(b[prompt].tolist()), attempt=attempt)
     schema = T.StructType(list(inputs.schema.fields) + [
         T.StructField("answer", T.StringType()), T.StructField("attempt", T.IntegerType())])
-    return inputs.mapInPandas(run, schema)
+    return _spread(inputs).mapInPandas(run, schema)
 
 
 # ---------------------------------------------------------------------------
