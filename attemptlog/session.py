@@ -47,17 +47,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     system path).  Only a local-mode session without one (tests, bench) gets a
     fresh private folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         return d
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     d = tempfile.mkdtemp(prefix="attemptlog-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    spark.sparkContext.setCheckpointDir(d)   # getCheckpointDir() finds it from now on
+    return spark.sparkContext.getCheckpointDir() or d
 
 
 def cut_lineage(df):

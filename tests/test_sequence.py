@@ -73,3 +73,22 @@ def test_no_single_partition_window(spark):
     assert "SinglePartition" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     _ = F
+
+
+@pytest.mark.parametrize("target", [10, 1 << 22])
+def test_sequenced_timestamp_order_with_tiebreak(spark, target):
+    # time as the first order column, equal times broken by a second column
+    rows = _rows(seed=13)
+    rows = [(s, p, o, ts.replace(second=0, microsecond=0), sc) for s, p, o, ts, sc in rows]
+    df = spark.createDataFrame(rows, "s long, p long, ord long, ts timestamp, score double")
+    out = sequenced(df, ["s", "p"], ["ts", "ord"], carry=["score"], value="score", target_rows=target)
+    groups = {}
+    for r in rows:
+        groups.setdefault((r[0], r[1]), []).append(r)
+    exp = {}
+    for g in groups.values():
+        g.sort(key=lambda r: (r[3], r[2]))
+        for i, r in enumerate(g, 1):
+            exp[r[2]] = (i, g[i - 2][4] if i > 1 else None)
+    got = {r["ord"]: (r["pos"], r["prev_score"]) for r in out.collect()}
+    assert got == exp
