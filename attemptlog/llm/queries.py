@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlog.llm import mixing, pii, quality_rules, url_filter
+from attemptlog.llm import decontaminate, mixing, pii, quality_rules, sharding, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -92,6 +92,36 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+# -- 3: benchmark decontamination ---------------------------------------------------------------
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), " + _LOW + r"), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (
+  SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (
+  SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)),
+hit AS (SELECT rid, i, dw.n, item FROM dw JOIN bw ON dw.w = bw.w AND dw.n = bw.n),
+words AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(DISTINCT item)::BIGINT AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS l FROM hit GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+@query("op3_decontaminate", OP3_SQL)
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_benchmark(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.sort_array(F.array_distinct(F.transform("hits", lambda x: x["item"])))
+    return found.select(
+        "doc_id", "n_words", decontaminate.covered_words(F.col("hits")).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"))
+
+
 # -- 4: mixing ----------------------------------------------------------------------------------
 OP4_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -181,6 +211,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.span_list(F.col("pii")).alias("spans"))
 
 
+# -- 6: sharding --------------------------------------------------------------------------------
+@query("op6_shard")
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 # -- 7: quality rules ---------------------------------------------------------------------------
 _NAV, _BOIL = (quality_rules.RULES[k].replace("'", "''") for k in ("navigation", "boilerplate"))
 OP7_SQL = rf"""
