@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlog.llm import decontaminate, mixing, pii, quality_rules, sharding, url_filter
+from attemptlog.llm import decontaminate, mixing, ngram_join, pii, quality_rules, sharding, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -255,3 +255,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = quality_rules.clean_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return c.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "kept")
+
+
+# -- 8: n-gram Jaccard join ---------------------------------------------------------------------
+OP8_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT rid, count(*)::BIGINT AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+link AS (SELECT x, y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+reach(a, b) AS (SELECT rid, rid FROM d UNION SELECT reach.a, link.y FROM reach JOIN link ON link.x = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (rid)
+JOIN (SELECT a AS rid, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.rid = b GROUP BY a) c USING (rid)
+"""
+
+
+@query("op8_ngram_jaccard", OP8_SQL)
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.ngram_components(docs).select("doc_id", "n_shingles", "component_id")
