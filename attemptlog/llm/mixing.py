@@ -56,68 +56,80 @@ def water_fill(sizes: DataFrame, max_epochs: float = 3.0, share: float = 1.0, ma
     return sizes.withColumn("target", F.least(F.col("weight") * F.lit(level), cap))
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: float = 3.0, share: float = 1.0, seed: int = 17,
-        doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """How often the mix takes each document.
+def document_uid(doc_id: Column, text: Column, seed: int = 17) -> Column:
+    """Seeded md5 of id and text, the key that documents are drawn by."""
+    return F.md5(F.concat_ws("\x01", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")),
+                             F.coalesce(F.md5(text.cast("binary")), F.lit("null"))))
 
-    Returns ``doc_id``, ``_uid`` (md5 of id and text), ``source``, ``size``,
-    ``source_size``, ``target`` and ``copies`` (0 to ``max_epochs`` rounded up).
+
+def measure(docs: DataFrame, seed: int = 17, doc_id: str = "doc_id", text: str = "text",
+            source: str = "source") -> DataFrame:
+    """One narrow row a document: ``doc_id``, ``source``, ``size`` in words, ``uid``.
+    Written to the shared folder, so that the texts are read once."""
+    return cut_lineage(docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+        document_uid(F.col(doc_id), F.col(text), seed).alias("uid")))
+
+
+def plan_mix(measured: DataFrame, weights=(1, 2, 3), max_epochs: float = 3.0, share: float = 1.0) -> DataFrame:
+    """What the mix takes of each source, one row a source.
+
+    Adds to ``source`` its ``source_size``, ``target``, ``whole`` (times that all its
+    documents are taken) and ``cut``: documents with words and a ``uid`` up to it are
+    taken once more (null: none).
 
     A source repeats target / source_size times: every document as often as that
-    has whole repetitions, and the remaining fraction takes the documents in
-    the order of a seeded hash until their words come nearest to the target.
-    Slices of the hash (4096 a source) are summed first and only the slice in
-    which a source's target falls is ordered, twice over, so no task gets more
-    than a 16-millionth of a source at once, however large the source is.
-
-    Null text has size 0; null sources are one source, weighed last; sources
-    without words have target 0.  Rows with the same id and text are taken
-    alike.  An empty table gives an empty result.
+    has whole repetitions; the remaining fraction takes documents in the order
+    of their seeded hash until their words come nearest to the target.  Slices of the
+    hash (4096 a source) are summed first, the slice in which the target falls
+    is sliced again, and only one of those is ordered: a 16-millionth of a source.
+
+    Null sources are one source, weighed last; sources without words have target 0.
+    Rows with the same id and text are taken alike.  An empty table gives an empty
+    plan.
     """
-    uid = F.md5(F.concat_ws("\x01", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")),
-                            F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null"))))
-    base = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                                   word_count(F.col(text)).alias("size"), uid.alias("_uid")))
-    sizes = cut_lineage(base.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sizes = cut_lineage(measured.groupBy("source").agg(F.sum("size").alias("source_size")))
     w = cycling_weights(sizes, weights)
-    same = sizes["source"].eqNullSafe(w["source"])
-    weighed = cut_lineage(sizes.join(w, same).select(sizes["source"], "source_size", "weight"))
-    plan = water_fill(weighed, max_epochs, share) \
-        .withColumn("_whole", F.when(F.col("source_size") > 0,
-                                     F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")) \
-        .withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size")) \
-        .select(F.col("source").alias("_source"), "source_size", "target", "_whole", "_part")
-
-    def slices(rows: DataFrame, by: list[str], at: int, need: str) -> DataFrame:
-        """Per slice of the hash: words in the slices before it."""
-        s = rows.groupBy(*by, F.substring("_uid", at, SLICE).alias("_slice")) \
-            .agg(F.sum("size").alias("_n"), F.first(need).alias("_need"))
-        before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_slice")) - F.col("_n")
-        return s.withColumn("_before", before)
-
-    one = slices(base.withColumn("_none", F.lit(None)), ["source"], 1, "_none").drop("_need")
-    one = one.join(plan, one["source"].eqNullSafe(plan["_source"])).drop("_source") \
-        .withColumn("_all", F.col("_before") + F.col("_n") <= F.col("_part")) \
-        .withColumn("_cut", ~F.col("_all") & (F.col("_before") < F.col("_part")))
-    one = cut_lineage(one)
-    rows = base.alias("b").join(one.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))
-                                & (F.substring("b._uid", 1, SLICE) == F.col("s._slice"))) \
-        .select("b.*", "source_size", "target", "_whole", "_all", "_cut",
-                (F.col("_part") - F.col("_before")).alias("_rest"))
-    rest = rows.filter("_cut").select("source", "size", "_uid", "_rest")
-    two = slices(rest, ["source"], 1 + SLICE, "_rest") \
-        .withColumn("_cut2", (F.col("_before") < F.col("_need"))) \
-        .withColumn("_all2", F.col("_before") + F.col("_n") <= F.col("_need")) \
-        .select("source", "_slice", "_all2", "_cut2", (F.col("_need") - F.col("_before")).alias("_rest2"))
-    edge = rest.alias("b").join(two.filter("_cut2").alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))
-                                & (F.substring("b._uid", 1 + SLICE, SLICE) == F.col("s._slice")))
-    order = Window.partitionBy("source", "_slice").orderBy("_uid")
-    alike = edge.groupBy("b.source", "s._slice", "_uid", "_all2", "_rest2") \
-        .agg(F.sum("size").alias("_n"), F.max("size").alias("_size"))
-    upto = alike.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
-    extra = upto.filter((F.col("_all2")) | (F.col("_before") + F.col("_n") / 2 < F.col("_rest2"))) \
-        .select(F.col("source").alias("_esource"), F.col("_uid").alias("_euid")).withColumn("_extra", F.lit(1))
-    out = rows.join(extra, F.col("source").eqNullSafe(F.col("_esource")) & (F.col("_uid") == F.col("_euid")), "left")
-    copies = F.col("_whole") + F.when(F.col("_all"), 1).otherwise(F.coalesce(F.col("_extra"), F.lit(0)))
-    return out.select("doc_id", "_uid", "source", "size", "source_size", "target",
-                      F.when(F.col("size") > 0, copies).otherwise(F.col("_whole")).cast("long").alias("copies"))
+    weighed = cut_lineage(sizes.join(w, sizes["source"].eqNullSafe(w["source"]))
+                          .select(sizes["source"], "source_size", "weight"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = cut_lineage(water_fill(weighed, max_epochs, share).withColumn("whole", whole)
+                       .withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")))
+
+    def slices(rows: DataFrame, at: int) -> DataFrame:
+        """Words of each slice of the hash and of those before it, against the words
+        still wanted: full slices, and the one that the target falls into."""
+        s = rows.groupBy("source", F.substring("uid", at, SLICE).alias("slice")).agg(
+            F.sum("size").alias("n"), F.max("uid").alias("last"), F.first("part").alias("part"))
+        before = F.sum("n").over(Window.partitionBy("source").orderBy("slice")) - F.col("n")
+        s = s.withColumn("before", before).withColumn("full", F.col("before") + F.col("n") <= F.col("part"))
+        return cut_lineage(s.withColumn("edge", ~F.col("full") & (F.col("before") < F.col("part"))))
+
+    def into(rows: DataFrame, s: DataFrame, at: int) -> DataFrame:
+        """The rows of the slice that the target falls into, and what it still takes."""
+        edge = s.filter("edge").select(F.col("source").alias("_s"), "slice", (F.col("part") - F.col("before")).alias("part"))
+        return rows.drop("part").join(edge, F.col("source").eqNullSafe(F.col("_s")) & (
+            F.substring("uid", at, SLICE) == F.col("slice"))).drop("_s", "slice")
+
+    rows = measured.select("source", "size", "uid").filter("size > 0")
+    parts = plan.select(F.col("source").alias("_s"), "part").filter("part > 0")
+    one = slices(rows.join(parts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), 1)
+    rest = into(rows, one, 1)
+    two = slices(rest, 1 + SLICE)
+    alike = into(rest, two, 1 + SLICE).groupBy("source", "uid").agg(F.sum("size").alias("n"), F.first("part").alias("part"))
+    order = Window.partitionBy("source").orderBy("uid")
+    nearest = alike.withColumn("before", F.sum("n").over(order) - F.col("n")) \
+        .filter(F.col("before") + F.col("n") / 2 < F.col("part"))
+    taken = one.filter("full").select("source", "last").unionByName(two.filter("full").select("source", "last")) \
+        .unionByName(nearest.select("source", F.col("uid").alias("last")))
+    cut = taken.groupBy(F.col("source").alias("_s")).agg(F.max("last").alias("cut"))
+    return cut_lineage(plan.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left")
+                       .select("source", "source_size", "target", "whole", "cut"))
+
+
+def copies_of(rows: DataFrame, plan: DataFrame, source: str = "source") -> DataFrame:
+    """Add ``source_size``, ``target`` and ``copies`` to rows with ``size`` and ``uid``."""
+    p = plan.withColumnRenamed("source", "_s")
+    extra = F.when((F.col("size") > 0) & (F.col("uid") <= F.col("cut")), 1).otherwise(0)
+    return rows.join(p, F.col(source).eqNullSafe(F.col("_s"))) \
+        .withColumn("copies", (F.col("whole") + extra).cast("long")).drop("_s", "whole", "cut")

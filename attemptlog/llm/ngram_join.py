@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attemptlog.llm import tokens
+from attemptlog.llm import gather, tokens
 from attemptlog.llm.graph import connected_components
 from attemptlog.llm.signature_tree import signature, tree_join
 from attemptlog.session import cut_lineage
 
 #: The sketch counts documents a token, for the order in which rare tokens come first.
-SKETCH_BITS, SKETCH_PARTS = 18, 256
+SKETCH_BITS = 18
 #: A group with more documents, or more bytes of sets, is joined block by block.
 BLOCK_ROWS, BLOCK_BYTES = 8192, 32 << 20
 #: Members of candidate groups are broadcast up to so many, else joined by a shuffle.
@@ -56,48 +56,34 @@ def _each(batches, text: str, n: int):
             yield batch.slice(lo, hi - lo), flat, ends, _fingerprints(flat, ends, _F1)
 
 
-def _signatures(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+def _signatures(docs: DataFrame, n: int, doc_id: str, text: str, also: list[str]) -> DataFrame:
     """One row a document (id, size, class = 64-bit fingerprint, second fingerprint,
     signature) and, with ``part``, the sketch of each input partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["doc_id", "n", "cls", "check", "sig", "part", "counts"]
+        counts, kinds = np.zeros(1 << SKETCH_BITS, np.int32), None
+        names = [*ids, "n", "cls", "check", "sig", "part", "counts"]
         for batch, flat, ends, f1 in _each(batches, "text", n):
             np.add(counts, np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
                                        minlength=len(counts)).astype(np.int32), out=counts)
+            kinds = [batch.column(c).type for c in ids]
             sig = [signature(flat[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             k = len(batch)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(f1.view(np.int64)),
+                *[batch.column(c) for c in ids], pa.array(np.diff(ends)), pa.array(f1.view(np.int64)),
                 pa.array(_fingerprints(flat, ends, _F2).view(np.int64)), pa.array(sig, pa.binary()),
                 pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-        k = SKETCH_PARTS
-        yield pa.RecordBatch.from_arrays([
-            pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-            pa.nulls(k, pa.binary()), pa.array(np.arange(k), pa.int32()),
-            pa.array([x.tobytes() for x in np.split(counts, k)], pa.binary())], names=names)
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, cls long, check long, sig binary, part int, counts binary")
-
-
-def _sketch(signed: DataFrame) -> np.ndarray:
-    """Documents a bucket of tokens over the whole corpus, of fixed size."""
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"part": pdf["part"][:1], "counts": [total.tobytes()]})
-
-    def wide(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"part": pdf["part"][:1], "counts": [total.tobytes()]})
-    parts = signed.filter("part is not null").select("part", "counts") \
-        .withColumn("_of", F.pmod(F.monotonically_increasing_id() / F.lit(SKETCH_PARTS), F.lit(64)).cast("int"))
-    summed = parts.groupBy("part", "_of").applyInPandas(wide, "part int, counts binary") \
-        .groupBy("part").applyInPandas(add, "part int, counts binary")
-    rows = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in summed.collect()}  # SKETCH_PARTS rows
-    if not rows:
-        return np.zeros(1 << SKETCH_BITS, np.int64)
-    return np.concatenate([rows[k] for k in range(SKETCH_PARTS)])
+        if kinds is None:
+            return
+        none = [pa.nulls(gather.PARTS, t) for t in [*kinds, pa.int64(), pa.int64(), pa.int64(), pa.binary()]]
+        yield pa.RecordBatch.from_arrays([*none, *gather.pieces(counts)], names=names)
+
+    ids = ["_key", *also]
+    rows = docs.select(F.col(doc_id).alias("_key"), *also, F.col(text).alias("text"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.select(*ids).schema])
+    for name, kind in (("n", T.LongType()), ("cls", T.LongType()), ("check", T.LongType()), ("sig", T.BinaryType()),
+                       ("part", T.IntegerType()), ("counts", T.BinaryType())):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(run, schema)
 
 
 def _prefixes(docs: DataFrame, n: int, text: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
@@ -211,12 +197,13 @@ def _sets_of(docs: DataFrame, members: DataFrame, n: int, text: str) -> DataFram
 
 
 def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id",
-                     text: str = "text") -> DataFrame:
+                     text: str = "text", also: list[str] | None = None) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of at least ``num`` / ``den``
     on their distinct word ``n``-grams.
 
-    Returns one row a document: ``doc_id``, ``n_shingles``, ``cls`` (documents with
-    equal sets share it), ``component_id``: the least ``doc_id`` reachable by links.
+    Returns one row a document: its ``doc_id`` column, the columns named in ``also``,
+    ``n_shingles``, ``cls`` (documents with equal sets share it) and ``component_id``:
+    the least ``doc_id`` reachable by links.
 
     Words are runs without white space, A-Z lower-cased; a document of fewer than
     ``n`` words has its whole sequence as its only n-gram.  Null and empty texts
@@ -236,11 +223,12 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     Tokens are 64-bit hashes; two sets with the same 64-bit class are told apart by
     a second fingerprint and raise an error.
     """
-    signed = cut_lineage(_signatures(docs, n, doc_id, text))
-    sketch = _sketch(signed)
-    rows = signed.filter("part is null").select("doc_id", "n", "cls", "check", "sig")
+    also = list(also or [])
+    signed = cut_lineage(_signatures(docs, n, doc_id, text, also))
+    sketch = gather.add_up(signed.filter("part is not null"), 1 << SKETCH_BITS)
+    rows = signed.filter("part is null")
     classes = cut_lineage(rows.filter("n > 0").groupBy("cls").agg(
-        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"),
+        F.min("_key").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"),
         (F.min("check") != F.max("check")).alias("_clash")))
     if not classes.filter("_clash").isEmpty():
         raise RuntimeError("two different sets share a 64-bit class; run again with another _F1")
@@ -264,6 +252,6 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
         .select("cls", "least", F.coalesce("component", "cls").alias("_part"))
     least = parts.groupBy("_part").agg(F.min("least").alias("component_id"))
     named = parts.join(least, "_part").select("cls", "component_id", F.lit(True).alias("_known"))
-    out = rows.select("doc_id", "n", "cls").join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "cls",
-                      F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("_key", *also, "n", "cls").join(named, "cls", "left")
+    return out.select(F.col("_key").alias(doc_id), *also, F.col("n").alias("n_shingles"), "cls",
+                      F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("_key")).alias("component_id"))

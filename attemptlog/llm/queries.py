@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlog.llm import decontaminate, mixing, ngram_join, pii, quality_rules, sharding, url_filter
+from attemptlog.llm import (decontaminate, html_extract, langid, mixing, ngram_join, pii, quality_model, quality_rules,
+                            sharding, url_filter)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +25,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# -- 1: html extraction -------------------------------------------------------------------------
+@query("op1_html_extract")
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_extract.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 # -- 2: url filters -----------------------------------------------------------------------------
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
          url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
@@ -152,7 +160,8 @@ JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.uid = c.uid
 
 @query("op4_mix_sources", OP4_SQL)
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mix(_table(spark, sf_dir, "documents"))
+    measured = mixing.measure(_table(spark, sf_dir, "documents"))
+    m = mixing.copies_of(measured, mixing.plan_mix(measured))
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -276,3 +285,29 @@ JOIN (SELECT a AS rid, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.ri
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.ngram_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+# -- 9: quality classifier ----------------------------------------------------------------------
+def _remainder(n: int):
+    """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(_remainder(4) != 2)
+    vectors = quality_model.learn_vectors(docs)
+    net = quality_model.learn_net(docs, labels, vectors)
+    scored = quality_model.score_quality(docs, vectors, net)
+    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+# -- 10: language identification ----------------------------------------------------------------
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn_languages(docs.filter(_remainder(3) != 1))
+    return langid.identify(docs.select("doc_id", "text"), model) \
+        .select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
