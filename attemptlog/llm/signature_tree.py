@@ -10,12 +10,13 @@ import numpy as np
 FAN = 16
 #: Node pairs expanded at once, and documents tried as a hub before the traversal.
 CHUNK, HUBS = 8192, 4
-MIN_BITS, MAX_BITS = 64, 1 << 15
+#: Bits a token at least, rounded up to a power of two: more bits, fewer pairs that only seem similar.
+BITS_A_TOKEN, MIN_BITS, MAX_BITS = 1, 64, 1 << 17
 
 
 def width(n: int) -> int:
-    """Bits of the signature of a set of ``n`` tokens: the next power of two."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << max(0, int(n) - 1).bit_length()))
+    """Bits of the signature of a set of ``n`` tokens."""
+    return min(MAX_BITS, max(MIN_BITS, 1 << max(0, BITS_A_TOKEN * int(n) - 1).bit_length()))
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
@@ -170,14 +171,21 @@ def tree_join(bits: list[np.ndarray], n: np.ndarray, num: int, den: int,
             rest[first] = False
             i, j = i[rest], j[rest]
 
-    if m <= FAN:        # one leaf
-        flat = np.concatenate([fold(b[None, :], int(words.min(initial=0))) for b in bits]) if m else np.zeros((0, 1), np.uint64)
-        leaf = (flat, n, n, n - np.bitwise_count(flat).sum(1, dtype=np.int64))
+    if m <= FAN:        # one leaf: every pair, at the narrower of its widths
         i, j = np.triu_indices(m, 1)
+        near = (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
         if side is not None:
-            i, j = i[side[i] != side[j]], j[side[i] != side[j]]
-        ok = _possible(tuple(x[i] for x in leaf), tuple(x[j] for x in leaf), num, den)
-        try_pairs(i[ok], j[ok])
+            near &= side[i] != side[j]
+        i, j = i[near], j[near]
+        pair = np.minimum(words[i], words[j])
+        for w in np.unique(pair).tolist():
+            a, b = i[pair == w], j[pair == w]
+
+            def leaf(k: np.ndarray, w: int = w) -> tuple:
+                flat = np.concatenate([fold(bits[x][None, :], w) for x in k])
+                return flat, n[k], n[k], n[k] - np.bitwise_count(flat).sum(1, dtype=np.int64)
+            ok = _possible(leaf(a), leaf(b), num, den)
+            try_pairs(a[ok], b[ok])
         return forest.joined
     by_width = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
     for w, ids in by_width.items():
