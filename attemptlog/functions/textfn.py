@@ -58,11 +58,14 @@ def parse_list(c, element: str = "double") -> Column:
     return F.from_json(txt, f"array<{element}>")
 
 
-def split_paths(c, sep: str = "@$") -> Column:
-    """path string -> ARRAY<STRUCT<start, path, end>>; empty string -> []."""
+def split_paths(c, sep: str = "@$", min_entry: int = 0) -> Column:
+    """path string -> ARRAY<STRUCT<start, path, end>>; empty string -> [].
+    Entries whose trimmed text is no longer than ``min_entry`` are left out."""
     c = _c(c)
     parts = F.when((c.isNull()) | (c == ""), F.array().cast("array<string>")) \
              .otherwise(F.split(c, F.lit(_regex_quote(sep))))
+    if min_entry:
+        parts = F.filter(parts, lambda p: F.length(F.trim(p)) > min_entry)
     return F.transform(parts, lambda p: F.struct(
         F.split(p, ",")[0].alias("start"), F.split(p, ",")[1].alias("path"),
         F.split(p, ",")[2].alias("end")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attemptlog.functions.timefn import seconds_between
@@ -141,17 +141,18 @@ def attempt_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def trim_after_best(rows: DataFrame, mode: str = "all") -> DataFrame:
     """W3 on flat sequenced rows (Q6).
 
-    ``all``: keep attempts up to the first maximum (scores, code and times).
+    ``all``: keep attempts up to the first maximum (scores, code and times);
+    a task without any score keeps all its attempts.
     ``code_if_perfect``: keep every attempt but mark ``code_kept`` only up to
     the first maximum, and only when that maximum is the perfect score
     (``perfect`` column, default 100).
     """
     if mode == "all":
-        return rows.filter(F.col("pos") <= F.col("best_pos"))
+        return rows.filter(F.col("best_pos").isNull() | (F.col("pos") <= F.col("best_pos")))
     if mode == "code_if_perfect":
         perfect = F.col("perfect") if "perfect" in rows.columns else F.lit(100.0)
         return rows.withColumn(
-            "code_kept", (F.col("best") != perfect) | (F.col("pos") <= F.col("best_pos")))
+            "code_kept", F.col("best").isNull() | (F.col("best") != perfect) | (F.col("pos") <= F.col("best_pos")))
     if mode == "none":
         return rows
     raise ValueError(f"unknown trim mode {mode!r}")
@@ -197,7 +198,7 @@ def summarize_attempts(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     rows = trim_after_best(rows, "all" if trim == "all" else "none")
     succ = (F.max(F.when(F.col("pos") == F.col("n_eff"), F.col(score))) == F.lit(perfect)) \
         if success == "last" else (F.max(F.col(score)) >= F.lit(perfect))
-    rows = rows.withColumn("n_eff", F.when(F.lit(trim == "all"), F.col("best_pos"))
+    rows = rows.withColumn("n_eff", F.when(F.lit(trim == "all"), F.coalesce("best_pos", "n"))
                            .otherwise(F.col("n")))
     aggs = [
         F.count(F.lit(1)).cast("long").alias("num_snapshots"),
@@ -219,15 +220,3 @@ def summarize_attempts(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     out = rows.groupBy(*keys).agg(*aggs)
     return out.withColumn("time_to_solve",
                           seconds_between("end_time", "start_time", wrap_day))
-
-
-def attempt_lists(summary: DataFrame) -> DataFrame:
-    """Project the nested ``attempts`` array to parallel lists (output contract)."""
-    return (summary.withColumn("times", F.transform("attempts", lambda a: a["ts"]))
-                   .withColumn("scores", F.transform("attempts", lambda a: a["score"])))
-
-
-def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn") -> DataFrame:
-    """Window row number for small, bounded groups (e.g. <= 50 tasks per student)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w))

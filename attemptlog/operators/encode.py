@@ -111,9 +111,10 @@ def decode_interactions(df: DataFrame, n_tasks: int | Column, col: str = "intera
     return df.withColumn(out, q).withColumn(out + "_shifted", shifted)
 
 
-def one_hot_target(df: DataFrame, n_tasks: int, col: str = "target_q", out: str = "target_one_hot") -> DataFrame:
+def one_hot_target(df: DataFrame, n_tasks: int | Column, col: str = "target_q", out: str = "target_one_hot") -> DataFrame:
     """One-hot vector of the target index (length ``n_tasks + 1``, slot 0 = padding)."""
-    return df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(n_tasks)),
+    return df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(n_tasks).cast("int") if isinstance(n_tasks, int)
+                                                     else n_tasks.cast("int")),
                                           lambda i: (i == F.col(col)).cast("int")))
 
 
@@ -123,10 +124,11 @@ def one_hot_target(df: DataFrame, n_tasks: int, col: str = "target_q", out: str
 
 
 def path_entries(paths: DataFrame, key: Sequence[str], col: str = "RawASTPath",
-                 max_paths: int | None = None) -> DataFrame:
-    """one row per (key, entry position) with start, path, end."""
+                 max_paths: int | None = None, min_entry: int = 0) -> DataFrame:
+    """one row per (key, entry position) with start, path, end.  Entries whose
+    trimmed text is no longer than ``min_entry`` are left out."""
     key = list(key)
-    arr = split_paths(col)
+    arr = split_paths(col, min_entry=min_entry)
     if max_paths:
         arr = F.slice(arr, 1, max_paths)
     return paths.select(*key, F.posexplode(arr).alias("entry", "e")) \
@@ -134,22 +136,20 @@ def path_entries(paths: DataFrame, key: Sequence[str], col: str = "RawASTPath",
 
 
 def path_vocabulary(paths: DataFrame, key: Sequence[str], train_ids: DataFrame | None = None,
-                    student: str = "student_id", col: str = "RawASTPath",
-                    weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+                    student: str = "student_id", col: str = "RawASTPath") -> tuple[DataFrame, DataFrame]:
     """A30 + F26: node and path vocabularies from training students only.
 
-    Tokens of trimmed length <= 3 are left out of the vocabulary; indices
-    start at 2 (0 = END, 1 = UNK), ordered by count desc, then token.
-    ``weight`` counts a row that many times (distinct snippets weighted by
-    their number of uses, instead of exploding every use)."""
+    Entries (not tokens) of trimmed length <= 3 are left out; every token of the
+    others counts.  ``paths`` has one row per distinct code, so a code counts
+    once, however often it is used.  Indices start at 2 (0 = END, 1 = UNK),
+    ordered by count desc, then token."""
     p = paths if train_ids is None else paths.join(train_ids.select(student), student, "left_semi")
-    e = path_entries(p.withColumn("_w", F.col(weight) if weight else F.lit(1)), list(key) + ["_w"], col)
-    nodes = e.select(F.explode(F.array("start", "end")).alias("token"), "_w")
-    pth = e.select(F.col("path").alias("token"), "_w")
+    e = path_entries(p, list(key), col, min_entry=3)
+    nodes = e.select(F.explode(F.array("start", "end")).alias("token"))
+    pth = e.select(F.col("path").alias("token"))
 
     def vocab(t: DataFrame) -> DataFrame:
-        t = t.filter(F.length(F.trim("token")) > 3)
-        c = t.groupBy("token").agg(F.sum("_w").cast("long").alias("count"))
+        c = t.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
         c = c.withColumn("_neg", -F.col("count"))
         r = global_rank(c, ["_neg", "token"], out="index")
         return r.withColumn("index", F.col("index") + 2).drop("_neg")
@@ -176,6 +176,24 @@ def encode_code_steps(paths: DataFrame, node_vocab: DataFrame, path_vocab: DataF
                               for f in ("start_idx", "path_idx", "end_idx")])
 
 
+def code_step_rows(df: DataFrame, row_key: Sequence[str], n_tasks: int | Column, length: int = 100,
+                   q: str = "prev_q", labels: str = "prev_labels", codes: str = "prev_tasks") -> DataFrame:
+    """K19 (long form): the last ``length`` attempts of each row's history as steps.
+
+    One row per (row, ``step``): ``step`` counts from 0 in a sequence left-padded
+    to ``length`` (padding steps have no row), ``interaction`` is the place of the
+    1 in the 2N interaction part (q when the task's label is true and the attempt is
+    its last, q + N otherwise) and ``code`` the attempt's snapshot, whose path
+    indices (:func:`encode_code_steps`, once per snippet) join on it."""
+    N = F.lit(n_tasks) if isinstance(n_tasks, int) else n_tasks
+    z = F.arrays_zip(F.col(q).alias("q"), F.col(labels).alias("l"), F.col(codes).alias("c"))
+    steps = F.flatten(F.transform(z, lambda x: F.transform(x["c"], lambda c, i: F.struct(
+        F.when(x["l"] & (i == F.size(x["c"]) - 1), x["q"]).otherwise(x["q"] + N).alias("interaction"), c.alias("code")))))
+    kept = F.slice(steps, F.greatest(F.size(steps) - length, F.lit(0)) + 1, length)
+    ex = df.select(*row_key, kept.alias("_s")).select(*row_key, F.size("_s").alias("_n"), F.posexplode("_s").alias("_i", "_x"))
+    return ex.select(*row_key, (F.col("_i") + length - F.col("_n")).cast("long").alias("step"), "_x.interaction", "_x.code")
+
+
 def _field(name: str):
     return lambda x: x[name]
 

@@ -12,19 +12,22 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attemptlog.operators.struggle import score_failures
+
 
 def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """L2: first ``n`` rows by an explicit order (the order must be total)."""
     return df.orderBy(*order).limit(n)
 
 
-def sample_failures(summary: DataFrame, n: int = 10, seed: int = 42, num_snapshots: int = 10,
+def sample_failures(summary: DataFrame, n: int = 10, seed: int = 42, num_snapshots: int | tuple[int, int] = 10,
                     max_gap: int | None = 600, keys: Sequence[str] = ("student_id", "problem_id")) -> DataFrame:
-    """L4: a seeded sample of ``n`` failed tasks with exactly ``num_snapshots``
-    attempts; sampled tasks with a long gap are then skipped (so at most ``n``
+    """L4: a seeded sample of ``n`` failed tasks (best score not perfect) with
+    ``num_snapshots`` attempts (a number, or least and most); sampled tasks with a long gap are then skipped (so at most ``n``
     rows come back, as in the original)."""
-    cand = summary.filter(~F.col("success").cast("boolean") & (F.col("num_snapshots") == num_snapshots))
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    lo, hi = num_snapshots if isinstance(num_snapshots, tuple) else (num_snapshots, num_snapshots)
+    cand = score_failures(summary).filter(F.col("num_snapshots").between(lo, hi))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     s = cand.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
     return s.filter(F.col("max_gap") <= max_gap) if max_gap is not None else s
 

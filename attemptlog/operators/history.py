@@ -31,12 +31,14 @@ from attemptlog.session import cut_lineage
 
 def task_table(attempts: DataFrame, keys: Sequence[str], order: Sequence[str],
                trim: str = "all", perfect: float = 100.0, code: str | None = "code_id",
-               ts: str = "ts", score: str = "score", lists: bool = True) -> DataFrame:
+               ts: str = "ts", score: str = "score", lists: bool = True,
+               sentinel: float | None = None) -> DataFrame:
     """One row per task with the ordered attempt array and its statistics.
 
     ``trim='all'`` (dataset B) cuts scores, snapshots and times at the first
     maximum; ``'code_if_perfect'`` (dataset A) cuts only the snapshots and only
-    when the maximum is perfect (Q6).
+    when the maximum is perfect (Q6).  A task without any score keeps all its
+    attempts and a NULL maximum.  With ``sentinel``, ``n_sentinel`` counts it.
     """
     keys = list(keys)
     carry = [code] if code else []
@@ -52,6 +54,8 @@ def task_table(attempts: DataFrame, keys: Sequence[str], order: Sequence[str],
              F.max_by(F.col(ts), F.col("pos")).alias("end_time"),
              F.max(score).alias("max_score"),
              F.count(F.lit(1)).cast("long").alias("num_snapshots")]
+    if sentinel is not None:
+        stats.append(F.count_if(F.col(score) == F.lit(float(sentinel))).alias("n_sentinel"))
     if not lists:
         # statistics only: plain partial aggregates, no per-task arrays
         return rows.groupBy(*keys).agg(*stats)
@@ -60,12 +64,7 @@ def task_table(attempts: DataFrame, keys: Sequence[str], order: Sequence[str],
     if code:
         fields.append(F.col(code).alias("code"))
     t = rows.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("attempts"),
-        F.min_by(F.col(ts), F.col("pos")).alias("start_time"),
-        F.max_by(F.col(ts), F.col("pos")).alias("end_time"),
-        F.max(score).alias("max_score"),
-        F.count(F.lit(1)).cast("long").alias("num_snapshots"),
-    )
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("attempts"), *stats)
     t = t.withColumn("scores", F.transform("attempts", lambda a: a["score"])) \
          .withColumn("times", F.transform("attempts", lambda a: a["ts"]))
     if code:
@@ -82,10 +81,12 @@ def valid_students(tasks: DataFrame, group: Sequence[str] = ("student_id", "cour
     ``n`` tasks (in problem-id order) hold at most ``max_bad`` sentinel scores.
 
     Tasks per group are bounded by the problem catalogue, so the window is over
-    a small group; the sentinel count per task is an array ``filter``.
+    a small group.  Tasks carry the sentinel count ``n_sentinel`` (a statistic of
+    :func:`task_table`) or, failing that, the ``scores`` array.
     """
     w = Window.partitionBy(*group).orderBy(*task_order)
-    bad = F.size(F.filter("scores", lambda s: s == F.lit(sentinel)))
+    bad = F.col("n_sentinel") if "n_sentinel" in tasks.columns else \
+        F.size(F.filter("scores", lambda s: s == F.lit(sentinel)))
     t = tasks.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n)
     per = t.groupBy(*group).agg(F.sum(bad).alias("_bad"))
     return per.filter(F.col("_bad") <= max_bad).select(student).distinct()
@@ -114,7 +115,7 @@ def label_struggle(tasks: DataFrame, questions: DataFrame | None = None, q: floa
     if drop_types and "type" in j.columns:
         j = j.filter(~F.col("type").isin(list(drop_types)))
     return (j.withColumn("below_p75", F.col("num_snapshots") <= F.col("p75"))
-             .withColumn("correct_eventually", F.col("max_score") >= perfect)
+             .withColumn("correct_eventually", F.coalesce(F.col("max_score") >= perfect, F.lit(False)))
              .withColumn("Label", F.col("below_p75") & F.col("correct_eventually")))
 
 
@@ -220,11 +221,12 @@ def submission_stages(subs: DataFrame, questions: DataFrame, n_hist: int = 30,
     """
     keys = list(keys)
     group = [k for k in keys if k != "problem_id"]
-    tasks = cut_lineage(task_table(subs, keys, list(order), trim="all", perfect=perfect, code=code))
+    tasks = cut_lineage(task_table(subs, keys, list(order), trim="all", perfect=perfect, code=code,
+                                   sentinel=sentinel))
     ok = valid_students(tasks, group=group, n=valid_n, max_bad=valid_max_bad,
                         sentinel=sentinel)
     tasks = tasks.join(ok, "student_id", "left_semi") \
-                 .filter(~F.array_contains("scores", F.lit(sentinel)))
+                 .filter(F.col("n_sentinel") == 0)
     qs = questions.withColumn("prompt", clean_prompt(F.col("prompt")))
     qkeys = list(question_keys)
     cond = [tasks[qk] == qs["id" if qk == "problem_id" else qk] for qk in qkeys]
@@ -282,7 +284,7 @@ def prepare_event_log(events: DataFrame, code: DataFrame, early: DataFrame, late
     if event_type is not None:
         ev = ev.filter(F.col("event_type") == event_type)
     code = code.na.drop(subset=["code"])
-    ev = ev.na.drop(subset=[c for c in keys + list(order) + ["ts", "code_id"]])
+    ev = ev.na.drop(subset=keys + ["code_id"])      # an attempt without an order or time stays
     # J1 (semi join on code) followed by J2 (left join of the code text) is one
     # inner join: a single shuffle of the event log instead of two.
     ev = ev.join(code, "code_id", "inner")                                 # J1 + J2

@@ -88,10 +88,9 @@ def _diff_counts(a: str | None, b: str | None, count_headers: bool) -> tuple[int
     a_lines = (a or "").splitlines()
     b_lines = (b or "").splitlines()
     deleted = inserted = 0
-    for line in difflib.unified_diff(a_lines, b_lines):
-        if line.startswith("---") or line.startswith("+++"):
-            if not count_headers:
-                continue
+    for k, line in enumerate(difflib.unified_diff(a_lines, b_lines)):
+        if k < 2 and not count_headers:     # a non-empty diff starts with its two header lines
+            continue
         if line.startswith("-"):
             deleted += 1
         elif line.startswith("+"):

@@ -2,8 +2,7 @@
 
 Join strategy is left to Catalyst/AQE: a lookup side whose estimated size is
 under ``spark.sql.autoBroadcastJoinThreshold`` is broadcast, anything larger
-is shuffled.  :func:`broadcast_if_small` makes that size check explicit for
-callers that want a hint.
+is shuffled.
 """
 
 from __future__ import annotations
@@ -16,20 +15,6 @@ from pyspark.sql import functions as F
 from attemptlog.operators.attempts import first_per_key
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of a plan (no job is run)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only when the estimated size is below ``max_bytes``;
-    otherwise return the frame unchanged (a shuffle join is planned)."""
-    try:
-        return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
-    except Exception:  # noqa: BLE001 - estimates unavailable: plan a shuffle join
-        return df
-
-
 def with_code_only(attempts: DataFrame, code: DataFrame, key: str = "code_id") -> DataFrame:
     """Attempts whose code state exists (left semi join)."""
     return attempts.join(code.select(key), key, "left_semi")

@@ -12,7 +12,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attemptlog.operators.sequence import sequenced
 from attemptlog.session import cut_lineage
 
 
@@ -118,25 +117,38 @@ def extend_with_rubric(df: DataFrame, scores: DataFrame, student: str = "student
     return j.withColumn(col, F.concat(F.col(col), F.array("dec_avg", "alg_avg", "read_avg")))
 
 
-def task_pairs(items: DataFrame, group: str = "student_id", order: str = "id",
-               back: int = 5) -> DataFrame:
-    """Pair each item with its ``back`` predecessors in its group.
-
-    Positions come from the skew-safe ``sequenced``; the pairs are an equi-join
-    on (group, position), a key that is unique per row, so no hot key.
-    """
-    pos = sequenced(items, [group], [order]).select(group, order, "pos", "vec")
-    offs = items.sparkSession.range(1, back + 1).withColumnRenamed("id", "back")
-    t = pos.crossJoin(F.broadcast(offs)).withColumn("_pp", F.col("pos") - F.col("back")) \
-           .filter(F.col("_pp") >= 1)
-    p = pos.select(F.col(group), F.col("pos").alias("_pp"), F.col(order).alias("prev_id"),
-                   F.col("vec").alias("prev_vec"))
-    return t.join(p, [group, "_pp"], "inner").drop("_pp")
-
-
-def task_similarity(items: DataFrame, group: str = "student_id", order: str = "id",
-                    back: int = 5) -> DataFrame:
-    """K7: cosine similarity of each item to each of its predecessors."""
-    pr = task_pairs(items, group, order, back)
-    return pr.select(group, F.col(order).alias("target_id"), "back", "prev_id",
-                     cosine(F.col("vec"), F.col("prev_vec")).alias("similarity"))
+def task_pairs(targets: DataFrame, history: DataFrame, group: Sequence[str] = ("student_id", "course_id"),
+               task: str = "problem_id", order: str = "row_number") -> DataFrame:
+    """Every target task with every task of the person's history.
+
+    ``targets`` and ``history`` have one row per task; a history holds at most
+    ``n_hist`` tasks and a person at most ``n_last - n_hist`` targets, so the equi-join
+    on the person is bounded per person."""
+    group = list(group)
+    h = history.select(*group, F.col(task).alias("prev_id"), F.col(order).alias("position"))
+    return targets.select(*group, F.col(task).alias("target_id")).join(h, group, "inner")
+
+
+def task_similarity(targets: DataFrame, history: DataFrame, vectors: DataFrame,
+                    group: Sequence[str] = ("student_id", "course_id"), task: str = "problem_id",
+                    order: str = "row_number") -> DataFrame:
+    """K7: cosine similarity of each target to all previous tasks, from the question
+    vectors (``id``, ``vec``; questions without one give NULL).
+
+    Cosines are computed once per distinct pair of questions and joined back."""
+    pairs = cut_lineage(task_pairs(targets, history, group, task, order))
+    v = vectors.select(F.col("id").alias("_id"), F.col("vec"))
+    distinct = pairs.select("target_id", "prev_id").distinct()
+    cos = distinct.join(v, distinct["target_id"] == v["_id"]).drop("_id").withColumnRenamed("vec", "_a") \
+        .join(v, F.col("prev_id") == F.col("_id")).drop("_id") \
+        .select("target_id", "prev_id", cosine(F.col("_a"), F.col("vec")).alias("similarity"))
+    return pairs.join(cos, ["target_id", "prev_id"], "left")
+
+
+def similarity_arrays(similar: DataFrame, group: Sequence[str] = ("student_id", "course_id"),
+                      out: str = "similarities") -> DataFrame:
+    """per target the similarities in the order of the history (one array of at
+    most ``n_hist`` entries); 0 where a question has no vector."""
+    g = similar.groupBy(*group, "target_id").agg(F.sort_array(F.collect_list(
+        F.struct("position", F.coalesce("similarity", F.lit(0.0)).alias("s")))).alias("_s"))
+    return g.select(*group, "target_id", F.transform("_s", lambda x: x["s"]).alias(out))

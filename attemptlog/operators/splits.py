@@ -36,8 +36,14 @@ def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
     local = r.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order)))
     # the offset table is bounded by (#groups x #partitions); let AQE pick the join
-    j = local.join(offs, by + ["_p"], "inner")
-    return j.withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_off")
+    # (null-safe: NULL is a group like any other)
+    offs = offs.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_p").alias("_op"), "_off")
+    same = F.col("_p") == F.col("_op")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    j = local.join(offs, same, "inner")
+    return j.withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("long")) \
+        .drop("_p", "_op", "_r", "_off", *[f"_by{k}" for k in range(len(by))])
 
 
 def index_students(df: DataFrame, col: str = "student_id", out: str = "student_id_encoded",
@@ -56,12 +62,17 @@ def student_label(df: DataFrame, student: str = "student_id", label: str = "Labe
         F.min_by(F.col(label), F.struct(*[F.col(c) for c in order])).alias(label))
 
 
+def seeded_order(student: str, seed: int):
+    """A seeded pseudo-random order of ids: md5 of seed and id, as text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(student).cast("string")))
+
+
 def stratified_folds(labels: DataFrame, k: int = 5, seed: int = 42,
                      student: str = "student_id", label: str = "Label") -> DataFrame:
     """Students of each label ordered by a seeded hash and dealt round-robin
-    into ``k`` folds, so per-label fold sizes differ by at most one."""
-    h = labels.withColumn("_h", F.xxhash64(F.col(student).cast("string"), F.lit(seed)))
-    r = global_rank(h, ["_h", student], [label], "_rank")
+    into ``k`` folds, so per-label fold sizes differ by at most one.  Students with
+    a NULL label form a stratum of their own."""
+    r = global_rank(labels.withColumn("_h", seeded_order(student, seed)), ["_h", student], [label], "_rank")
     return r.select(student, label, (F.col("_rank") % k).cast("int").alias("fold"))
 
 
@@ -69,10 +80,9 @@ def stratified_split(labels: DataFrame, fractions=(0.7, 0.1, 0.2), seed: int = 4
                      names=("train", "valid", "test"), student: str = "student_id",
                      label: str = "Label") -> DataFrame:
     """Per-label cut of the seeded hash order into train/valid/test."""
-    h = labels.withColumn("_h", F.xxhash64(F.col(student).cast("string"), F.lit(seed)))
-    r = global_rank(h, ["_h", student], [label], "_rank")
-    sizes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(sizes, label, "inner")
+    r = global_rank(labels.withColumn("_h", seeded_order(student, seed)), ["_h", student], [label], "_rank")
+    sizes = labels.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    r = r.join(sizes, F.col(label).eqNullSafe(F.col("_l")), "inner")
     frac = F.col("_rank") / F.col("_n")
     c1, c2 = fractions[0], fractions[0] + fractions[1]
     split = F.when(frac < c1, names[0]).when(frac < c2, names[1]).otherwise(names[2])

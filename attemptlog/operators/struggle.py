@@ -74,9 +74,10 @@ def time_outliers(tasks: DataFrame, baseline: DataFrame, k: float = 2.0,
                     F.col("avg_time_to_solve") + k * F.col("std_dev_time_to_solve"))
 
 
-def score_failures(summary: DataFrame) -> DataFrame:
-    """Tasks never solved (``success`` false)."""
-    return summary.filter(~F.col("success").cast("boolean"))
+def score_failures(summary: DataFrame, perfect: float = 100.0) -> DataFrame:
+    """Tasks whose best score is not the perfect one, whatever the last
+    attempt is (a task without any score counts as failed)."""
+    return summary.filter(F.coalesce(F.col("max_score") < F.lit(perfect), F.lit(True)))
 
 
 def attempt_outliers(tasks: DataFrame, baseline: DataFrame, k: float = 2.0,

@@ -5,15 +5,6 @@ from attemptlog.plans.registry import ORACLE, QUERIES, finalize, register  # noq
 
 def load_all():
     """Import every query module so that it registers itself."""
-    from attemptlog.plans import q_attempts  # noqa: F401
-    try:
-        from attemptlog.plans import q_history  # noqa: F401
-    except ImportError:
-        pass
-    for mod in ("q_splits", "q_features", "q_text", "q_encode", "q_jobs", "q_more"):
-        try:
-            __import__(f"attemptlog.plans.{mod}")
-        except ImportError as exc:  # module not written yet
-            if f"attemptlog.plans.{mod}" not in str(exc):
-                raise
+    from attemptlog.plans import (q_attempts, q_encode, q_features, q_history, q_jobs,  # noqa: F401
+                                  q_more, q_splits, q_text)
     return QUERIES, ORACLE

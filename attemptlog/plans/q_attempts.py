@@ -271,14 +271,16 @@ def q_without_breaks(spark, d):
 
 # --------------------------- struggle definitions ---------------------------
 
-NB = f""", nb AS (SELECT * FROM deep_summary WHERE num_snapshots > 1 AND max_gap < {NB_BREAK}),
+def nb_sql(src: str = "deep_summary", bound: str = f"< {NB_BREAK}") -> str:
+    """CTEs of the tasks without a break, their baseline and their fastest, over a summary."""
+    return f""", nb AS (SELECT * FROM {src} WHERE num_snapshots > 1 AND max_gap {bound}),
 base AS (SELECT problem_id, avg(time_to_solve) AS avg_time_to_solve,
     var_samp(time_to_solve) AS variance_time_to_solve,
     stddev_samp(time_to_solve) AS std_dev_time_to_solve,
     avg(num_snapshots) AS avg_attempts, var_samp(num_snapshots) AS variance_num_snapshots,
     stddev_samp(num_snapshots) AS std_dev_num_snapshots FROM nb GROUP BY problem_id),
 topn AS (SELECT CAST(floor(avg(s) / 5) AS BIGINT) AS top_n FROM
-    (SELECT problem_id, count(DISTINCT student_id) AS s FROM deep_summary WHERE num_snapshots > 1
+    (SELECT problem_id, count(DISTINCT student_id) AS s FROM {src} WHERE num_snapshots > 1
      GROUP BY problem_id)),
 rk AS (SELECT nb.*, row_number() OVER (PARTITION BY problem_id ORDER BY time_to_solve) AS rt,
     row_number() OVER (PARTITION BY problem_id ORDER BY num_snapshots) AS ra FROM nb),
@@ -288,6 +290,11 @@ fast AS (SELECT problem_id,
     FROM rk, topn GROUP BY problem_id)"""
 
 
+NB = nb_sql()
+# dataset B: gaps up to and including 10 minutes, one standard deviation
+NB_A, NB_B = nb_sql("att_summary"), nb_sql("att_summary", f"<= {NO_BREAK}")
+
+
 def _nb(spark, d):
     s = deep_summary(spark, d)
     return s, S.without_break_tasks(s, NB_BREAK, inclusive=False)
@@ -324,23 +331,51 @@ def q_baseline_overview(spark, d):
     return finalize(S.baseline_overview(S.problem_baseline(nb)))
 
 
-@register("time_outliers", _fix(with_views(["deep_summary"], NB + """
+def _att_nb(spark, d, b: bool = False):
+    """Summary over (student, problem) and its tasks without a break; dataset B counts
+    a task as solved if any attempt is perfect."""
+    s = A.summarize_attempts(V.attempts(spark, d), KEYS, ORDER, success="any" if b else "last")
+    return s, S.without_break_tasks(s, NO_BREAK if b else NB_BREAK, inclusive=b)
+
+
+OUTLIERS = """
 SELECT nb.student_id, nb.problem_id, nb.time_to_solve FROM nb JOIN base USING (problem_id)
-WHERE nb.time_to_solve > base.avg_time_to_solve + 2 * base.std_dev_time_to_solve""")))
+WHERE nb.time_to_solve > base.avg_time_to_solve + {k} * base.std_dev_time_to_solve"""
+
+
+@register("time_outliers", _fix(with_views(["att_summary"], NB_A + OUTLIERS.format(k=2))))
 def q_time_outliers(spark, d):
-    _, nb = _nb(spark, d)
+    _, nb = _att_nb(spark, d)
     out = S.time_outliers(nb, S.problem_baseline(nb), k=2.0)
     return finalize(out.select("student_id", "problem_id", "time_to_solve"))
 
 
+@register("time_outliers_b", _fix(with_views(["att_summary"], NB_B + OUTLIERS.format(k=1))))
+def q_time_outliers_b(spark, d):
+    _, nb = _att_nb(spark, d, b=True)
+    out = S.time_outliers(nb, S.problem_baseline(nb), k=1.0)
+    return finalize(out.select("student_id", "problem_id", "time_to_solve"))
+
+
 @register("score_failures", with_views(["deep_summary"], """
 SELECT student_id, problem_id, num_snapshots, round(max_score, 6) AS max_score
-FROM deep_summary WHERE NOT success"""))
+FROM deep_summary WHERE max_score IS DISTINCT FROM 100"""))
 def q_score_failures(spark, d):
     out = S.score_failures(deep_summary(spark, d))
     return finalize(out.select("student_id", "problem_id", "num_snapshots", "max_score"))
 
 
+@register("score_failures_b", _fix(with_views(["att_rows", "att_summary"], NB_B + """
+, solved AS (SELECT DISTINCT student_id, problem_id FROM att_rows WHERE score = 100)
+SELECT student_id, problem_id, num_snapshots, round(max_score, 6) AS max_score
+FROM nb WHERE (student_id, problem_id) NOT IN (SELECT (student_id, problem_id) FROM solved)""")
+                                     .replace(")\n, solved AS", "),\nsolved AS")))
+def q_score_failures_b(spark, d):
+    _, nb = _att_nb(spark, d, b=True)
+    out = nb.filter(~F.coalesce("success", F.lit(False)))
+    return finalize(out.select("student_id", "problem_id", "num_snapshots", "max_score"))
+
+
 @register("attempt_outliers", _fix(with_views(["deep_summary"], NB + """
 SELECT nb.student_id, nb.problem_id, nb.num_snapshots,
   CAST(nb.num_snapshots > base.variance_num_snapshots + 2 * base.std_dev_num_snapshots AS BIGINT)
@@ -370,35 +405,53 @@ def q_rule_struggle(spark, d):
     return finalize(out.select("student_id", "problem_id", "time_to_solve", "num_snapshots"))
 
 
-MERGE = """, fails AS (SELECT DISTINCT student_id, problem_id FROM deep_summary WHERE NOT success),
+MERGE = """, fails AS (SELECT DISTINCT student_id, problem_id FROM {fails}),
 touts AS (SELECT DISTINCT nb.student_id, nb.problem_id FROM nb JOIN base USING (problem_id)
-          WHERE nb.time_to_solve > base.avg_time_to_solve + 2 * base.std_dev_time_to_solve),
+          WHERE nb.time_to_solve > base.avg_time_to_solve + {k} * base.std_dev_time_to_solve),
 merged AS (SELECT coalesce(f.student_id, t.student_id) AS student_id,
    coalesce(f.problem_id, t.problem_id) AS problem_id,
    CASE WHEN f.student_id IS NOT NULL AND t.student_id IS NOT NULL THEN 'both'
         WHEN f.student_id IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS merge
    FROM fails f FULL OUTER JOIN touts t
    ON f.student_id = t.student_id AND f.problem_id = t.problem_id)"""
+MERGE_A = NB_A + MERGE.format(fails="att_summary WHERE max_score IS DISTINCT FROM 100", k=2)
+MERGE_B = NB_B + MERGE.format(fails="nb WHERE max_score IS NULL OR max_score < 100", k=1)
 
 
-def _merged(spark, d):
-    s, nb = _nb(spark, d)
-    fails = S.score_failures(s)
-    touts = S.time_outliers(nb, S.problem_baseline(nb), k=2.0)
-    return s, S.merge_definitions(fails, touts)
+def _merged(spark, d, b: bool = False):
+    s, nb = _att_nb(spark, d, b)
+    fails = nb.filter(~F.coalesce("success", F.lit(False))) if b else S.score_failures(s)
+    touts = S.time_outliers(nb, S.problem_baseline(nb), k=1.0 if b else 2.0)
+    return (nb if b else s), S.merge_definitions(fails, touts)
 
 
-@register("merge_definitions", _fix(with_views(["deep_summary"], NB + MERGE + """
+@register("merge_definitions", _fix(with_views(["att_summary"], MERGE_A + """
 SELECT student_id, problem_id, merge FROM merged""")))
 def q_merge_definitions(spark, d):
     return finalize(_merged(spark, d)[1])
 
 
-@register("struggle_rate", _fix(with_views(["deep_summary"], NB + MERGE + """
+@register("merge_definitions_b", _fix(with_views(["att_summary"], MERGE_B + """
+SELECT student_id, problem_id, merge FROM merged""")))
+def q_merge_definitions_b(spark, d):
+    return finalize(_merged(spark, d, b=True)[1])
+
+
+RATE = """
 SELECT CAST((SELECT count(*) FROM merged) AS BIGINT) AS n_struggling,
   CAST(count(*) AS BIGINT) AS n_tasks,
-  round((SELECT count(*) FROM merged) * 1.0 / count(*), 6) AS struggle_rate FROM deep_summary""")))
+  round((SELECT count(*) FROM merged) * 1.0 / count(*), 6) AS struggle_rate FROM """
+
+
+@register("struggle_rate", _fix(with_views(["att_summary"], MERGE_A + RATE + "att_summary")))
 def q_struggle_rate(spark, d):
     s, m = _merged(spark, d)
     total = s.agg(F.count(F.lit(1)).alias("n_tasks"))
     return finalize(S.struggle_rate(m, total).select("n_struggling", "n_tasks", "struggle_rate"))
+
+
+@register("struggle_rate_b", _fix(with_views(["att_summary"], MERGE_B + RATE + "nb")))
+def q_struggle_rate_b(spark, d):
+    nb, m = _merged(spark, d, b=True)
+    total = nb.agg(F.count(F.lit(1)).alias("n_tasks"))
+    return finalize(S.struggle_rate(m, total).select("n_struggling", "n_tasks", "struggle_rate"))

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from attemptlog.operators import encode as E
 from attemptlog.operators import history as H
+from attemptlog.operators.attempts import invert_labels
 from attemptlog.plans.q_history import N_HIST, N_LAST, SUBS_SQL, b_stages
 from attemptlog.plans.registry import finalize, register
 from attemptlog.plans.sqlviews import with_views
+from attemptlog.session import cut_lineage
 
-ROW = ["student_id", "course_id", "new_task_id"]
+GROUP = ["student_id", "course_id"]
+ROW = [*GROUP, "new_task_id"]
 PAD_ATTEMPTS = 765
-L_TASKS, L_ATTEMPTS = 8, 12
+L_TASKS, L_ATTEMPTS, L_STEPS = 100, 100, 50
 
 
 def _fix(sql):
@@ -20,12 +23,16 @@ def _fix(sql):
 
 
 def _base(spark, d):
+    """Target rows with the encoded history.  Ids are mapped on the histories (one
+    row a student and course) before a history is repeated for its targets."""
     st = b_stages(spark, d)
-    out = st["final"]
     early, late = H.early_late(st["numbered"], N_HIST, N_LAST)
-    vocab = E.task_vocabulary(late.withColumnRenamed("problem_id", "new_task_id"), st["history"])
-    out = E.map_array(out, ROW, "prev_tasks_id", vocab, out="prev_q")
+    late = late.select(*GROUP, F.col("problem_id").alias("new_task_id"))
+    vocab = cut_lineage(E.task_vocabulary(late, st["history"]))
+    hist = invert_labels(st["history"].filter(F.col("num_tasks") == N_HIST), scalars=())
+    hist = E.map_array(hist, GROUP, "prev_tasks_id", vocab, out="prev_q")
     tq = vocab.select(F.col("task_id").alias("_t"), F.col("task_index").alias("target_q"))
+    out = late.join(hist, GROUP, "inner")
     out = out.join(tq, out["new_task_id"].cast("string") == tq["_t"], "left").drop("_t")
     return out.crossJoin(vocab.agg(F.count(F.lit(1)).alias("N")))
 
@@ -126,16 +133,14 @@ def q_decode_interactions(spark, d):
 
 
 @register("one_hot_target", _fix(with_views(["attempts", "questions"], ENC_SQL + """
-SELECT f.student_id, f.course_id, f.new_task_id, CAST(f.target_q AS BIGINT) AS target_q,
-  CAST(nv.N + 1 AS BIGINT) AS width, CAST(1 AS BIGINT) AS n_ones
+SELECT f.student_id, f.course_id, f.new_task_id, CAST(nv.N + 1 AS BIGINT) AS width,
+  CAST(f.target_q AS VARCHAR) AS ones
 FROM fin f CROSS JOIN nv""")))
 def q_one_hot_target(spark, d):
-    b = _base(spark, d)
-    n = int(b.select("N").first()[0])  # vocabulary size: one number, sets the vector width
-    e = E.one_hot_target(b, n)
-    return finalize(e.select(*ROW, "target_q", F.size("target_one_hot").cast("long").alias("width"),
-                             F.aggregate("target_one_hot", F.lit(0).cast("long"),
-                                         lambda a, x: a + x).alias("n_ones")))
+    e = E.one_hot_target(_base(spark, d), F.col("N"))     # the width is a column: no extra job
+    return finalize(e.select(*ROW, F.size("target_one_hot").cast("long").alias("width"),
+                             F.array_join(F.filter(F.transform("target_one_hot", lambda x, i: F.when(x == 1, i)),
+                                                   lambda i: i.isNotNull()), ",").alias("ones")))
 
 
 @register("training_examples", _fix(with_views(["attempts", "questions"], ENC_SQL + """
@@ -152,3 +157,20 @@ def q_training_examples(spark, d):
     return finalize(t.select(*ROW, F.col("task_num").cast("long").alias("task_num"),
                              F.array_join("snaps_per_task", ",").alias("snaps_per_task"),
                              F.array_join("labels_padded", ",").alias("labels_padded")))
+
+
+@register("code_step_rows", _fix(with_views(["attempts", "questions"], ENC_SQL + f"""
+, cs AS (SELECT s1.student_id, s1.course_id, s1.code_id, row_number() OVER w AS tt,
+        count(*) OVER (PARTITION BY s1.student_id, s1.course_id) AS tot,
+        CASE WHEN hs.lab AND s1.pos = max(s1.pos) OVER (PARTITION BY s1.student_id, s1.course_id, s1.problem_id) THEN hs.q
+             ELSE hs.q + nv.N END AS interaction
+        FROM s1 JOIN num n USING (student_id, course_id, problem_id)
+        JOIN hs ON hs.student_id = n.student_id AND hs.course_id = n.course_id AND hs.k = n.row_number CROSS JOIN nv
+        WHERE (s1.best_pos IS NULL OR s1.pos <= s1.best_pos) AND n.row_number <= {N_HIST}
+        WINDOW w AS (PARTITION BY s1.student_id, s1.course_id ORDER BY n.row_number, s1.pos))
+SELECT f.student_id, f.course_id, f.new_task_id, CAST(tt - tot + {L_STEPS - 1} AS BIGINT) AS step,
+  CAST(interaction AS BIGINT) AS interaction, code_id AS code
+FROM fin f JOIN cs USING (student_id, course_id) WHERE tt > tot - {L_STEPS}""").replace(")\n, cs AS", "),\ncs AS")))
+def q_code_step_rows(spark, d):
+    r = E.code_step_rows(_base(spark, d), ROW, F.col("N"), L_STEPS)
+    return finalize(r.select(*ROW, "step", "interaction", "code"))

@@ -94,11 +94,30 @@ fv AS (SELECT sc.*, CASE WHEN y > 0 THEN y ELSE m END AS z FROM sc JOIN mn
        USING (student_id, course_id, new_task_id))"""
 
 
+GROUP = ["student_id", "course_id"]
+
+
+def _targets(stages):
+    """Target rows of people with a full history, and those histories."""
+    early, late = H.early_late(stages["numbered"], N_HIST, N_LAST)
+    full = stages["history"].filter(F.col("num_tasks") == N_HIST)
+    late = late.join(full.select(*GROUP), GROUP, "left_semi")
+    return early, late, full.join(late.select(*GROUP).distinct(), GROUP, "left_semi")
+
+
 def _skills(spark, d, stages=None):
-    out = (stages or b_stages(spark, d))["final"]
-    out = C.attach_concepts(out, rollup(spark, d), ["student_id", "course_id", "new_task_id"],
-                            pad_to=N_HIST, size=SIZE)
-    return SK.skills_vector(out, size=SIZE, n=N_HIST)
+    """Skill vector per target.  It depends on the history alone, so it is computed on
+    one row a student and course and attached to the targets last."""
+    _, late, hist = _targets(stages or b_stages(spark, d))
+    hist = C.attach_concepts(hist, rollup(spark, d), GROUP, pad_to=N_HIST, size=SIZE)
+    skills = SK.skills_vector(hist, size=SIZE, n=N_HIST).select(*GROUP, "skills_vec")
+    return late.select(*GROUP, F.col("problem_id").alias("new_task_id")).join(skills, GROUP, "inner")
+
+
+def _similar(spark, d, stages):
+    early, late, _ = _targets(stages)
+    early = early.join(late.select(*GROUP).distinct(), GROUP, "left_semi")
+    return SK.task_similarity(late, early, V.vectors(spark, d))
 
 
 @register("skills_vector", _fix(with_views(["attempts", "questions"], SKILLS_SQL + """
@@ -111,13 +130,86 @@ def q_skills_vector(spark, d):
                              *[F.col("skills_vec")[j].alias(f"s{j}") for j in range(SIZE)]))
 
 
-@register("task_similarity", """
-WITH vectors AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS student_id,
-    CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
-v AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY id) AS pos FROM vectors),
-b AS (SELECT range AS back FROM range(1, 6))
-SELECT t.student_id, t.id AS target_id, CAST(b.back AS BIGINT) AS back, p.id AS prev_id,
-  round(list_cosine_similarity(t.vec, p.vec), 6) AS similarity
-FROM v t CROSS JOIN b JOIN v p ON p.student_id = t.student_id AND p.pos = t.pos - b.back""")
+SIM_SQL = SUBS_SQL + f"""
+, vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+sim AS (SELECT n.student_id, n.course_id, n.problem_id AS target_id, p.problem_id AS prev_id,
+        p.row_number AS position, list_cosine_similarity(a.vec, b.vec) AS similarity
+        FROM num n JOIN hist h USING (student_id, course_id)
+        JOIN num p ON p.student_id = n.student_id AND p.course_id = n.course_id AND p.row_number <= {N_HIST}
+        LEFT JOIN vec a ON a.id = n.problem_id LEFT JOIN vec b ON b.id = p.problem_id
+        WHERE n.row_number > {N_HIST} AND n.row_number <= {N_LAST} AND h.num_tasks = {N_HIST})"""
+
+
+@register("task_similarity", _fix(with_views(["attempts", "questions"], SIM_SQL + """
+SELECT student_id, course_id, target_id, prev_id, CAST(position AS BIGINT) AS position,
+  round(similarity, 6) AS similarity FROM sim""")))
 def q_task_similarity(spark, d):
-    return finalize(SK.task_similarity(V.vectors(spark, d), back=5))
+    out = _similar(spark, d, b_stages(spark, d))
+    return finalize(out.select("student_id", "course_id", "target_id", "prev_id", "position", "similarity"))
+
+
+WEIGHTED_SQL = SIM_SQL + ROLLUP + RC + f"""
+, g AS (SELECT range AS j FROM range({SIZE})),
+raw AS (SELECT sim.student_id, sim.course_id, sim.target_id AS new_task_id, g.j,
+        coalesce(sum(rc.v * hl.max_score * coalesce(sim.similarity, 0)), 0) AS x
+        FROM sim CROSS JOIN g
+        JOIN num hl ON hl.student_id = sim.student_id AND hl.course_id = sim.course_id AND hl.row_number = sim.position
+        LEFT JOIN rc ON rc.id = sim.prev_id AND rc.j = g.j
+        GROUP BY sim.student_id, sim.course_id, sim.target_id, g.j),
+rng AS (SELECT j, min(x) AS lo, max(x) AS hi FROM raw GROUP BY j),
+sc AS (SELECT raw.*, (x - lo) / CASE WHEN hi - lo = 0 THEN 1 ELSE hi - lo END AS y FROM raw JOIN rng USING (j)),
+mn AS (SELECT student_id, course_id, new_task_id, avg(y) AS m FROM sc GROUP BY ALL)"""
+
+
+@register("skills_vector_similarity", _fix(with_views(["attempts", "questions"], WEIGHTED_SQL + """
+SELECT sc.student_id, sc.course_id, sc.new_task_id, """ + ", ".join(
+    f"round(max(CASE WHEN y > 0 THEN y ELSE m END) FILTER (WHERE j = {j}), 6) AS s{j}" for j in range(SIZE)) + """
+FROM sc JOIN mn USING (student_id, course_id, new_task_id) GROUP BY ALL""")))
+def q_skills_vector_similarity(spark, d):
+    st = b_stages(spark, d)
+    _, _, hist = _targets(st)
+    hist = C.attach_concepts(hist, rollup(spark, d), GROUP, pad_to=N_HIST, size=SIZE)
+    rows = SK.similarity_arrays(_similar(spark, d, st)).join(hist, GROUP, "inner")
+    s = SK.skills_vector(rows, size=SIZE, n=N_HIST, similarity="similarities")
+    return finalize(s.select("student_id", "course_id", F.col("target_id").alias("new_task_id"),
+                             *[F.col("skills_vec")[j].alias(f"s{j}") for j in range(SIZE)]))
+
+
+EXAMPLE_SQL = """
+, te AS (SELECT student_id, course_id, count(*) AS task_num,
+        string_agg(CAST(num_snapshots AS VARCHAR), ',' ORDER BY row_number) AS snaps,
+        string_agg(CAST(CAST(NOT Label AS INTEGER) AS VARCHAR), ',' ORDER BY row_number) AS labs
+        FROM num WHERE row_number <= 30 GROUP BY student_id, course_id),
+sid AS (SELECT student_id, dense_rank() OVER (ORDER BY student_id) - 1 AS idx FROM (SELECT DISTINCT student_id FROM fin))"""
+
+
+@register("training_examples_full", _fix(with_views(["attempts", "questions"], SKILLS_SQL + EXAMPLE_SQL + """
+SELECT f.student_id, f.course_id, f.new_task_id, CAST(te.task_num AS BIGINT) AS task_num,
+  te.snaps AS snaps_per_task, te.labs AS labels_padded,
+  """ + " || ".join(f'CAST(CAST(r."{c}" AS INTEGER) AS VARCHAR)' for c in CONCEPTS) + """ AS features,
+  """ + ", ".join(f"round(max(z) FILTER (WHERE j = {j}), 6) AS skill{j}" for j in range(SIZE)) + """,
+  CAST(sid.idx AS BIGINT) AS student_id_encoded, CAST(1 AS BIGINT) AS dataset,
+  CAST(NOT n.Label AS BIGINT) AS label
+FROM fin f JOIN te USING (student_id, course_id) JOIN sid USING (student_id)
+JOIN rollup r ON r.id = f.new_task_id JOIN fv USING (student_id, course_id, new_task_id)
+JOIN num n ON n.student_id = f.student_id AND n.course_id = f.course_id AND n.problem_id = f.new_task_id
+GROUP BY ALL""")))
+def q_training_examples_full(spark, d):
+    # Every part of one training row except the text tokens and code vectors, which are joins on ids
+    from attemptlog.operators import encode as E
+    from attemptlog.operators import splits as SP
+    from attemptlog.operators.attempts import dataset_flag, invert_labels
+    st = b_stages(spark, d)
+    _, late, hist = _targets(st)
+    parts = E.training_examples(invert_labels(hist, scalars=()), GROUP, n_tasks=N_HIST)
+    rows = late.select(*GROUP, F.col("problem_id").alias("new_task_id"), (~F.col("Label")).alias("label"))
+    rows = rows.join(parts, GROUP, "inner").join(_skills(spark, d, st), [*GROUP, "new_task_id"], "inner")
+    con = rollup(spark, d).select(F.col("id").alias("new_task_id"), F.col("concepts").alias("curr_comp_cons"))
+    rows = rows.join(con, "new_task_id", "inner").join(SP.index_students(late), "student_id", "inner")
+    rows = dataset_flag(rows)
+    return finalize(rows.select(
+        *GROUP, "new_task_id", F.col("task_num").cast("long").alias("task_num"),
+        F.array_join("snaps_per_task", ",").alias("snaps_per_task"), F.array_join("labels_padded", ",").alias("labels_padded"),
+        F.array_join(F.transform("curr_comp_cons", lambda x: x.cast("int").cast("string")), "").alias("features"),
+        *[F.col("skills_vec")[j].alias(f"skill{j}") for j in range(SIZE)],
+        "student_id_encoded", "dataset", "label"))

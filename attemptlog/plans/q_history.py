@@ -9,9 +9,10 @@ from attemptlog.operators import history as H
 from attemptlog.operators.attempts import invert_labels
 from attemptlog.plans.registry import finalize, register
 from attemptlog.plans.sqlviews import with_views
+from attemptlog.session import cut_lineage
 from attemptlog.sources import views as V
 
-N_HIST, N_LAST = 10, 20   # history / last target used on the driver tables (SURVEY 7.4)
+N_HIST, N_LAST = 30, 50   # history length and last target task
 B_KEYS = ["student_id", "course_id", "problem_id"]
 B_ORDER = ["ts", "ord"]
 
@@ -46,11 +47,11 @@ s0 AS (SELECT *, row_number() OVER w AS pos, lag(ts) OVER w AS prev_ts,
 s1 AS (SELECT *, min(CASE WHEN score = best THEN pos END)
         OVER (PARTITION BY student_id, course_id, problem_id) AS best_pos FROM s0),
 tasks AS (SELECT student_id, course_id, problem_id,
-        string_agg(CAST(score AS VARCHAR), ',' ORDER BY pos) AS scores_txt,
+        coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY pos), '') AS scores_txt,
         arg_min(ts, pos) AS start_time, arg_max(ts, pos) AS end_time,
         max(score) AS max_score, count(*) AS num_snapshots,
         count(*) FILTER (WHERE score = -1) AS n_bad
-        FROM s1 WHERE pos <= best_pos GROUP BY student_id, course_id, problem_id),
+        FROM s1 WHERE best_pos IS NULL OR pos <= best_pos GROUP BY student_id, course_id, problem_id),
 vk AS (SELECT *, row_number() OVER (PARTITION BY student_id, course_id ORDER BY problem_id) AS k
         FROM tasks),
 valid AS (SELECT DISTINCT student_id FROM
@@ -59,7 +60,7 @@ valid AS (SELECT DISTINCT student_id FROM
 tq AS (SELECT t.*, q.type, trim(q.prompt) AS prompt FROM tasks t JOIN questions q ON t.problem_id = q.id
         WHERE t.student_id IN (SELECT student_id FROM valid) AND t.n_bad = 0),
 p75 AS (SELECT problem_id, quantile_cont(num_snapshots, 0.75) AS p75 FROM tq GROUP BY problem_id),
-lab AS (SELECT tq.*, p75.p75, (tq.num_snapshots <= p75.p75 AND tq.max_score >= 100) AS Label
+lab AS (SELECT tq.*, p75.p75, (tq.num_snapshots <= p75.p75 AND coalesce(tq.max_score >= 100, false)) AS Label
         FROM tq JOIN p75 USING (problem_id) WHERE tq.type <> 'project'),
 num AS (SELECT *, row_number() OVER (PARTITION BY student_id, course_id ORDER BY end_time, problem_id)
         AS row_number FROM lab),
@@ -111,7 +112,7 @@ SELECT t.student_id, t.course_id, t.problem_id, CAST(t.num_snapshots AS BIGINT)
   round(p.p75, 6) AS p75, CAST(t.num_snapshots <= p.p75 AND t.max_score >= 100 AS BIGINT) AS Label
 FROM t JOIN p USING (problem_id)""")))
 def q_label_struggle(spark, d):
-    tasks = H.task_table(V.attempts_big(spark, d), B_KEYS, V.BIG_ORDER, trim="all", code=None, lists=False)
+    tasks = H.task_table(cut_lineage(V.attempts_big(spark, d)), B_KEYS, V.BIG_ORDER, trim="all", code=None, lists=False)
     out = H.label_struggle(tasks)
     return finalize(out.select("student_id", "course_id", "problem_id", "num_snapshots",
                                "p75", "Label"))
@@ -123,7 +124,7 @@ def q_label_struggle(spark, d):
 SELECT problem_id, round(quantile_cont(num_snapshots, 0.75), 6) AS p75,
   round(quantile_cont(num_snapshots, 0.5), 6) AS p50 FROM t GROUP BY problem_id""")))
 def q_problem_percentile(spark, d):
-    tasks = H.task_table(V.attempts_big(spark, d), B_KEYS, V.BIG_ORDER, trim="all", code=None, lists=False)
+    tasks = H.task_table(cut_lineage(V.attempts_big(spark, d)), B_KEYS, V.BIG_ORDER, trim="all", code=None, lists=False)
     p75 = H.problem_percentile(tasks, 0.75)
     p50 = H.problem_percentile(tasks, 0.5, out="p50")
     return finalize(p75.join(p50, "problem_id"))
@@ -136,7 +137,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY student_id, course_id ORDER BY p
 g AS (SELECT student_id, course_id, sum(n_bad) AS bad FROM k WHERE k <= 31 GROUP BY 1, 2)
 SELECT DISTINCT student_id FROM g WHERE bad <= 3""")))
 def q_valid_students(spark, d):
-    tasks = H.task_table(V.attempts_big(spark, d), B_KEYS, V.BIG_ORDER, trim="all", code=None)
+    tasks = H.task_table(cut_lineage(V.attempts_big(spark, d)), B_KEYS, V.BIG_ORDER, trim="all", code=None,
+                         lists=False, sentinel=0.0)
     return finalize(H.valid_students(tasks, n=31, max_bad=3, sentinel=0.0))
 
 
@@ -186,33 +188,36 @@ def q_build_history(spark, d):
 , r AS (SELECT s1.student_id, s1.course_id, s1.problem_id, s1.pos, n.row_number,
         count(*) OVER (PARTITION BY s1.student_id, s1.course_id, s1.problem_id) AS m
         FROM s1 JOIN num n USING (student_id, course_id, problem_id)
-        WHERE s1.pos <= s1.best_pos AND n.row_number <= 10)
-SELECT student_id, course_id, CAST(count(*) AS BIGINT) AS n_kept,
-  CAST(sum(pos) AS BIGINT) AS pos_sum FROM r WHERE pos > m - 2 GROUP BY student_id, course_id""")
+        WHERE (s1.best_pos IS NULL OR s1.pos <= s1.best_pos) AND n.row_number <= 30)
+SELECT student_id, course_id, CAST(count(*) FILTER (WHERE pos > m - 2) AS BIGINT) AS n_kept,
+  CAST(sum(pos) FILTER (WHERE pos > m - 2) AS BIGINT) AS pos_sum,
+  CAST(count(*) FILTER (WHERE pos > m - 100) AS BIGINT) AS n_kept_100 FROM r GROUP BY student_id, course_id""")
                                       .replace(")\n, r AS", "),\nr AS")))
 def q_last_snapshots(spark, d):
-    # W12 with n = 2 on the history of every student (positions kept are checked)
+    # W12 with n = 2 (and the default of 100) on the history of every student (positions kept are checked)
     n = _b_numbered(spark, d)
     early, _ = H.early_late(n, N_HIST, N_LAST)
     early = early.withColumn("codes", F.transform(
         F.sequence(F.lit(1), F.size("scores")), lambda i: i.cast("string")))
-    h = H.last_snapshots(H.build_history(early), n=2)
-    flat = h.select("student_id", "course_id", F.explode("prev_tasks").alias("c")) \
-            .select("student_id", "course_id", F.explode("c").alias("p"))
-    out = flat.groupBy("student_id", "course_id").agg(
-        F.count(F.lit(1)).alias("n_kept"), F.sum(F.col("p").cast("long")).alias("pos_sum"))
-    return finalize(out)
+    full = H.build_history(early)
+    h = H.last_snapshots(full.withColumn("hundred", F.col("prev_tasks")), n=2)
+    h = H.last_snapshots(h, n=100, col="hundred")
+    kept = F.flatten("prev_tasks")
+    return finalize(h.select(
+        "student_id", "course_id", F.size(kept).cast("long").alias("n_kept"),
+        F.aggregate(kept, F.lit(0).cast("long"), lambda a, p: a + p.cast("long")).alias("pos_sum"),
+        F.size(F.flatten("hundred")).cast("long").alias("n_kept_100")))
 
 
 # ------------------------------- dataset A (K1) -------------------------------
 
 A_SQL = """, ev AS (SELECT a.*, CASE WHEN a.student_id % 2 = 1 THEN '0' ELSE 'UTC' END AS zone FROM attempts a),
 code AS (SELECT event_id AS code_id, props AS code FROM events WHERE event_type <> 'signup'),
-lt AS (SELECT student_id, problem_id, min(ord) AS o, max(score) = 100 AS Label
+lt AS (SELECT student_id, problem_id, min(ord) AS o, coalesce(max(score) = 100, false) AS Label
        FROM attempts GROUP BY student_id, problem_id),
 ltn AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY o, problem_id) AS k FROM lt),
-early AS (SELECT student_id, problem_id, Label FROM ltn WHERE k <= 10),
-late AS (SELECT student_id, problem_id, Label FROM ltn WHERE k > 10 AND k <= 20),
+early AS (SELECT student_id, problem_id, Label FROM ltn WHERE k <= 30),
+late AS (SELECT student_id, problem_id, Label FROM ltn WHERE k > 30 AND k <= 50),
 ev2 AS (SELECT ev.student_id, ev.problem_id, ev.ord, ev.score, c.code,
         CASE WHEN ev.zone = '0' THEN timezone('UTC', timezone('US/Eastern', ev.ts)) ELSE ev.ts END AS ts
         FROM ev JOIN code c ON ev.code_id = c.code_id),
@@ -220,8 +225,8 @@ a0 AS (SELECT *, row_number() OVER w AS pos, max(score) OVER (PARTITION BY stude
        FROM ev2 WINDOW w AS (PARTITION BY student_id, problem_id ORDER BY ord)),
 a1 AS (SELECT *, min(CASE WHEN score = best THEN pos END) OVER (PARTITION BY student_id, problem_id) AS best_pos FROM a0),
 tasks AS (SELECT a1.student_id, a1.problem_id, max(score) AS max_score, arg_max(ts, pos) AS end_time,
-        string_agg(CAST(score AS VARCHAR), ',' ORDER BY pos) AS scores_txt,
-        count(*) FILTER (WHERE best <> 100 OR pos <= best_pos) AS n_codes,
+        coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY pos), '') AS scores_txt,
+        count(*) FILTER (WHERE best IS NULL OR best <> 100 OR pos <= best_pos) AS n_codes,
         count(*) AS n_times, trim(q.prompt) AS prompt
         FROM a1 JOIN questions q ON a1.problem_id = q.id GROUP BY a1.student_id, a1.problem_id, q.prompt),
 et AS (SELECT e.student_id, e.problem_id, e.Label, t.scores_txt, t.n_codes, t.n_times,
@@ -241,11 +246,11 @@ def _a_inputs(spark, d):
     code = e.filter(F.col("event_type") != "signup").select(
         F.col("event_id").alias("code_id"), F.col("props").alias("code"))
     lt = V.attempts(spark, d).groupBy("student_id", "problem_id").agg(
-        F.min("ord").alias("o"), (F.max("score") == 100).alias("Label"))
+        F.min("ord").alias("o"), F.coalesce(F.max("score") == 100, F.lit(False)).alias("Label"))
     lt = lt.withColumn("k", F.row_number().over(
         Window.partitionBy("student_id").orderBy("o", "problem_id")))
-    early = lt.filter(F.col("k") <= 10).select("student_id", "problem_id", "Label")
-    late = lt.filter((F.col("k") > 10) & (F.col("k") <= 20)).select("student_id", "problem_id", "Label")
+    early = lt.filter(F.col("k") <= N_HIST).select("student_id", "problem_id", "Label")
+    late = lt.filter((F.col("k") > N_HIST) & (F.col("k") <= N_LAST)).select("student_id", "problem_id", "Label")
     return ev, code, early, late
 
 
@@ -295,7 +300,7 @@ def q_filter_event_type(spark, d):
 SELECT s1.student_id, s1.course_id, CAST(n.row_number AS BIGINT) AS task_number, s1.pos,
   round(s1.score, 6) AS score, CAST(NOT n.Label AS BIGINT) AS struggling
 FROM s1 JOIN num n USING (student_id, course_id, problem_id)
-WHERE s1.pos <= s1.best_pos AND n.row_number <= {N_HIST}""")))
+WHERE (s1.best_pos IS NULL OR s1.pos <= s1.best_pos) AND n.row_number <= {N_HIST}""")))
 def q_history_long(spark, d):
     from attemptlog.operators.attempts import attempt_rows, trim_after_best
     st = b_stages(spark, d)

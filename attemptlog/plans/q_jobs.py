@@ -1,7 +1,7 @@
 """Registered queries for the Python-side jobs (D1-D6) and what consumes them.
 
-These have no SQL twin (difflib, Python ``ast``, a model, Spark ML), so the
-driver records the rows-only check; ``tests/`` checks them against brute-force
+Most have no SQL twin (difflib, Python ``ast``, a model, Spark ML), so the
+driver records the rows-only check for them; ``tests/`` checks them against brute-force
 Python on small fixtures.
 """
 
@@ -80,47 +80,62 @@ def q_ast_paths(spark, d):
     return finalize(p.select("code_id", "n_paths", F.md5("RawASTPath").alias("paths_md5")))
 
 
-def _paths_by_step(spark, d):
-    """(steps, paths): the attempts' code ids, and one path string per distinct
-    snippet (the Python job runs once per snippet and is written once)."""
-    code = _python_code(spark, d).withColumn("code_id", F.md5("code"))
-    distinct = code.select("code_id", "code").distinct()
-    paths = cut_lineage(D.ast_paths(distinct, "code", ["code_id"]))
-    steps = code.select("student_id", "problem_id", "ord", "code_id")
-    return steps, paths
+# A path table in SQL and in Spark: three consecutive words of a snapshot's text are one
+# entry "start,path,end".  A code belongs to the last person who wrote it.
+WORDS_SQL = "string_split(trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g')), ' ')"
+PATHS_SQL = f"""WITH w AS (SELECT text AS code, max(conv_id) AS student_id, {WORDS_SQL} AS ws FROM conversations
+  WHERE text IS NOT NULL GROUP BY text),
+p AS (SELECT md5(code) AS code_id, student_id, list_transform(range(1, len(ws) - 1),
+  lambda i: ws[i] || ',' || ws[i + 1] || ',' || ws[i + 2]) AS es FROM w),
+e AS (SELECT code_id, student_id, unnest(es) AS e, generate_subscripts(es, 1) AS k FROM p),
+t AS (SELECT code_id, k, string_split(e, ',') AS x FROM e WHERE student_id % 3 <> 0 AND length(trim(e)) > 3),
+n AS (SELECT token, count(*) AS c FROM (SELECT x[1] AS token FROM t UNION ALL SELECT x[3] FROM t) GROUP BY token),
+h AS (SELECT x[2] AS token, count(*) AS c FROM t GROUP BY token),
+nv AS (SELECT token, c, row_number() OVER (ORDER BY c DESC, token) + 1 AS i FROM n),
+pv AS (SELECT token, c, row_number() OVER (ORDER BY c DESC, token) + 1 AS i FROM h)"""
 
 
-def _train_ids(spark, d):
-    s = deep_summary(spark, d).withColumn("Label", F.col("success").cast("int"))
-    labels = SP.student_label(s, order=("problem_id",))
-    return SP.stratified_split(labels).filter(F.col("split") == "train")
+def _path_table(spark, d):
+    s = V.snapshots(spark, d).filter("code is not null")
+    t = s.groupBy("code").agg(F.max("group_id").alias("student_id"))
+    ws = F.split(F.trim(F.regexp_replace(F.regexp_replace("code", "[^A-Za-z ]", " "), " +", " ")), " ")
+    t = t.withColumn("_w", ws)
+    entries = F.transform(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 2, F.lit(0))), lambda x, i: F.concat_ws(
+        ",", x, F.get("_w", i + 1), F.get("_w", i + 2)))
+    return cut_lineage(t.select(F.md5("code").alias("code_id"), "student_id", F.array_join(entries, "@$").alias("RawASTPath")))
 
 
 def _vocab(spark, d):
-    steps, paths = _paths_by_step(spark, d)
-    # uses per snippet among training students: the vocabulary counts every use
-    uses = steps.join(_train_ids(spark, d).select("student_id"), "student_id", "left_semi") \
-                .groupBy("code_id").agg(F.count(F.lit(1)).alias("uses"))
-    nodes, pth = E.path_vocabulary(paths.join(uses, "code_id", "inner"), ["code_id"], weight="uses")
-    return steps, paths, nodes, pth
+    paths = _path_table(spark, d)
+    train = paths.filter("student_id % 3 <> 0").select("student_id").distinct()
+    nodes, pth = E.path_vocabulary(paths, ["code_id"], train)
+    return paths, nodes, pth
 
 
-@register("path_vocabulary")
+@register("path_vocabulary", PATHS_SQL + """
+SELECT 'node' AS kind, token, CAST(c AS BIGINT) AS count, CAST(i AS BIGINT) AS index FROM nv
+UNION ALL SELECT 'path', token, CAST(c AS BIGINT), CAST(i AS BIGINT) FROM pv""")
 def q_path_vocabulary(spark, d):
-    _, _, nodes, paths = _vocab(spark, d)
+    _, nodes, paths = _vocab(spark, d)
     out = nodes.withColumn("kind", F.lit("node")).unionByName(paths.withColumn("kind", F.lit("path")))
     return finalize(out.select("kind", "token", "count", "index"))
 
 
-@register("encode_code_steps")
+@register("encode_code_steps", PATHS_SQL + """
+, x AS (SELECT e.code_id, e.k, coalesce(a.i, 1) AS s, coalesce(b.i, 1) AS p, coalesce(c.i, 1) AS z
+  FROM e LEFT JOIN nv a ON a.token = string_split(e, ',')[1] LEFT JOIN pv b ON b.token = string_split(e, ',')[2]
+  LEFT JOIN nv c ON c.token = string_split(e, ',')[3] WHERE e.k <= 100)
+SELECT p.code_id, md5(coalesce(string_agg(CAST(s AS VARCHAR) || ' ' || CAST(x.p AS VARCHAR) || ' ' || CAST(z AS VARCHAR), ',' ORDER BY k), ''))
+  AS steps_md5, CAST(count(k) AS BIGINT) AS n_paths, CAST(count(*) FILTER (WHERE x.p = 1) AS BIGINT) AS n_unknown
+FROM p LEFT JOIN x USING (code_id) GROUP BY p.code_id""")
 def q_encode_code_steps(spark, d):
-    steps, paths, nodes, pth = _vocab(spark, d)
+    paths, nodes, pth = _vocab(spark, d)
     enc = E.encode_code_steps(paths, nodes, pth, ["code_id"], max_paths=100)   # once per snippet
-    nz = F.size(F.filter("path_idx", lambda x: x != E.PAD))
-    unk = F.size(F.filter("path_idx", lambda x: x == E.UNK))
-    per = enc.select("code_id", nz.cast("long").alias("n_paths"), unk.cast("long").alias("n_unknown"))
-    key = ["student_id", "problem_id", "ord"]
-    return finalize(steps.join(per, "code_id", "inner").select(*key, "n_paths", "n_unknown"))
+    z = F.filter(F.arrays_zip("start_idx", "path_idx", "end_idx"), lambda x: x["path_idx"] != E.PAD)
+    txt = F.array_join(F.transform(z, lambda x: F.concat_ws(" ", x["start_idx"].cast("string"), x["path_idx"].cast("string"),
+                                                            x["end_idx"].cast("string"))), ",")
+    return finalize(enc.select("code_id", F.md5(txt).alias("steps_md5"), F.size(z).cast("long").alias("n_paths"),
+                               F.size(F.filter("path_idx", lambda x: x == E.UNK)).cast("long").alias("n_unknown")))
 
 
 @register("score_rubric")

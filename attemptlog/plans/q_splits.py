@@ -9,6 +9,7 @@ from attemptlog.operators import splits as SP
 from attemptlog.plans.q_attempts import att_summary
 from attemptlog.plans.registry import finalize, register
 from attemptlog.plans.sqlviews import with_views
+from attemptlog.session import cut_lineage
 from attemptlog.sources import views as V
 
 K = 5
@@ -40,7 +41,7 @@ def q_index_students(spark, d):
 @register("task_vocabulary", """
 SELECT task_id, CAST(dense_rank() OVER (ORDER BY task_id) - 1 AS BIGINT) AS task_index
 FROM (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS task_id FROM events
-      UNION SELECT DISTINCT p_partkey % 40 FROM part)""")
+      UNION SELECT DISTINCT p_partkey % 100 FROM part)""")
 def q_task_vocabulary(spark, d):
     # Vocabulary over target ids (attempts) union history ids (questions)
     a = V.attempts(spark, d).select(F.col("problem_id").alias("task_id"))
@@ -55,36 +56,53 @@ def q_student_label(spark, d):
     return finalize(_labels(spark, d))
 
 
-@register("stratified_folds", _fix(with_views(["att_summary"], LABELS_SQL + f"""
-, f AS (SELECT range AS fold FROM range({K}))
-SELECT CAST(Label AS BIGINT) AS Label, CAST(fold AS BIGINT) AS fold,
-  CAST((n + {K} - 1 - fold) // {K} AS BIGINT) AS n_students
-FROM ln, f WHERE (n + {K} - 1 - fold) // {K} > 0""").replace(")\n, f AS", "),\nf AS")))
+SPLIT_SQL = f""", r AS (SELECT *, row_number() OVER (PARTITION BY Label ORDER BY md5('42:' || student_id), student_id) - 1 AS rk,
+        count(*) OVER (PARTITION BY Label) AS n FROM lab),
+sp AS (SELECT student_id, Label, rk % {K} AS fold, CASE WHEN rk / n < {C1!r} THEN 'train' WHEN rk / n < {C2!r} THEN 'valid'
+        ELSE 'test' END AS split FROM r)"""
+
+
+@register("stratified_folds", _fix(with_views(["att_summary"], LABELS_SQL + SPLIT_SQL.replace(", r AS", "\n, r AS") + """
+SELECT student_id, CAST(Label AS BIGINT) AS Label, CAST(fold AS BIGINT) AS fold FROM sp""").replace(")\n, r AS", "),\nr AS")))
 def q_stratified_folds(spark, d):
-    folds = SP.stratified_folds(_labels(spark, d), k=K, seed=42)
-    return finalize(folds.groupBy("Label", "fold").agg(F.count(F.lit(1)).alias("n_students")))
+    return finalize(SP.stratified_folds(_labels(spark, d), k=K, seed=42).select("student_id", "Label", "fold"))
 
 
-@register("stratified_split", _fix(with_views(["att_summary"], LABELS_SQL + f"""
-, r AS (SELECT Label, n, generate_series AS rk FROM ln, generate_series(0, n - 1)),
-s AS (SELECT Label, CASE WHEN rk / n < {C1!r} THEN 'train' WHEN rk / n < {C2!r} THEN 'valid'
-        ELSE 'test' END AS split FROM r)
-SELECT CAST(Label AS BIGINT) AS Label, split, CAST(count(*) AS BIGINT) AS n_students
-FROM s GROUP BY Label, split""").replace(")\n, r AS", "),\nr AS")))
+@register("stratified_split", _fix(with_views(["att_summary"], LABELS_SQL + SPLIT_SQL.replace(", r AS", "\n, r AS") + """
+SELECT student_id, CAST(Label AS BIGINT) AS Label, split FROM sp""").replace(")\n, r AS", "),\nr AS")))
 def q_stratified_split(spark, d):
-    sp = SP.stratified_split(_labels(spark, d), FR, seed=42)
-    return finalize(sp.groupBy("Label", "split").agg(F.count(F.lit(1)).alias("n_students")))
+    return finalize(SP.stratified_split(_labels(spark, d), FR, seed=42).select("student_id", "Label", "split"))
+
+
+# every seventh student is planted in the test split as well, so the overlap is not empty
+PLANTED_SQL = SPLIT_SQL.replace(", r AS", "\n, r AS") + """
+, pl AS (SELECT student_id, split FROM sp UNION SELECT student_id, 'test' FROM sp WHERE student_id % 7 = 0)"""
 
 
-@register("split_overlap", """
-SELECT CAST(NULL AS BIGINT) AS student_id, CAST(NULL AS VARCHAR) AS split_a,
-  CAST(NULL AS VARCHAR) AS split_b WHERE false""")
+def _planted(spark, d):
+    sp = SP.stratified_split(_labels(spark, d), FR, seed=42).select("student_id", "split")
+    return cut_lineage(sp.union(sp.filter("student_id % 7 = 0").select("student_id", F.lit("test"))).distinct())
+
+
+@register("split_overlap", _fix(with_views(["att_summary"], LABELS_SQL + PLANTED_SQL + """
+SELECT a.student_id, a.split AS split_a, b.split AS split_b FROM pl a JOIN pl b USING (student_id)
+WHERE a.split < b.split""").replace(")\n, r AS", "),\nr AS").replace(")\n, pl AS", "),\npl AS")))
 def q_split_overlap(spark, d):
-    sp = SP.stratified_split(_labels(spark, d), FR, seed=42)
-    return finalize(SP.split_overlap(sp))
+    return finalize(SP.split_overlap(_planted(spark, d)))
+
+
+@register("split_intersection", _fix(with_views(["att_summary"], LABELS_SQL + PLANTED_SQL + """
+SELECT student_id FROM pl WHERE split = 'train' INTERSECT SELECT student_id FROM pl WHERE split = 'test'""")
+                                       .replace(")\n, r AS", "),\nr AS").replace(")\n, pl AS", "),\npl AS")))
+def q_split_intersection(spark, d):
+    pl = _planted(spark, d)
+    return finalize(SP.split_intersection(pl.filter("split = 'train'"), pl.filter("split = 'test'")))
 
 
-@register("split_report")
+@register("split_report", _fix(with_views(["att_summary"], LABELS_SQL + SPLIT_SQL.replace(", r AS", "\n, r AS") + """
+SELECT split, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT student_id) AS BIGINT) AS n_students,
+  round(avg(CAST(success AS DOUBLE)), 6) AS label_share
+FROM att_summary JOIN sp USING (student_id) GROUP BY split""").replace(")\n, r AS", "),\nr AS")))
 def q_split_report(spark, d):
     sp = SP.stratified_split(_labels(spark, d), FR, seed=42)
     rows = att_summary(spark, d).withColumn("Label", F.col("success").cast("int"))

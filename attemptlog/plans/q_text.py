@@ -12,7 +12,7 @@ from attemptlog.operators import joins as J
 from attemptlog.operators import rubric as R
 from attemptlog.operators import skills as SK
 from attemptlog.operators.attempts import first_per_key
-from attemptlog.plans.q_features import _skills
+from attemptlog.plans.q_features import SIZE, _skills
 from attemptlog.plans.q_history import N_HIST, N_LAST, SUBS_SQL, b_stages
 from attemptlog.plans.registry import finalize, register
 from attemptlog.plans.sqlviews import with_views
@@ -66,7 +66,7 @@ SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS problem_id
 WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) NOT IN (SELECT DISTINCT p_partkey % 40 FROM part)""")
 def q_unknown_questions(spark, d):
     a = V.attempts(spark, d)
-    return finalize(J.unknown_questions(a, V.questions(spark, d)).select("problem_id").distinct())
+    return finalize(J.unknown_questions(a, V.questions(spark, d, n=40)).select("problem_id").distinct())
 
 
 @register("attach_snapshots", """
@@ -103,13 +103,13 @@ def q_distinct_snippets(spark, d):
 # ------------------------------- constructs -------------------------------
 
 HTML_FLAGS = list(HTML)
-# required HTML construct i of a page = raw question flag i of question page_id % 40
+# required HTML construct i of a page = raw question flag i of question page_id % 100
 HTML_FLAG_SOURCE = dict(zip(HTML_FLAGS, FLAGS_B))
 
 
 def _pages(spark, d):
     p = V.table(spark, d, "pages")
-    return p.select("page_id", (F.col("page_id") % 40).alias("problem_id"),
+    return p.select("page_id", (F.col("page_id") % 100).alias("problem_id"),
                     (F.col("page_id") % 4 != 0).cast("long").alias("success"),
                     F.col("html").alias("final_text"))
 
@@ -127,9 +127,9 @@ def _pages_missing(spark, d, keep_all=False):
 _MISS_ITEMS = " || ".join(
     f"CASE WHEN q.\"{src}\" = 1 AND NOT regexp_matches(p.html, '(?is){pat}') THEN '{n},' ELSE '' END"
     for (n, pat), src in zip(HTML.items(), FLAGS_B))
-PAGES_SQL = f""", pm AS (SELECT p.page_id, p.page_id % 40 AS problem_id,
+PAGES_SQL = f""", pm AS (SELECT p.page_id, p.page_id % 100 AS problem_id,
         CAST(p.page_id % 4 <> 0 AS BIGINT) AS success, rtrim({_MISS_ITEMS}, ',') AS missing
-        FROM pages p JOIN questions q ON p.page_id % 40 = q.id)"""
+        FROM pages p JOIN questions q ON p.page_id % 100 = q.id)"""
 
 
 @register("missing_constructs", _fix(with_views(["questions"], PAGES_SQL + """
@@ -175,7 +175,7 @@ def q_missing_constructs_java(spark, d):
     # reference Java catalogues: raw flags, then the concepts shared with Python
     c = V.snapshots(spark, d)
     last = first_per_key(c.withColumn("neg", -F.col("ord")), ["group_id"], ["neg"])
-    t = last.select("group_id", (F.col("group_id") % 40).alias("problem_id"),
+    t = last.select("group_id", (F.col("group_id") % 100).alias("problem_id"),
                     (F.col("role") == "assistant").cast("long").alias("success"),
                     F.col("code").alias("final_text"))
     qa = V.questions(spark, d, flags="A")
@@ -206,13 +206,13 @@ def _answers(spark, d, stages=None):
 
 RUBRIC_SQL = SUBS_SQL + """
 , lc AS (SELECT student_id, course_id, problem_id, arg_max(code_id, pos) AS last_code
-        FROM s1 WHERE pos <= best_pos GROUP BY ALL),
+        FROM s1 WHERE best_pos IS NULL OR pos <= best_pos GROUP BY ALL),
 ri AS (SELECT n.student_id, n.course_id, CAST(n.row_number - 1 AS BIGINT) AS position,
         CAST(n.problem_id AS VARCHAR) AS task_id,
         'Task:' || chr(10) || trim(q.prompt) || chr(10) || 'Student code:' || chr(10)
           || CAST(lc.last_code AS VARCHAR) AS prompt
         FROM num n JOIN lc USING (student_id, course_id, problem_id)
-        JOIN questions q ON n.problem_id = q.id WHERE n.row_number <= 10),
+        JOIN questions q ON n.problem_id = q.id WHERE n.row_number <= 30),
 rsc AS (SELECT *, length(prompt) AS L, (length(prompt) // 2) % 4 AS style FROM ri),
 pr AS (SELECT *, CASE WHEN style = 3 THEN NULL ELSE CAST(L % 5 + 1 AS DOUBLE) END AS decomposition,
         CASE WHEN style = 3 THEN NULL ELSE CAST((L // 5) % 5 + 1 AS DOUBLE) END AS alg,
@@ -267,9 +267,11 @@ def _ext_sql():
     return _fix(with_views(["attempts", "questions"], SKILLS_SQL + rub + """
 , av AS (SELECT student_id, avg(decomposition / 5) AS dec_avg, avg(alg / 5) AS alg_avg,
         avg(reading / 5) AS read_avg FROM pr GROUP BY student_id)
-SELECT f.student_id, f.course_id, f.new_task_id, CAST(13 AS BIGINT) AS n_skills,
-  round(av.dec_avg, 6) AS dec_avg, round(av.alg_avg, 6) AS alg_avg, round(av.read_avg, 6) AS read_avg
-FROM fin f LEFT JOIN av USING (student_id)""").replace(")\n, av AS", "),\nav AS"))
+SELECT f.student_id, f.course_id, f.new_task_id, """ + ", ".join(
+        f"round(max(fv.z) FILTER (WHERE fv.j = {j}), 6) AS s{j}" for j in range(SIZE)) + """,
+  round(any_value(av.dec_avg), 6) AS dec_avg, round(any_value(av.alg_avg), 6) AS alg_avg, round(any_value(av.read_avg), 6) AS read_avg
+FROM fin f JOIN fv USING (student_id, course_id, new_task_id) LEFT JOIN av USING (student_id)
+GROUP BY f.student_id, f.course_id, f.new_task_id""").replace(")\n, av AS", "),\nav AS"))
 
 
 @register("extend_with_rubric", _ext_sql())
@@ -278,5 +280,6 @@ def q_extend_with_rubric(spark, d):
     per = R.collect_rubric(R.parse_rubric(_answers(spark, d, st)))
     ext = SK.extend_with_rubric(_skills(spark, d, st), per)
     return finalize(ext.select("student_id", "course_id", "new_task_id",
-                               F.size("skills_vec").cast("long").alias("n_skills"),
-                               "dec_avg", "alg_avg", "read_avg"))
+                               *[F.col("skills_vec")[j].alias(f"s{j}") for j in range(SIZE)],
+                               *[F.col("skills_vec")[SIZE + k].alias(c)
+                                 for k, c in enumerate(("dec_avg", "alg_avg", "read_avg"))]))

@@ -66,25 +66,25 @@ VIEWS = {
     event_id AS code_id
   FROM events""",
     "attempts_big": f"""SELECT o_custkey AS student_id, o_orderpriority AS course_id,
-    l_partkey % 40 AS problem_id, o_orderdate AS ts,
+    l_partkey % 100 AS problem_id, o_orderdate AS ts,
     l_orderkey, l_linenumber, l_partkey, l_suppkey,
     {_SCORE.format(e='round(l_discount * 1000)')} AS score
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "snapshots": "SELECT conv_id AS group_id, turn AS ord, role, text AS code FROM conversations",
     "code_states": """SELECT doc_id AS code_id, text AS code, source AS problem_id, lang, n_chars
   FROM documents""",
-    "questions": f"""SELECT p_partkey % 40 AS id,
+    "questions": f"""SELECT p_partkey % 100 AS id,
     arg_min(CASE WHEN p_type IN ('ECONOMY','LARGE') THEN 'skill'
                  WHEN p_type IN ('MEDIUM','PROMO') THEN 'lab' ELSE 'project' END, p_partkey) AS type,
     arg_min(p_name, p_partkey) AS prompt,
     {_flags_sql(FLAGS_B)}
-  FROM part GROUP BY p_partkey % 40""",
-    "questions_a": f"""SELECT p_partkey % 40 AS id,
+  FROM part GROUP BY p_partkey % 100""",
+    "questions_a": f"""SELECT p_partkey % 100 AS id,
     arg_min(CASE WHEN p_type IN ('ECONOMY','LARGE') THEN 'skill'
                  WHEN p_type IN ('MEDIUM','PROMO') THEN 'lab' ELSE 'project' END, p_partkey) AS type,
     arg_min(p_name, p_partkey) AS prompt,
     {_flags_sql(FLAGS_A)}
-  FROM part GROUP BY p_partkey % 40""",
+  FROM part GROUP BY p_partkey % 100""",
     "vectors": """SELECT vec_id AS id, CAST(label AS BIGINT) AS student_id,
     CAST(embedding AS DOUBLE[]) AS vec FROM embeddings""",
     "predictions": """SELECT l.doc_id, d.source AS fold, d.lang AS dataset, CAST(l.quality AS DOUBLE) AS y_true,

@@ -19,12 +19,15 @@ from attemptlog.sources.schema import EVENT_LOG
 
 
 def read_attempts(spark: SparkSession, path, schema: T.StructType = EVENT_LOG,
-                  fmt: str = "csv") -> DataFrame:
-    """Event log / code table / label tables (CSV with header, or Parquet)."""
+                  fmt: str = "csv", multiline: bool = False) -> DataFrame:
+    """Event log / code table / label tables (CSV with header, or Parquet).
+
+    ``multiline`` is for the code table alone, whose text holds line breaks: such
+    a file cannot be split and is one task.  Use Parquet for large ones."""
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
     return (spark.read.schema(schema)
-            .option("header", True).option("multiLine", True)
+            .option("header", True).option("multiLine", multiline)
             .option("escape", '"').option("mode", "PERMISSIVE")
             .csv(path))
 
@@ -48,13 +51,17 @@ PATHS = T.StructType([T.StructField("SubjectID", T.StringType()),
 
 
 def read_paths(spark: SparkSession, path, schema: T.StructType = PATHS) -> DataFrame:
-    """S3: tab-separated code-path table."""
-    return spark.read.schema(schema).option("header", True).option("sep", "\t").csv(path)
+    """S3: tab-separated code-path table; code may hold line breaks, tabs and quotes."""
+    return (spark.read.schema(schema).option("header", True).option("sep", "\t")
+            .option("multiLine", True).option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_paths(df: DataFrame, path: str) -> None:
-    """S3 sink (tab-separated, header)."""
-    df.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    """S3 sink (tab-separated, header, quotes doubled inside quoted fields)."""
+    (df.write.mode("overwrite").option("header", True).option("sep", "\t")
+     .option("quote", '"').option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def save_prepared(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

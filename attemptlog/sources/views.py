@@ -2,16 +2,16 @@
 
 Each view is a lazy DataFrame over the parquet files, so filters and column
 pruning reach the scans.  The same definitions are mirrored as SQL CTEs in
-``attemptlog.plans.oracle`` for the DuckDB cross-check.
+``attemptlog.plans.sqlviews`` for the DuckDB cross-check.
 
 | view            | source                     | mapping                                           |
 | attempts        | events                     | student=user_id, problem=props.k, ord=event_id    |
 | attempts_deep   | events                     | problem=event_type (long sequences)               |
 | attempts_big    | lineitem JOIN orders       | student=o_custkey, course=o_orderpriority,        |
-|                 |                            | problem=l_partkey % 40, order=(date, keys...)     |
+|                 |                            | problem=l_partkey % 100, order=(date, keys...)    |
 | snapshots       | conversations              | attempt group=conv_id, order=turn, code=text      |
 | code_states     | documents                  | code_id=doc_id, code=text, problem=source         |
-| questions       | part                       | id=p_partkey % 40, flags from predicates          |
+| questions       | part                       | id=p_partkey % 100, flags from predicates         |
 | vectors         | embeddings                 | id=vec_id, student=label                          |
 | predictions     | labels JOIN documents      | y_true=quality, fold=source, prob=n_chars%1000/1000|
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from attemptlog.sources.schema import FLAGS_A, FLAGS_B
 
 BIG_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-N_QUESTIONS = 40
+N_QUESTIONS = 100     # every problem id of the attempts has a question
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,8 +114,8 @@ def _flag_exprs(names):
     return out
 
 
-def questions(spark: SparkSession, sf_dir: str, flags: str = "B") -> DataFrame:
-    """part -> one question per id (p_partkey % 40) with 0/1 construct flags.
+def questions(spark: SparkSession, sf_dir: str, flags: str = "B", n: int = N_QUESTIONS) -> DataFrame:
+    """part -> one question per id (p_partkey % n) with 0/1 construct flags.
 
     type comes from the part with the lowest p_partkey of the id (an explicit
     order, never an arbitrary ``first``).
@@ -125,7 +125,7 @@ def questions(spark: SparkSession, sf_dir: str, flags: str = "B") -> DataFrame:
     kind = (F.when(F.col("p_type").isin("ECONOMY", "LARGE"), "skill")
             .when(F.col("p_type").isin("MEDIUM", "PROMO"), "lab")
             .otherwise("project"))
-    return (p.groupBy((F.col("p_partkey") % N_QUESTIONS).alias("id"))
+    return (p.groupBy((F.col("p_partkey") % n).alias("id"))
             .agg(F.min_by(kind, F.col("p_partkey")).alias("type"),
                  F.min_by(F.col("p_name"), F.col("p_partkey")).alias("prompt"),
                  *_flag_exprs(names)))

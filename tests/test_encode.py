@@ -1,7 +1,5 @@
 """Encoders: exact lengths, padding, decode inverse (Q24, Q34)."""
 
-from pyspark.sql import functions as F
-
 from attemptlog.operators import encode as E
 
 ROWS = [("s", [3, 1, 2], [True, False, True], [[1.0], [1.0, 2.0, 3.0], [5.0, 6.0]], 4)]
@@ -56,15 +54,24 @@ def test_vocabulary_and_map(spark):
 
 def test_code_steps(spark):
     paths = spark.createDataFrame([
-        ("s", 1, "name,h1,value@$name,h2,x"),
+        ("s", 1, "name,h1,value@$x,h2,x@$,, "),      # the last entry is too short, its tokens do not count
         ("s", 2, ""),
         ("t", 1, "other,h1,name"),
     ], "student_id string, step long, RawASTPath string")
     nodes, pth = E.path_vocabulary(paths, ["student_id", "step"])
     nv = {r["token"]: r["index"] for r in nodes.collect()}
-    assert nv["name"] == 2 and "x" not in nv                 # short tokens are not in the vocabulary
+    assert nv == {"name": 2, "x": 3, "other": 4, "value": 5}      # short tokens of long entries are in it
+    assert {r["token"] for r in pth.collect()} == {"h1", "h2"}
     enc = {r["step"]: r for r in E.encode_code_steps(paths.filter("student_id = 's'"), nodes, pth,
                                                         ["student_id", "step"], max_paths=3).collect()}
-    assert enc[1]["start_idx"][:2] == [2, 2] and enc[1]["end_idx"][1] == E.UNK and enc[1]["start_idx"][2] == E.PAD
+    assert enc[1]["start_idx"] == [2, 3, E.UNK] and enc[1]["end_idx"] == [5, 3, E.UNK]
     assert enc[2]["path_idx"] == [0, 0, 0]
-    _ = F
+
+
+def test_code_step_rows(spark):
+    df = spark.createDataFrame([("s", [3, 1], [True, False], [["a"], ["b", "c"]])],
+                               "student_id string, prev_q array<int>, prev_labels array<boolean>, prev_tasks array<array<string>>")
+    rows = E.code_step_rows(df, ["student_id"], 5, length=4).orderBy("step").collect()
+    assert [(r["step"], r["interaction"], r["code"]) for r in rows] == [(1, 3, "a"), (2, 6, "b"), (3, 6, "c")]
+    last = E.code_step_rows(df, ["student_id"], 5, length=2).orderBy("step").collect()
+    assert [(r["step"], r["code"]) for r in last] == [(0, "b"), (1, "c")]

@@ -102,3 +102,16 @@ def test_history_long(spark):
                                 "student_id string, course_id string, problem_id long, row_number long, Label boolean")
     out = H.history_long(rows, num, n_hist=1).orderBy("pos").collect()
     assert [(r["task_number"], r["pos"], r["score"]) for r in out] == [(1, 1, 5.0), (1, 2, 7.0)]
+
+
+def test_task_without_scores_keeps_its_attempts(spark):
+    rows = [("s", "c", 1, 1, None), ("s", "c", 1, 2, None), ("s", "c", 2, 3, 100.0), ("s", "c", 2, 4, 50.0)]
+    df = spark.createDataFrame(rows, "student_id string, course_id string, problem_id long, ord long, score double") \
+        .withColumn("ts", F.timestamp_seconds("ord"))
+    t = {r["problem_id"]: r for r in H.task_table(df, ["student_id", "course_id", "problem_id"], ["ord"], code=None,
+                                                  sentinel=-1.0).collect()}
+    assert t[1]["num_snapshots"] == 2 and t[1]["max_score"] is None and t[1]["scores"] == [None, None]
+    assert t[2]["num_snapshots"] == 1 and t[2]["n_sentinel"] == 0
+    lab = H.label_struggle(spark.createDataFrame([(1, 2, None), (2, 1, 100.0)],
+                                                 "problem_id long, num_snapshots long, max_score double"))
+    assert {r["problem_id"]: r["Label"] for r in lab.collect()} == {1: False, 2: True}

@@ -14,7 +14,7 @@ def test_csv_multiline_code(spark, tmp_dir):
     p = os.path.join(tmp_dir, "code.csv")
     with open(p, "w") as fh:
         fh.write('CodeStateID,Code\n1,"int f() {\n  return ""x"";\n}"\n2,\n')
-    df = IO.read_attempts(spark, p, CODE_STATES).orderBy("CodeStateID").collect()
+    df = IO.read_attempts(spark, p, CODE_STATES, multiline=True).orderBy("CodeStateID").collect()
     assert df[0]["Code"] == 'int f() {\n  return "x";\n}' and df[1]["Code"] is None
 
 
@@ -34,6 +34,22 @@ def test_paths_prepared_split_predictions(spark, tmp_dir):
     assert spark.read.option("header", True).csv(os.path.join(tmp_dir, "pred")).collect()[0]["y_pred"] == "1"
 
 
+def test_paths_round_trip_with_line_breaks(spark, tmp_dir):
+    rows = [("s", 'def f():\n\treturn "x\\n"\n', "a,b,c@$d,e,f"), ("t", "  y = 'q'\n", ""), ("u", None, "a,b,c")]
+    paths = spark.createDataFrame(rows, "SubjectID string, Code string, RawASTPath string")
+    IO.write_paths(paths, os.path.join(tmp_dir, "p2"))
+    back = {r["SubjectID"]: (r["Code"], r["RawASTPath"] or "") for r in IO.read_paths(spark, os.path.join(tmp_dir, "p2")).collect()}
+    assert back == {s: (c, p) for s, c, p in rows}
+
+
+def test_event_log_is_splittable(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "ev.csv")
+    with open(p, "w") as fh:
+        fh.write("CodeStateID,Code\n1,x\n")
+    plan = IO.read_attempts(spark, p, CODE_STATES)._jdf.queryExecution().toString()
+    assert "multiLine" not in plan or "multiLine -> true" not in plan
+
+
 def test_skill_scores_list_text(spark, tmp_dir):
     p = os.path.join(tmp_dir, "skills.csv")
     with open(p, "w") as fh:

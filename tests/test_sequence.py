@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from attemptlog.operators.sequence import sequenced
+from attemptlog.operators.sequence import hot_keys, sequenced
 
 
 def _rows(n_keys=6, seed=7):
@@ -35,11 +35,12 @@ def _brute(rows):
     return out
 
 
-@pytest.mark.parametrize("mode", ["plain", "hot", "fixed_width"])
+@pytest.mark.parametrize("mode", ["plain", "hot", "given"])
 def test_sequenced_matches_brute_force(spark, mode):
     rows = _rows()
     df = spark.createDataFrame(rows, "s long, p long, ord long, ts timestamp, score double")
-    kw = {"plain": {}, "hot": {"target_rows": 10}, "fixed_width": {"seg_width": 9}}[mode]
+    kw = {"plain": {}, "hot": {"target_rows": 10},
+          "given": {"target_rows": 10, "hot": hot_keys(df, ["s", "p"], 10)}}[mode]
     out = sequenced(df, ["s", "p"], ["ord"], carry=["ts", "score"], value="score", **kw)
     got = {r["ord"]: (r["pos"], r["n"], r["prev_ts"], r["first_ts"], r["last_score"], r["best"], r["best_pos"])
            for r in out.collect()}
@@ -72,7 +73,34 @@ def test_no_single_partition_window(spark):
         ._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    _ = F
+
+
+def test_hot_key_with_null_and_clustered_orders(spark):
+    # one key holds a third of all rows; its orders are NULL, equal or close together
+    rnd = random.Random(3)
+    rows = [("hot", None if i % 10 == 0 else 5 if i < 60 else 10_000 + i, i,
+             None if i % 7 == 0 else float(rnd.randint(0, 5))) for i in range(100)]
+    rows += [(f"k{i % 40}", rnd.randint(0, 9), 1000 + i, float(i % 4)) for i in range(200)]
+    rows += [("none", i, 2000 + i, None) for i in range(12)]
+    df = spark.createDataFrame(rows, "key string, ord long, tb long, score double")
+    got = {}
+    for target in (3, 10 ** 6):
+        out = sequenced(df, ["key"], ["ord", "tb"], carry=["tb", "score"], value="score", target_rows=target)
+        got[target] = sorted((r["tb"], r["pos"], r["n"], r["prev_tb"], r["first_tb"], r["last_score"], r["best"], r["best_pos"])
+                             for r in out.collect())
+    assert len(got[3]) == len(rows) and got[3] == got[10 ** 6]
+    hot = [r for r in got[3] if r[0] < 100]
+    assert sorted(r[1] for r in hot) == list(range(1, 101)) and {r[2] for r in hot} == {100}
+    assert all(r[6] is None and r[7] is None for r in got[3] if r[0] >= 2000)
+
+
+def test_no_segment_above_the_target(spark):
+    from attemptlog.operators.splits import global_rank
+    rows = [("hot", 5, i) for i in range(90)] + [("b", i, 500 + i) for i in range(9)]
+    df = spark.createDataFrame(rows, "key string, ord long, tb long")
+    ranked = global_rank(df, ["ord", "tb"], ["key"], "rank")
+    sizes = ranked.groupBy("key", F.floor(F.col("rank") / 4).alias("seg")).count().collect()
+    assert max(r["count"] for r in sizes) == 4 and sum(r["count"] for r in sizes) == 99
 
 
 @pytest.mark.parametrize("target", [10, 1 << 22])

@@ -50,3 +50,16 @@ def test_student_label_uses_order(spark):
     df = spark.createDataFrame([("s", 3, False), ("s", 1, True)], "student_id string, new_task_id long, Label boolean")
     assert SP.student_label(df).collect()[0]["Label"] is True
     _ = F
+
+
+def test_null_labels_stay(spark):
+    rows = [(i, None if i % 4 == 0 else i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "student_id long, Label int")
+    folds = SP.stratified_folds(df, k=3).collect()
+    assert sorted(r["student_id"] for r in folds) == list(range(20))
+    sp = SP.stratified_split(df).collect()
+    assert sorted(r["student_id"] for r in sp) == list(range(20))
+    per = {}
+    for r in folds:
+        per.setdefault(r["Label"], []).append(r["fold"])
+    assert all(max(map(f.count, range(3))) - min(map(f.count, range(3))) <= 1 for f in per.values())

@@ -95,8 +95,8 @@ PAIRS = [("a\nb\nc", "a\nb\nc"), ("a\nb", "a\nc"), ("", "x\ny"), ("a\nb\nc", "")
 
 def _brute(a, b, headers):
     d = i = 0
-    for line in difflib.unified_diff(a.splitlines(), b.splitlines()):
-        if not headers and (line.startswith("---") or line.startswith("+++")):
+    for k, line in enumerate(difflib.unified_diff(a.splitlines(), b.splitlines())):
+        if not headers and k < 2:
             continue
         if line.startswith("-"):
             d += 1
@@ -114,6 +114,13 @@ def test_line_diff(spark, headers):
         assert got[1] == (2, 2) and got[0] == (0, 0)
 
 
+def test_line_diff_counts_lines_that_look_like_headers(spark):
+    pairs = [("a\n--i;\nb", "a\nb"), ("a\nb", "a\n++i;\nb"), ("-- x", "++ x")]
+    df = spark.createDataFrame(pairs, "prev string, cur string")
+    got = [(r[0]["deleted"], r[0]["inserted"]) for r in df.select(D.line_diff("prev", "cur", False)).collect()]
+    assert got == [(1, 0), (0, 1), (1, 1)]
+
+
 def test_changed_lines_elementwise(spark):
     # Q19: changed = per-step max(deleted, inserted)
     rows = [(1, i + 1, t) for i, t in enumerate(["a", "a\nb\nc", "x"])]
