@@ -33,7 +33,8 @@ def repeated_words(w: Column) -> Column:
     Windows are sorted by a 64-bit hash of their words (equal hashes of different
     windows within one text are left out of account: below 1e-8 for a million
     words), neighbours with equal hashes are the repeated ones, and the
-    words that their starts cover are counted without overlap."""
+    words that their starts cover are counted without overlap.  A text whose hashes
+    all differ is not sorted."""
     def covered(sorted_w):
         twice = F.filter(sorted_w, lambda x, k: (x["h"] == F.get(sorted_w, k - 1)["h"])
                          | (x["h"] == F.get(sorted_w, k + 1)["h"]))
@@ -42,13 +43,14 @@ def repeated_words(w: Column) -> Column:
             p.alias("p"), (acc["n"] + F.least(p - acc["p"], F.lit(3))).alias("n")))
         return last["n"]
 
-    def windows(ws):
-        h = F.transform(F.sequence(F.lit(1), F.size(ws) - 2), lambda i: F.struct(
-            F.xxhash64(F.element_at(ws, i), F.element_at(ws, i + 1), F.element_at(ws, i + 2)).alias("h"),
-            i.alias("p")))
-        return F.sort_array(h)
-    # transform over a one-element array binds the sorted windows to a name: they are made once, not once a word
-    return F.when(F.size(w) >= 3, F.transform(F.array(windows(w)), covered)[0]).otherwise(F.lit(0)).cast("long")
+    def counted(h):
+        placed = F.transform(h, lambda x, k: F.struct(x.alias("h"), k.alias("p")))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")) \
+            .otherwise(F.transform(F.array(F.sort_array(placed)), covered)[0])
+    # transform over a one-element array binds an array to a name: it is made once, not once a word
+    hashes = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, k: F.xxhash64(
+        x, F.get(w, k + 1), F.get(w, k + 2)))
+    return F.when(F.size(w) >= 3, F.transform(F.array(hashes), counted)[0]).otherwise(F.lit(0)).cast("long")
 
 
 def _count(text: Column, chars: str) -> Column:
