@@ -62,13 +62,13 @@ def filter_question_type(df: DataFrame, keep: Sequence[str] = ("skill", "lab"),
 
 def exclude_sentinel(df: DataFrame, col: str = "scores", sentinel: float = -1.0) -> DataFrame:
     """Drop rows whose score array contains the sentinel."""
-    return df.filter(~F.array_contains(col, F.lit(sentinel)))
+    return df.filter(~F.coalesce(F.array_contains(col, F.lit(sentinel)), F.lit(False)))
 
 
 def has_perfect(df: DataFrame, col: str = "scores", perfect: float = 100.0,
                 out: str = "success") -> DataFrame:
     """Flag rows whose score array reaches the perfect score."""
-    return df.withColumn(out, F.array_contains(col, F.lit(perfect)))
+    return df.withColumn(out, F.coalesce(F.array_contains(col, F.lit(perfect)), F.lit(False)))
 
 
 def filter_attempts(df: DataFrame, lo: int | None = None, hi: int | None = None,

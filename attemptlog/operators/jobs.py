@@ -10,10 +10,8 @@ from __future__ import annotations
 import ast
 import difflib
 import hashlib
-import re
 from typing import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +28,6 @@ def distinct_snippets(df: DataFrame, col: str = "prev_tasks") -> DataFrame:
     return df.select(F.explode(F.flatten(col)).alias("code")).filter(F.col("code").isNotNull()).distinct()
 
 
-_TOKEN = re.compile(r"\w+", re.UNICODE)
-
-
 def _spread(df: DataFrame, *cols) -> DataFrame:
     """Hash-spread the input of a CPU-bound Python job over
     ``spark.sql.shuffle.partitions`` tasks (AQE would otherwise coalesce a
@@ -41,29 +36,34 @@ def _spread(df: DataFrame, *cols) -> DataFrame:
     return df.repartition(n, *cols) if cols else df.repartition(n)
 
 
-def hashed_token_vector(text: str, dim: int = 64) -> np.ndarray:
-    """Default encoder: L2-normalised counts of hashed lower-case word tokens."""
-    v = np.zeros(dim, dtype=np.float32)
-    for tok in _TOKEN.findall(text.lower()):
-        h = int.from_bytes(hashlib.md5(tok.encode("utf-8")).digest()[:4], "little")
-        v[h % dim] += 1.0
-    n = float(np.linalg.norm(v))
-    return v / n if n > 0 else v
+def hashed_token_vector(text, dim: int = 64):
+    """Default encoder: L2-normalised counts of hashed lower-case word tokens, as a
+    column expression of built-in functions."""
+    toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+    slots = F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
+
+    def scaled(v):
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+    return F.transform(F.array(counts), scaled)[0]
 
 
 def embed_texts(snippets: DataFrame, fn: Callable[[list], list] | None = None,
                 dim: int = 64, col: str = "code") -> DataFrame:
-    """``(code) -> (code, vector)`` with ``mapInPandas``.
+    """``(code) -> (code, vector)``.
 
     ``fn`` maps a list of texts to a list of vectors (a batch call into a
-    model loaded once per task); the default is :func:`hashed_token_vector`.
-    Batch size follows ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    model loaded once per task) and runs in ``mapInPandas``; the default,
+    :func:`hashed_token_vector`, needs no Python.  Batch size follows ``spark.sql.execution.arrow.maxRecordsPerBatch``.
     """
+    if fn is None:
+        return snippets.select(col, hashed_token_vector(F.col(col), dim).alias("vector"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = fn or (lambda texts: [hashed_token_vector(t, dim) for t in texts])
         for b in batches:
             texts = b[col].fillna("").tolist()
-            vecs = enc(texts)
+            vecs = fn(texts)
             yield pd.DataFrame({col: b[col], "vector": [list(map(float, v)) for v in vecs]})
     schema = T.StructType([T.StructField(col, T.StringType()),
                            T.StructField("vector", T.ArrayType(T.FloatType()))])
@@ -139,7 +139,7 @@ FALLBACK_PROGRAM = "def fallback():\n    return 0\n"
 def _tree(code: str):
     try:
         return ast.parse(code)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return ast.parse(FALLBACK_PROGRAM)
 
 
@@ -212,6 +212,15 @@ def path_strings(code: str, max_len: int = MAX_PATH_LENGTH, max_width: int = MAX
     return out
 
 
+def _paths_or_none(code: str, max_len: int, max_width: int) -> list[str]:
+    """No paths for a snippet nested too deeply to walk; one such row must not end
+    the job."""
+    try:
+        return path_strings(code, max_len, max_width)
+    except RecursionError:
+        return []
+
+
 def ast_paths(df: DataFrame, code: str = "code", key: Sequence[str] = ("code_id",),
               max_len: int = MAX_PATH_LENGTH, max_width: int = MAX_PATH_WIDTH,
               sep: str = "@$") -> DataFrame:
@@ -222,7 +231,7 @@ def ast_paths(df: DataFrame, code: str = "code", key: Sequence[str] = ("code_id"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            paths = [sep.join(path_strings(c or "", max_len, max_width)) for c in b[code]]
+            paths = [sep.join(_paths_or_none(c or "", max_len, max_width)) for c in b[code]]
             yield b[key].assign(RawASTPath=paths, n_paths=[p.count(sep) + 1 if p else 0 for p in paths])
     fields = [df.schema[k] for k in key] + [T.StructField("RawASTPath", T.StringType()),
                                             T.StructField("n_paths", T.LongType())]

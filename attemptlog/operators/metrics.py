@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attemptlog.operators.prefix import prefix_sums
+from attemptlog.session import cut_lineage
+
 
 def predict(df: DataFrame, thr: float = 0.5, prob: str = "y_prob", out: str = "y_pred") -> DataFrame:
     """F19 (Q22): strict ``>`` against the threshold."""
@@ -50,27 +53,15 @@ def score_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum(1 - F.col("y_true")).cast("long").alias("neg"))
 
 
-def roc_auc(df: DataFrame, by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
+def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Exact ROC-AUC with ties counted one half (NULL for a single class).
 
     AUC = sum over scores s of pos(s) * (neg below s + neg(s) / 2) / (P * N).
-    "neg below s" is a prefix sum over distinct scores.  It is computed per
-    score bucket (``floor(score * buckets)``): a running sum inside the bucket
-    plus the negatives of all lower buckets from a table with one row per
-    bucket, so no task holds all distinct scores of a large fold.
+    "neg below s" is a prefix sum over distinct scores, over ranges of equal row
+    counts, so saturated or very many scores are spread like any others.
     """
     by = list(by)
-    c = score_counts(df, by)
-    if not by:
-        c = c.withColumn("_g", F.lit(0))
-    part = by or ["_g"]
-    c = c.withColumn("_b", F.floor(F.col("y_prob") * buckets).cast("long"))
-    inner = Window.partitionBy(*part, "_b").orderBy("y_prob").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_nb_in", F.coalesce(F.sum("neg").over(inner), F.lit(0)))
-    b = c.groupBy(*part, "_b").agg(F.sum("neg").alias("_bneg"))
-    lower = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("_nb_lo", F.coalesce(F.sum("_bneg").over(lower), F.lit(0))).drop("_bneg")
-    c = c.join(b, part + ["_b"], "inner").withColumn("neg_below", F.col("_nb_lo") + F.col("_nb_in"))
+    c = prefix_sums(score_counts(df, by), ["y_prob"], by, {"neg": "neg_below"})
     g = c.groupBy(*by) if by else c.groupBy()
     P, N = F.sum("pos"), F.sum("neg")
     num = F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
@@ -81,33 +72,30 @@ def roc_curve(df: DataFrame, by: Sequence[str] = (), drop_intermediate: bool = T
     """(fpr, tpr, threshold) points, highest threshold first, starting at
     (0, 0, +inf).  With ``drop_intermediate`` collinear points are removed:
     among the distinct-score points the first, the last and every point where
-    the second difference of fps or tps is non-zero are kept."""
+    the second difference of fps or tps is non-zero are kept.
+
+    Running counts are prefix sums over ranges, also for one group that holds
+    everything; the second difference needs the next point's counts only."""
     by = list(by)
-    c = score_counts(df, by)
-    if not by:
-        c = c.withColumn("_g", F.lit(0))
-    part = by or ["_g"]
-    w = Window.partitionBy(*part).orderBy(F.col("y_prob").desc())
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("tps", F.sum("pos").over(run)).withColumn("fps", F.sum("neg").over(run)) \
-         .withColumn("idx", F.row_number().over(w))
+    c = score_counts(df, by).withColumn("_down", -F.col("y_prob"))
+    c = prefix_sums(c, ["_down"], by, {"pos": "tps", "neg": "fps"}, rank="_rank",
+                    following={"pos": "_npos", "neg": "_nneg"}) \
+        .withColumn("tps", (F.col("tps") + F.col("pos")).cast("long")) \
+        .withColumn("fps", (F.col("fps") + F.col("neg")).cast("long")).withColumn("idx", F.col("_rank") + 1)
+    c = cut_lineage(c.drop("_down", "_rank"))
+    tot = c.groupBy(*by) if by else c.groupBy()
+    tot = tot.agg(F.max("tps").alias("P"), F.max("fps").alias("N"))
     if drop_intermediate:
-        w2 = Window.partitionBy(*part).orderBy("idx")
-        d2f = F.lead("fps").over(w2) - 2 * F.col("fps") + F.lag("fps").over(w2)
-        d2t = F.lead("tps").over(w2) - 2 * F.col("tps") + F.lag("tps").over(w2)
-        c = c.withColumn("_corner", (d2f != 0) | (d2t != 0))
-        c = c.filter(F.col("_corner").isNull() | F.col("_corner")).drop("_corner")
-    start = c.select(*part).distinct().select(
-        *part, F.lit(float("inf")).alias("y_prob"), F.lit(0).cast("long").alias("pos"),
-        F.lit(0).cast("long").alias("neg"), F.lit(0).cast("long").alias("tps"),
-        F.lit(0).cast("long").alias("fps"), F.lit(0).alias("idx"))
-    pts = start.unionByName(c.select(*start.columns))
-    tot = pts.groupBy(*part).agg(F.max("tps").alias("P"), F.max("fps").alias("N"))
-    pts = pts.join(tot, part, "inner")
-    out = pts.select(*part, "idx", F.col("y_prob").alias("threshold"),
-                     F.when(F.col("N") == 0, F.lit(None)).otherwise(F.col("fps") / F.col("N")).alias("fpr"),
-                     F.when(F.col("P") == 0, F.lit(None)).otherwise(F.col("tps") / F.col("P")).alias("tpr"))
-    return out.drop("_g") if not by else out
+        corner = (F.col("_nneg") != F.col("neg")) | (F.col("_npos") != F.col("pos"))
+        c = c.filter((F.col("idx") == 1) | F.col("_npos").isNull() | corner)
+    start = tot.filter("P is not null").select(
+        *by, F.lit(float("inf")).alias("y_prob"), F.lit(0).cast("long").alias("tps"), F.lit(0).cast("long").alias("fps"),
+        F.lit(0).cast("long").alias("idx"))
+    pts = start.unionByName(c.select(*by, "y_prob", "tps", "fps", "idx"))
+    pts = pts.join(tot, by, "inner") if by else pts.crossJoin(tot)
+    return pts.select(*by, "idx", F.col("y_prob").alias("threshold"),
+                      F.when(F.col("N") == 0, F.lit(None)).otherwise(F.col("fps") / F.col("N")).alias("fpr"),
+                      F.when(F.col("P") == 0, F.lit(None)).otherwise(F.col("tps") / F.col("P")).alias("tpr"))
 
 
 def youden_threshold(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

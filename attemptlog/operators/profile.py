@@ -13,6 +13,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attemptlog.operators.prefix import exact_percentiles
+from attemptlog.session import cut_lineage
+
 
 def dataset_profile(summary: DataFrame, student: str = "student_id",
                     problem: str = "problem_id", section: str | None = None) -> DataFrame:
@@ -48,20 +51,22 @@ def time_stats(summary: DataFrame, problem: str = "problem_id",
                student: str = "student_id") -> DataFrame:
     """A10: time-to-solve and per-task mean gap statistics per problem, minutes.
 
-    Tasks with a single attempt are left out (they have no gap).
+    Tasks with a single attempt are left out (they have no gap).  Times are nearly
+    all distinct, so the medians come from prefix sums over ranges of values, not
+    from a map of values per problem.
     """
-    s = summary.filter(F.col("num_snapshots") > 1)
-    t = F.col("time_to_solve") / 60.0
-    g = F.col("mean_gap") / 60.0
-    return s.groupBy(problem).agg(
+    s = cut_lineage(summary.filter(F.col("num_snapshots") > 1).select(
+        problem, student, (F.col("time_to_solve") / 60.0).alias("_t"), (F.col("mean_gap") / 60.0).alias("_g")))
+    t, g = F.col("_t"), F.col("_g")
+    medians = exact_percentiles(s, [problem], {"_t": "median_time_to_solve", "_g": "median_time_between_snapshots"})
+    stats = s.groupBy(problem).agg(
         F.count_distinct(student).alias("number_of_students"),
         F.min(t).alias("min_time_to_solve"),
         F.max(t).alias("max_time_to_solve"),
         F.avg(t).alias("mean_time_to_solve"),
-        F.percentile(t, F.lit(0.5)).alias("median_time_to_solve"),
         F.avg(g).alias("mean_time_between_snapshots"),
-        F.percentile(g, F.lit(0.5)).alias("median_time_between_snapshots"),
     )
+    return stats.join(medians, problem, "left")
 
 
 def success_rate(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -62,14 +62,14 @@ def parse_rubric(answers: DataFrame, answer: str = "answer", keys: dict | None =
     return df.withColumn("parsed", F.col("__m").isNotNull()).drop("__m")
 
 
-def collect_rubric(parsed: DataFrame, student: str = "student_id", position: str = "position",
+def collect_rubric(parsed: DataFrame, keys: Sequence[str] = ("student_id", "course_id"), position: str = "position",
                    names: Sequence[str] = ("decomposition", "alg", "reading")) -> DataFrame:
-    """K21 (per student): ordered score arrays keyed by (student, position), Q16.
+    """K21 (per student and course): ordered score arrays keyed by position, Q16.
 
     One struct per answer is collected so NULL scores keep their slot (Q2)."""
     st = F.struct(F.col(position).alias("p"), *[F.col(n).alias(n) for n in names])
-    g = parsed.groupBy(student).agg(F.sort_array(F.collect_list(st)).alias("_s"))
-    return g.select(student, *[F.transform("_s", _field(n)).alias(n) for n in names])
+    g = parsed.groupBy(*keys).agg(F.sort_array(F.collect_list(st)).alias("_s"))
+    return g.select(*keys, *[F.transform("_s", _field(n)).alias(n) for n in names])
 
 
 def _field(name: str):

@@ -108,12 +108,12 @@ def rubric_averages(scores: DataFrame, cols: Sequence[str] = ("decomposition", "
     return out
 
 
-def extend_with_rubric(df: DataFrame, scores: DataFrame, student: str = "student_id",
+def extend_with_rubric(df: DataFrame, scores: DataFrame, keys: Sequence[str] = ("student_id", "course_id"),
                        col: str = "skills_vec") -> DataFrame:
     """K6: append the three rubric averages to the skill vector (left join by
-    student; the score table must hold one row per student)."""
-    avg = rubric_averages(scores).select(student, "dec_avg", "alg_avg", "read_avg")
-    j = df.join(avg, student, "left")
+    ``keys``; the score table must hold one row for each)."""
+    avg = rubric_averages(scores).select(*keys, "dec_avg", "alg_avg", "read_avg")
+    j = df.join(avg, list(keys), "left")
     return j.withColumn(col, F.concat(F.col(col), F.array("dec_avg", "alg_avg", "read_avg")))
 
 

@@ -9,9 +9,11 @@ size is under the threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attemptlog.operators.prefix import prefix_sums
+
 
 def without_break_tasks(summary: DataFrame, max_gap: int = 900, inclusive: bool = False) -> DataFrame:
     """Tasks with more than one attempt and no break (Q17: ``< 900`` here)."""
@@ -41,10 +43,9 @@ def fastest_count(summary_multi: DataFrame, student: str = "student_id",
 
 def _bottom_n_mean(tasks: DataFrame, col: str, top_n: DataFrame, problem: str) -> DataFrame:
     # Exact mean of the N smallest values per problem from a count per distinct
-    # value: the cumulative window runs over distinct values, not over rows.
+    # value, with prefix sums over ranges of values.
     vc = tasks.groupBy(problem, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(problem).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    vc = vc.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).crossJoin(top_n)
+    vc = prefix_sums(vc, ["_v"], [problem], {"_c": "_before"}).crossJoin(top_n)
     take = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("top_n") - F.col("_before")))
     return vc.groupBy(problem).agg(
         (F.sum(take * F.col("_v")) / F.nullif(F.sum(take), F.lit(0))).alias(f"top_{col}"))

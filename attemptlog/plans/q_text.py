@@ -229,11 +229,11 @@ def q_build_rubric_inputs(spark, d):
 
 
 @register("parse_rubric", _fix(with_views(["attempts", "questions"], RUBRIC_SQL + """
-SELECT student_id, CAST(count(*) AS BIGINT) AS n_answers,
+SELECT student_id, course_id, CAST(count(*) AS BIGINT) AS n_answers,
   string_agg(coalesce(CAST(CAST(decomposition AS BIGINT) AS VARCHAR), ''), ',' ORDER BY position) AS decomposition,
   string_agg(coalesce(CAST(CAST(alg AS BIGINT) AS VARCHAR), ''), ',' ORDER BY position) AS alg,
   string_agg(coalesce(CAST(CAST(reading AS BIGINT) AS VARCHAR), ''), ',' ORDER BY position) AS reading
-FROM pr GROUP BY student_id""")))
+FROM pr GROUP BY student_id, course_id""")))
 def q_parse_rubric(spark, d):
     parsed = R.parse_rubric(_answers(spark, d))
     per = R.collect_rubric(parsed)
@@ -241,7 +241,7 @@ def q_parse_rubric(spark, d):
     def txt(c):
         return F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("long").cast("string"),
                                                                   F.lit(""))), ",")
-    return finalize(per.select("student_id", F.size("decomposition").cast("long").alias("n_answers"),
+    return finalize(per.select("student_id", "course_id", F.size("decomposition").cast("long").alias("n_answers"),
                                txt("decomposition").alias("decomposition"), txt("alg").alias("alg"),
                                txt("reading").alias("reading")))
 
@@ -254,23 +254,23 @@ def q_rubric_retries(spark, d):
 
 
 @register("skill_averages", _fix(with_views(["attempts", "questions"], RUBRIC_SQL + """
-SELECT student_id, round(avg(decomposition / 5), 6) AS dec_avg, round(avg(alg / 5), 6) AS alg_avg,
-  round(avg(reading / 5), 6) AS read_avg FROM pr GROUP BY student_id""")))
+SELECT student_id, course_id, round(avg(decomposition / 5), 6) AS dec_avg, round(avg(alg / 5), 6) AS alg_avg,
+  round(avg(reading / 5), 6) AS read_avg FROM pr GROUP BY student_id, course_id""")))
 def q_skill_averages(spark, d):
     per = R.collect_rubric(R.parse_rubric(_answers(spark, d)))
-    return finalize(SK.rubric_averages(per).select("student_id", "dec_avg", "alg_avg", "read_avg"))
+    return finalize(SK.rubric_averages(per).select("student_id", "course_id", "dec_avg", "alg_avg", "read_avg"))
 
 
 def _ext_sql():
     from attemptlog.plans.q_features import SKILLS_SQL
     rub = RUBRIC_SQL[len(SUBS_SQL):]          # the rubric CTEs after the shared prefix
     return _fix(with_views(["attempts", "questions"], SKILLS_SQL + rub + """
-, av AS (SELECT student_id, avg(decomposition / 5) AS dec_avg, avg(alg / 5) AS alg_avg,
-        avg(reading / 5) AS read_avg FROM pr GROUP BY student_id)
+, av AS (SELECT student_id, course_id, avg(decomposition / 5) AS dec_avg, avg(alg / 5) AS alg_avg,
+        avg(reading / 5) AS read_avg FROM pr GROUP BY student_id, course_id)
 SELECT f.student_id, f.course_id, f.new_task_id, """ + ", ".join(
         f"round(max(fv.z) FILTER (WHERE fv.j = {j}), 6) AS s{j}" for j in range(SIZE)) + """,
   round(any_value(av.dec_avg), 6) AS dec_avg, round(any_value(av.alg_avg), 6) AS alg_avg, round(any_value(av.read_avg), 6) AS read_avg
-FROM fin f JOIN fv USING (student_id, course_id, new_task_id) LEFT JOIN av USING (student_id)
+FROM fin f JOIN fv USING (student_id, course_id, new_task_id) LEFT JOIN av USING (student_id, course_id)
 GROUP BY f.student_id, f.course_id, f.new_task_id""").replace(")\n, av AS", "),\nav AS"))
 
 

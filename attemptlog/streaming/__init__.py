@@ -1,11 +1,9 @@
 """Streaming entry points.
 
-The analyses work on finished logs; nothing in them depends on arrival order,
-watermarks or timers.  For logs that arrive as files, :func:`attempt_stream`
-reads the folder with Structured Streaming and :func:`apply_per_batch` runs
-any batch operator of the library on each micro-batch through
-``foreachBatch``, writing each batch's result once (the batch id is part of
-the output path, so a replayed batch overwrites its own output).
+The analyses work on finished logs: an attempt's place, its task's best score and every
+statistic depend on all attempts of the task.  For logs that arrive as files,
+:func:`attempt_stream` reads the folder with Structured Streaming and
+:func:`write_row_wise` appends what row-wise operators make of it.
 """
 
-from attemptlog.streaming.files import apply_per_batch, attempt_stream  # noqa: F401
+from attemptlog.streaming.files import attempt_stream, write_row_wise  # noqa: F401

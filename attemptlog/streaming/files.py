@@ -19,12 +19,13 @@ def attempt_stream(spark: SparkSession, path: str, schema: T.StructType,
     return r.load(path)
 
 
-def apply_per_batch(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], out_path: str,
-                    checkpoint: str, trigger_once: bool = True):
-    """Run ``fn`` (a batch operator) on every micro-batch and write its result
-    to ``out_path/batch=<id>`` as Parquet.  Returns the started query."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        fn(batch).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
-    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+def write_row_wise(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], out_path: str,
+                   checkpoint: str, trigger_once: bool = True):
+    """Append ``fn(stream)`` to a Parquet folder.  ``fn`` must treat each row by
+    itself (filters, projections, label and score columns): an ordered or
+    aggregating operator would give half answers for a task whose attempts arrive
+    in two batches, and Spark rejects it here, as the plan runs on the stream."""
+    w = fn(stream).writeStream.format("parquet").option("path", out_path) \
+        .option("checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()

@@ -2,8 +2,8 @@
 
 import json
 import os
-import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from attemptlog.sources import files as IO
@@ -78,18 +78,21 @@ def test_load_embeddings_later_wins(spark):
     assert got == {"x": [9.0], "y": [2.0]}
 
 
-def test_streaming_per_batch(spark, tmp_dir):
-    from attemptlog.operators.attempts import summarize_attempts
-    from attemptlog.streaming import apply_per_batch, attempt_stream
+def test_streaming_is_row_wise(spark, tmp_dir):
+    from pyspark.errors import AnalysisException
+
+    from attemptlog.operators.attempts import binarize_score, summarize_attempts
+    from attemptlog.streaming import attempt_stream, write_row_wise
     src = os.path.join(tmp_dir, "in")
     rows = spark.createDataFrame([("s", 1, 1, 10.0), ("s", 1, 2, 100.0)],
                                  "student_id string, problem_id long, ord long, score double") \
         .withColumn("ts", F.timestamp_seconds(F.col("ord") * 60))
     rows.write.parquet(src)
     stream = attempt_stream(spark, src, rows.schema)
-    q = apply_per_batch(stream, lambda b: summarize_attempts(b, ["student_id", "problem_id"], ["ord"]),
-                        os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
+    q = write_row_wise(stream, binarize_score, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
     q.awaitTermination(120)
     out = spark.read.parquet(os.path.join(tmp_dir, "out")).collect()
-    assert len(out) == 1 and out[0]["num_snapshots"] == 2 and out[0]["success"] is True
-    _ = time
+    assert sorted(r["correct"] for r in out) == [0, 1]
+    with pytest.raises(AnalysisException):
+        write_row_wise(stream, lambda b: summarize_attempts(b, ["student_id", "problem_id"], ["ord"]),
+                       os.path.join(tmp_dir, "o2"), os.path.join(tmp_dir, "c2"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -94,10 +95,45 @@ def test_fold_average_is_unweighted(spark):
     assert abs(M.brier(df).collect()[0][0] - sum((p - y) ** 2 for _, y, p in data) / 6) < 1e-12
 
 
-def test_auc_bucketing_is_exact(spark):
+def test_auc_is_exact_over_any_ranges(spark):
     rnd = random.Random(9)
     data = [(float(rnd.randint(0, 1)), round(rnd.random(), 3)) for _ in range(300)]
     df = spark.createDataFrame(data, "y_true double, y_prob double")
     exp = _pairwise_auc([(int(y), p) for y, p in data])
-    for b in (1, 7, 1024, 100000):
-        assert abs(M.roc_auc(df, buckets=b).collect()[0][0] - exp) < 1e-12
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7", "30"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert abs(M.roc_auc(df).collect()[0][0] - exp) < 1e-12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_curves_of_saturated_scores_and_of_one_group(spark):
+    # nearly all scores in two values, and no grouping column at all
+    rnd = random.Random(12)
+    rows = [(float(rnd.random() < 0.3), rnd.choice([0.0, 1.0, 1.0, rnd.random()])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "y_true double, y_prob double")
+    pos = [p for y, p in rows if y == 1]
+    neg = [p for y, p in rows if y == 0]
+    auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert M.roc_auc(df).collect()[0]["roc_auc"] == pytest.approx(auc)
+    pts = M.roc_curve(df, drop_intermediate=False).orderBy("idx").collect()
+    want = [(t, sum(p >= t for p in neg) / len(neg), sum(p >= t for p in pos) / len(pos))
+            for t in [float("inf"), *sorted({p for _, p in rows}, reverse=True)]]
+    assert len(pts) == len(want)
+    for r, w in zip(pts, want):
+        assert (r["threshold"], r["fpr"], r["tpr"]) == pytest.approx(w)
+
+
+def test_exact_percentiles_over_ranges(spark):
+    from attemptlog.operators.prefix import exact_percentiles
+    rnd = random.Random(2)
+    rows = [(g, None if i % 9 == 0 else rnd.choice([rnd.random(), 0.5])) for g in (1, 2) for i in range(rnd.randint(3, 70))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: r["m"] for r in exact_percentiles(df, ["g"], {"v": "m"}, 0.3).collect()}
+    for g in (1, 2):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        at = 0.3 * (len(v) - 1)
+        lo = int(at)
+        assert got[g] == pytest.approx(v[lo] + (v[min(lo + 1, len(v) - 1)] - v[lo]) * (at - lo))

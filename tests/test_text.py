@@ -47,11 +47,12 @@ def test_parse_rubric(spark):
 
 
 def test_collect_rubric_by_position(spark):
-    # Q16: regroup by (student, position), whatever the number of tasks
-    df = spark.createDataFrame([("s", 2, 3.0, None, 1.0), ("s", 0, 1.0, 2.0, 3.0), ("t", 0, 5.0, 5.0, 5.0)],
-                               "student_id string, position long, decomposition double, alg double, reading double")
-    got = {r["student_id"]: (r["decomposition"], r["alg"]) for r in R.collect_rubric(df).collect()}
-    assert got == {"s": ([1.0, 3.0], [2.0, None]), "t": ([5.0], [5.0])}
+    # Q16: regroup by (student, course, position), whatever the number of tasks
+    df = spark.createDataFrame([("s", "c", 2, 3.0, None, 1.0), ("s", "c", 0, 1.0, 2.0, 3.0), ("s", "d", 0, 4.0, 4.0, 4.0),
+                                ("t", "c", 0, 5.0, 5.0, 5.0)],
+                               "student_id string, course_id string, position long, decomposition double, alg double, reading double")
+    got = {(r["student_id"], r["course_id"]): (r["decomposition"], r["alg"]) for r in R.collect_rubric(df).collect()}
+    assert got == {("s", "c"): ([1.0, 3.0], [2.0, None]), ("s", "d"): ([4.0], [4.0]), ("t", "c"): ([5.0], [5.0])}
 
 
 CODES = [
@@ -121,6 +122,20 @@ def test_line_diff_counts_lines_that_look_like_headers(spark):
     assert got == [(1, 0), (0, 1), (1, 1)]
 
 
+def test_deeply_nested_code_does_not_end_the_job(spark):
+    deep = "x = a" + ".b" * 5000
+    df = spark.createDataFrame([(1, deep), (2, "y = f(1) + 2")], "code_id long, code string")
+    got = {r["code_id"]: r["n_paths"] for r in D.ast_paths(df).collect()}
+    assert set(got) == {1, 2} and got[2] > 0
+
+
+def test_default_encoder_is_normalised(spark):
+    df = spark.createDataFrame([("if x: Y = x",), ("",), ("IF X y x",)], "code string")
+    got = {r["code"]: list(r["vector"]) for r in D.embed_texts(df, dim=8).collect()}
+    assert got["if x: Y = x"] == got["IF X y x"] and sum(v * v for v in got["IF X y x"]) == pytest.approx(1.0, abs=1e-5)
+    assert got[""] == [0.0] * 8
+
+
 def test_changed_lines_elementwise(spark):
     # Q19: changed = per-step max(deleted, inserted)
     rows = [(1, i + 1, t) for i, t in enumerate(["a", "a\nb\nc", "x"])]
