@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from attemptlog.session import cut_lineage
 
 #: The sketch counts documents a token, for the order in which rare tokens come first.
 SKETCH_BITS = 18
+#: Tokens of a bucket with HOT_TIMES the mean count and HOT_ROWS more are spread over HOT_PARTS tasks.
+HOT_TIMES, HOT_ROWS, HOT_PARTS = 8, 10_000, 64
 #: A group with more documents, or more bytes of sets, is joined block by block.
 BLOCK_ROWS, BLOCK_BYTES = 8192, 32 << 20
 #: Members of candidate groups are broadcast up to so many, else joined by a shuffle.
@@ -87,17 +89,21 @@ def _signatures(docs: DataFrame, n: int, doc_id: str, text: str, also: list[str]
 
 
 def _prefixes(docs: DataFrame, n: int, text: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
-    """(token, class) for the rarest tokens of each set: so many that linked sets
-    share one.  Repeated classes of a partition are given once."""
+    """(token, class) for the rarest tokens of each set, so many that linked sets
+    share one, and whether the sketch has the token in a hot bucket.  Repeated
+    classes of a partition are given once."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # any order of tokens does; this one is by the logarithm of the count, then by hash
-        rank = (np.log2(np.maximum(shared.value, 1)) * 16).astype(np.uint64) << np.uint64(54)
+        sketch = shared.value
+        rank = (np.log2(np.maximum(sketch, 1)) * 16).astype(np.uint64) << np.uint64(54)
+        hot = sketch > HOT_TIMES * sketch.mean() + HOT_ROWS
         seen: set[int] = set()
         for _, flat, ends, f1 in _each(batches, "text", n):
-            key = rank[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] | (tokens.mix(flat.copy()) >> np.uint64(10))
-            got, cls = [], []
+            bucket = (flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            key = rank[bucket] | (tokens.mix(flat.copy()) >> np.uint64(10))
+            got, cls, at_hot = [], [], []
             for a, b, c in zip(ends[:-1].tolist(), ends[1:].tolist(), f1.view(np.int64).tolist(), strict=True):
                 if a == b or c in seen:
                     continue
@@ -107,10 +113,23 @@ def _prefixes(docs: DataFrame, n: int, text: str, sketch: np.ndarray, num: int,
                 at = np.flatnonzero(own <= np.partition(own, take - 1)[take - 1])
                 got.append(flat[a + at])
                 cls.append(np.full(len(at), c, np.int64))
+                at_hot.append(hot[bucket[a + at]])
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)),
-                                                  pa.array(np.concatenate(cls))], names=["token", "cls"])
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, cls long")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(got).view(np.int64)), pa.array(np.concatenate(cls)),
+                    pa.array(np.concatenate(at_hot))], names=["token", "cls", "hot"])
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, cls long, hot boolean")
+
+
+def _shared_tokens(prefix: DataFrame) -> DataFrame:
+    """Distinct (token, class) of tokens that more than one class has, written to the
+    shared folder.  Most rare tokens have one class and end here, after one shuffle.
+    Tokens of hot buckets are kept as they are and dealt out by class as well."""
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("cls"), F.lit(HOT_PARTS))).otherwise(0)
+    same = Window.partitionBy("token", "_salt")
+    found = prefix.withColumn("_salt", salt).withColumn("_least", F.min("cls").over(same)) \
+        .withColumn("_most", F.max("cls").over(same)).filter(F.col("hot") | (F.col("_least") != F.col("_most")))
+    return cut_lineage(found.select("token", "cls").distinct())
 
 
 def _join_groups(members: DataFrame, sets: bool, num: int, den: int) -> DataFrame:
@@ -232,8 +251,7 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
         (F.min("check") != F.max("check")).alias("_clash")))
     if not classes.filter("_clash").isEmpty():
         raise RuntimeError("two different sets share a 64-bit class; run again with another _F1")
-    prefix = _prefixes(docs, n, text, sketch, num, den).groupBy("token", "cls").agg(F.lit(1).alias("_one")) \
-        .select("token", "cls")
+    prefix = _shared_tokens(_prefixes(docs, n, text, sketch, num, den))
     h = F.xxhash64("cls")
     posting = prefix.groupBy("token").agg(
         F.count(F.lit(1)).alias("m"), F.bit_xor(h).alias("_x"), F.bit_xor(F.xxhash64(h, F.lit(7))).alias("_y")) \

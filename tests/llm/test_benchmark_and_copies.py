@@ -138,6 +138,8 @@ def test_components_match_brute_force(spark, blocks, monkeypatch):
         monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
         monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4096)
         monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(ngram_join, "HOT_TIMES", 0)
+        monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
     rng = random.Random(9)
     word = lambda: rng.choice("abcdefgh") + rng.choice(["", "x", "yz"]) + rng.choice("123")
     bases = [[word() for _ in range(rng.randint(1, 120))] for _ in range(12)]
