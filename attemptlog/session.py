@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -64,9 +65,29 @@ def cut_lineage(df):
     One computation plus a write, where ``DataFrame.checkpoint`` computes the
     plan once for the action and again to write the files.  Downstream
     branches read the table (with column pruning) instead of re-running the
-    upstream plan, and a lost executor only re-reads files.
+    upstream plan, and a lost executor only re-reads files.  Tables stay until the
+    enclosing :func:`scratch_tables` ends, or for the folder's own retention.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
+
+
+_written: list[str] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Delete on exit what :func:`cut_lineage` has written inside.  Results that read
+    those tables must be saved or consumed before the block ends."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        gone = _written[mark:]
+        del _written[mark:]
+        for path in gone:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -45,3 +45,12 @@ def test_read_questions_lowercases(spark, tmp_dir):
     r = IO.read_questions(spark, p, lower_id="id").collect()[0]
     assert r["id"] == "a1_dorms" and r["prompt"] == "multi\nline"
     _ = F
+
+
+def test_scratch_tables_are_deleted(spark):
+    from attemptlog.session import cut_lineage, scratch_tables
+    with scratch_tables(spark):
+        t = cut_lineage(spark.range(5))
+        path = t.inputFiles()[0].replace("file://", "")
+        assert t.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
