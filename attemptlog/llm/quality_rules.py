@@ -53,15 +53,16 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) >= 3, F.transform(F.array(hashes), counted)[0]).otherwise(F.lit(0)).cast("long")
 
 
-def _count(text: Column, chars: str) -> Column:
-    return (F.char_length(text) - F.char_length(F.translate(text, chars, ""))).cast("long")
+def _symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long")
 
 
 def line_fails(line: Column) -> Column:
     """Whether a line with words breaks one of the rules."""
     n = F.regexp_count(line, F.lit(WORD))
     low = F.lower(line)
-    noise = (_count(line, SYMBOLS) > MAX_SYMBOLS * n) | (_count(line, "!") > MAX_SHOUTS * n)
+    noise = (_symbols(line) > MAX_SYMBOLS * n) | (
+        F.char_length(line) - F.char_length(F.replace(line, F.lit("!"), F.lit(""))) > MAX_SHOUTS * n)
     bare = (n > MAX_UNPUNCTUATED) & ~line.rlike(r"[.?!:;。！？]")
     return low.rlike(RULES["navigation"]) | low.rlike(RULES["boilerplate"]) | noise | bare
 
@@ -86,7 +87,7 @@ def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumns({
         "n_words": F.size("_w").cast("long"),
         "word_chars": F.char_length(F.regexp_replace(t, SPACE, "")).cast("long"),
-        "n_symbols": _count(t, SYMBOLS),
+        "n_symbols": _symbols(t),
         "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_w")),
         "clean_text": F.array_join(F.filter(F.array_distinct("_full"), lambda x: ~line_fails(x)), "\n"),
