@@ -15,6 +15,8 @@ from attemptlog.llm import tokens
 
 #: Hashed byte n-grams a text is described by.
 FEATURES, ORDERS = 2048, (1, 2, 3)
+#: Rows described at once, each by a dense row of features.
+SLICE_ROWS = 1024
 #: The classifiers are fitted on at most so many rows a language, and in all.
 ROWS_PER_LANG, TRAIN_ROWS = 800, 8000
 SEED, STEPS, MARGIN_SCALE = 11, 200, 4.0
@@ -174,7 +176,7 @@ def learn_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in tokens.slices(batch.column("text"), limit=1 << 20):
+            for lo, hi, data, offsets in tokens.slices(batch.column("text"), limit=1 << 20, rows=SLICE_ROWS):
                 x, ok = features(data, offsets), has_letter(data, offsets)
                 part = batch.slice(lo, hi - lo).column("_lang").filter(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([part, pa.array([r.tobytes() for r in x[ok]], pa.binary())],
@@ -197,7 +199,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in tokens.slices(batch.column(text), limit=1 << 20):
+            for lo, hi, data, offsets in tokens.slices(batch.column(text), limit=1 << 20, rows=SLICE_ROWS):
                 lang, score = shared.value.predict(features(data, offsets))
                 ok = has_letter(data, offsets)
                 part = batch.slice(lo, hi - lo)

@@ -32,8 +32,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(col: pa.Array, lower: bool = True, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows ``lo:hi`` of a string column with their bytes (8 zero bytes follow) and
+def slices(col: pa.Array, lower: bool = True, limit: int = SLICE_BYTES, rows: int = 1 << 16
+           ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows ``lo:hi`` (at most ``rows``) of a string column with their bytes (8 zero bytes follow) and
     the rows' offsets in them.  Null texts have no bytes."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -45,7 +46,7 @@ def slices(col: pa.Array, lower: bool = True, limit: int = SLICE_BYTES) -> Itera
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1))
         part = data[at[lo]:at[hi]]
         out = np.zeros(len(part) + 8, np.uint8)
         if lower:
