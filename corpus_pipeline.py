@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep one document of each group of near duplicates: the row with the least id
     (of repeated rows with that id, one).  Rows without words are no duplicates;
     rows with a null id stay only if their group has no other."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))   # ids change with the file splits
     groups = ngram_join.ngram_components(numbered, SHINGLE_WORDS, *NEAR, doc_id="_row", also=["doc_id"])
     member = cut_lineage(groups.filter("n_shingles > 0").select(F.col("component_id").alias("_group"), "_row", "doc_id"))
     first = member.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_first"))

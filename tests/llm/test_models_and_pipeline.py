@@ -164,6 +164,26 @@ def test_pipeline_stages_against_brute_force(spark, tmp_dir):
     assert len(five) == len(rows4) and sorted(loads.values()) == sorted(x for x, _ in heap if x)
 
 
+def test_rows_keep_their_numbers_when_the_splits_change(spark, tmp_dir, monkeypatch):
+    rng = random.Random(12)
+    texts = [prose(rng, "en", 40) for _ in range(30)] * 2
+    path = os.path.join(tmp_dir, "documents.parquet")
+    docs_frame(spark, texts, parts=6).write.parquet(path)
+    components = corpus_pipeline.ngram_join.ngram_components
+
+    def then_fewer_cores(*args, **kwargs):
+        groups = corpus_pipeline.cut_lineage(components(*args, **kwargs))
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return groups
+    monkeypatch.setattr(corpus_pipeline.ngram_join, "ngram_components", then_fewer_cores)
+    spark.conf.set("spark.sql.files.minPartitionNum", "64")
+    try:
+        kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(path), tmp_dir)
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_dir):
     spark.createDataFrame([], DOCS).write.parquet(os.path.join(tmp_dir, "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(os.path.join(tmp_dir, "benchmark.parquet"))
