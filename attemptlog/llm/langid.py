@@ -20,6 +20,8 @@ SLICE_ROWS = 1024
 #: The classifiers are fitted on at most so many rows a language, and in all.
 ROWS_PER_LANG, TRAIN_ROWS = 800, 8000
 SEED, STEPS, MARGIN_SCALE = 11, 200, 4.0
+#: Share of the even spread mixed into a language's n-grams, so that none is impossible.
+EVEN_SHARE = 0.05
 #: Families by primary language code.  Others are a family of their own.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -106,12 +108,25 @@ def fit_svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 @dataclass
 class LanguageModel:
     """``families``: family names; ``first``: a weight row for each against the rest;
-    ``langs`` by family; ``pairs``: weights by two languages of a family."""
+    ``langs`` by family; ``pairs``: weights by two languages of a family; ``known``:
+    log ratios of the n-grams by language."""
 
     families: list[str] = field(default_factory=list)
     first: np.ndarray | None = None
     langs: dict[str, list[str]] = field(default_factory=dict)
     pairs: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    known: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def fit(self, x: np.ndarray, lang: list[str]) -> np.ndarray:
+        """How well each row of features fits the language told for it: the mean over
+        the row's n-grams of the log of how much likelier they are in that language
+        than evenly spread.  Depends on no other language; 0 is chance."""
+        out = np.zeros(len(x))
+        told = np.array(lang, object)
+        for name, ratio in self.known.items():
+            rows = np.flatnonzero(told == name)
+            out[rows] = x[rows] ** 2 @ ratio            # squares are shares of the n-grams
+        return out
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and confidence of each row of features: the family's share among
@@ -156,7 +171,11 @@ def fit_model(x: np.ndarray, lang: list[str]) -> LanguageModel:
         for a, b in combinations(group, 2):
             rows = np.flatnonzero((lang_of == a) | (lang_of == b))
             pairs[a, b] = fit_svm(x[rows], np.where(lang_of[rows] == a, 1.0, -1.0))
-    return LanguageModel(families, first, langs, pairs)
+    known = {}
+    for name in names:
+        share = (x[lang_of == name] ** 2).mean(0)
+        known[name] = np.log((1 - EVEN_SHARE) * share * FEATURES + EVEN_SHARE)
+    return LanguageModel(families, first, langs, pairs, known)
 
 
 def learn_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -186,26 +205,30 @@ def learn_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fit_model(x, [r[0] for r in got])
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")
-             ) -> DataFrame:
-    """Add the predicted language and a score from 0 to 1, from the whole text alone.
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: tuple[str, str] = ("lang_pred", "score"),
+             fit: str | None = None) -> DataFrame:
+    """Add the predicted language and a score from 0 to 1, from the whole text alone,
+    and as ``fit``, if named, how well the text fits that language.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is
+    Null texts and texts without a letter are ``und`` with score 0 and a null fit, as is
     everything for a model that has learned no language.  Columns named like the
     added ones are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(*out)
+    added = [*out, fit] if fit else [*out]
+    docs = docs.drop(*added)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in tokens.slices(batch.column(text), limit=1 << 20, rows=SLICE_ROWS):
-                lang, score = shared.value.predict(features(data, offsets))
-                ok = has_letter(data, offsets)
+                x, ok = features(data, offsets), has_letter(data, offsets)
+                lang, score = shared.value.predict(x)
+                more = [pa.array(shared.value.fit(x, lang), pa.float64(), mask=~ok | (not shared.value.families))] if fit else []
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in names],
                      pa.array([x if good else "und" for x, good in zip(lang, ok.tolist(), strict=True)], pa.string()),
-                     pa.array(np.where(ok, score, 0.0), pa.float64())], names=[*names, *out])
-    schema = docs.withColumn(out[0], F.lit("")).withColumn(out[1], F.lit(0.0)).schema
+                     pa.array(np.where(ok, score, 0.0), pa.float64()), *more], names=[*names, *added])
+    schema = docs.withColumn(out[0], F.lit("")).withColumn(out[1], F.lit(0.0)) \
+        .withColumns({c: F.lit(None).cast("double") for c in added[2:]}).schema
     return docs.mapInArrow(run, schema)

@@ -184,6 +184,18 @@ def test_rows_keep_their_numbers_when_the_splits_change(spark, tmp_dir, monkeypa
         spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
+@pytest.mark.parametrize("langs", [["en"], ["en", "fr"], list(SYLLABLES)])
+def test_letters_of_no_learned_language_are_rejected(spark, langs):
+    rng = random.Random(13)
+    own = [langs[k % len(langs)] for k in range(120)]
+    other = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "すべての人間は、生まれながらにして自由であり",
+             "qzx jkxw vvqp zxkj wqqz xkcd zzyx pqwv", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan"]
+    labels = own + [None] * len(other)
+    docs = docs_frame(spark, [prose(rng, x, rng.randint(5, 80)) for x in own] + other, langs=labels)
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == set(range(120))
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_dir):
     spark.createDataFrame([], DOCS).write.parquet(os.path.join(tmp_dir, "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(os.path.join(tmp_dir, "benchmark.parquet"))
