@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Elements without an end tag, with raw content, and those that a new block closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -81,9 +81,9 @@ def parse(source: str) -> Node:
                 continue
             child = Node(tag, attrs, node)
             node.parts.append(child)
-            if tag in RAW:
+            if tag in RAW and not (tag == "svg" and attrs.endswith("/")):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                at = end.end() if end else at if tag == "svg" else len(source)
             elif tag not in VOID and not attrs.endswith("/"):
                 node = child
     if at < len(source):

@@ -56,6 +56,18 @@ def test_odd_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>icon <svg class=i href='#a'/> then text</p><p>more text</p></article>", "icon then text\nmore text"),
+    ("<article><p>one <svg/> two</p><p>three</p><p><svg><text>gone</text></svg>four</p></article>", "one two\nthree\nfour"),
+    ("<article><p>one <svg viewBox='0 0 1 1'> two</p><p>three</p></article>", "one two\nthree"),
+    ("<article><p>empty <math/> sum</p><p>more text</p></article>", "empty sum\nmore text"),
+    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p>more text</p></article>",
+     "So x=2 holds.\nmore text"),
+])
+def test_foreign_elements(page, text):
+    assert main_text(page) == text
+
+
 def test_very_long_and_deep_pages():
     many = "".join(f"<p>Paragraph {k}, of many.</p>" for k in range(20_000))
     assert main_text(f"<article>{many}</article>").count("\n") == 19_999
