@@ -23,11 +23,12 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}
 #: Elements that never hold article text.
 DROP = frozenset("head nav footer aside form button select option input label dialog menu canvas audio video".split()) | RAW
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Words of class names and ids that speak against an element, also beside a good word, and for it.
+#: Words of class names and ids that speak against an element, also beside a good word; that do so with a second
+#: sign; and that speak for it.
 STRONG = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist disqus cookie cookies "
     "consent gdpr footer nav navbar navigation menu sidebar breadcrumb breadcrumbs newsletter subscribe popup modal".split())
-BAD = STRONG | frozenset(
+WEAK = frozenset(
     "aside banner promo promotion notice notices notification alert overlay side toolbar widget related recommended "
     "recommendations share sharing social signup login search pagination pager masthead topbar header skip copyright legal "
     "reply replies respond discussion feedback outbrain taboola teaser trending".split())
@@ -35,7 +36,11 @@ GOOD = frozenset("article body content main post entry story text page".split())
 #: Containers that can be the article, with their head start.
 CONTAINERS = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 3.0, "td": 3.0, "body": 0.0, "center": 0.0}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks whose ids are made from their own words, as those of inline elements are.
+TITLED = HEADINGS | frozenset("p dt caption figcaption legend summary".split())
 CLASS_SCORE, SIBLING_SHARE, SIBLING_LEAST, MENU_DENSITY, MENU_LINKS = 25.0, 0.2, 3.0, 0.8, 3
+#: Second signs against an element with a weak name: the share of its text in links, or so few characters.
+WEAK_DENSITY, WEAK_SIZE = 0.5, 25
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
                     r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
@@ -47,12 +52,13 @@ _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 class Node:
     """An element: ``parts`` are texts and elements in page order."""
 
-    __slots__ = ("tag", "attrs", "parent", "parts", "size", "linked", "links", "points")
+    __slots__ = ("tag", "attrs", "parent", "parts", "size", "linked", "links", "points", "weak")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
         self.size = self.linked = self.links = 0
         self.points = 0.0
+        self.weak = False
 
 
 def parse(source: str) -> Node:
@@ -116,29 +122,32 @@ def _judge(node: Node) -> float | None:
     """Score of an element's names, None if it is to be dropped."""
     if node.tag in DROP:
         return None
-    bad = good = False
+    strong = weak = good = False
+    own_words = node.tag in TITLED or node.tag not in BLOCK and node.tag not in CONTAINERS and node.tag != "th"
     for m in _ATTR.finditer(node.attrs) if node.attrs else ():
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             if value.lower() in DROP_ROLES:
                 return None
             continue
+        if m[1].lower() == "id" and own_words:
+            continue
         for words in _names(value):
             if words and words[0] in ("has", "with", "no", "is"):
                 continue
-            against = BAD.intersection(words)
-            if against & STRONG or against and not GOOD.intersection(words):
-                bad = True
+            if STRONG.intersection(words):
+                strong = True
             elif GOOD.intersection(words):
                 good = True
+            elif WEAK.intersection(words):
+                weak = True
     if node.tag in ("html", "body"):
         return 0.0
     if node.tag == "header" and not _inside(node, "article"):
         return None
-    if bad and not good and node.tag not in ("article", "main"):
-        return None
-    if bad and node.tag == "article":
+    if strong and (node.tag == "article" or not good and node.tag != "main"):
         return None
+    node.weak = weak and (node.tag == "article" or not good and node.tag != "main")
     return CLASS_SCORE if good else 0.0
 
 
@@ -179,16 +188,54 @@ def _weigh(root: Node) -> tuple[list[Node], dict[int, float]]:
     return order, names
 
 
+def _remove(node: Node) -> None:
+    """Take an element with all in it out of the tree."""
+    node.parent.parts = [x for x in node.parent.parts if x is not node]
+    up = node.parent
+    while up is not None:
+        up.size, up.linked, up.links = up.size - node.size, up.linked - node.linked, up.links - node.links
+        up = up.parent
+    node.parts = []
+
+
+def _drop_weak(order: list[Node]) -> list[Node]:
+    """Drop the elements with a weak name and a second sign: outside the article (or
+    main part) of a page that has one, mostly links, or a few words without blocks."""
+    texts = [x for x in order if x.tag == "article" and not x.weak and x.size] or [x for x in order if x.tag == "main" and x.size]
+    above: set[int] = set()             # what holds an article is not outside
+    for node in texts:
+        up = node.parent
+        while up is not None and id(up) not in above:
+            above.add(id(up))
+            up = up.parent
+    held, gone = {id(x) for x in texts}, set()
+    kept = []
+    for node in order:                  # parents before children
+        if id(node.parent) in gone:
+            gone.add(id(node))
+            continue
+        if node.parent is not None and id(node.parent) in held:
+            held.add(id(node))
+        kept.append(node)
+        if not node.weak or not node.size:
+            continue
+        block = node
+        while block.parent is not None and block.tag == "a":
+            block = block.parent        # a link is all link: its surroundings tell
+        outside = bool(texts) and id(node) not in held and id(node) not in above
+        few = node.tag in ("div", "section") and node.size <= WEAK_SIZE and not _holds(node)
+        if outside or block.linked >= WEAK_DENSITY * block.size or few:
+            _remove(node)
+            gone.add(id(node))
+            kept.pop()
+    return kept
+
+
 def _drop_menus(order: list[Node]) -> None:
     for node in order:
         if node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links >= MENU_LINKS and node.size \
                 and node.linked >= MENU_DENSITY * node.size and node.parent is not None:
-            node.parent.parts = [x for x in node.parent.parts if x is not node]
-            up = node.parent
-            while up is not None:
-                up.size, up.linked, up.links = up.size - node.size, up.linked - node.linked, up.links - node.links
-                up = up.parent
-            node.parts = []
+            _remove(node)
 
 
 def _inline_text(node: Node) -> str:
@@ -282,6 +329,7 @@ def main_text(source: str | None) -> str:
         return ""
     root = parse(source)
     order, names = _weigh(root)
+    order = _drop_weak(order)
     _drop_menus(order)
     _pass_points(order)
     best, most = None, 0.0
@@ -304,7 +352,10 @@ def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> Dat
     """Add ``out``, the main text of every page.
 
     Elements that by tag, role or name hold menus, notices, adverts, forms, scripts,
-    comments and the like are dropped, as are lists that are nearly all links. Each
+    comments and the like are dropped, as are lists that are nearly all links.  Names
+    that articles use as well ("related", "legal") count only outside the article, on
+    elements that are mostly links or on a few words; ids of headings, paragraphs
+    and inline elements do not count. Each
     block passes points for its length and commas to its ancestors; a container's
     points are discounted by the share of its text that is links.  The
     best container, the article it stands in and siblings of some weight are the

@@ -56,6 +56,36 @@ def test_odd_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("part, text", [
+    ("<section id='discussion'><h2>Discussion</h2><p>We found, as expected, an effect.</p></section>",
+     "Discussion\nWe found, as expected, an effect."),
+    ("<section id=related-work><p>Others have tried this before.</p></section>", "Others have tried this before."),
+    ("<h2 id='search'>Search</h2>", "Search"), ("<h2 id=comments>Comments in code</h2>", "Comments in code"),
+    ("<p class='legal'>The law, as it stands, says so.</p>", "The law, as it stands, says so."),
+    ("<p id=copyright>Terms last for 70 years.</p>", "Terms last for 70 years."),
+    ("<p>A <code id=search>find</code> and a <a class=related href=x>linked word</a> in a longer sentence.</p>",
+     "A find and a linked word in a longer sentence."),
+    ("<table class='side-effects'><tr><td>Nausea</td></tr></table>", "Nausea"),
+    ("<div class=share><a href=a>Mail it</a> <a href=b>Post it to all your friends</a></div>", None),
+    ("<div class=share>Share this</div>", None),
+    ("<h2 class=advert>Buy</h2>", None),
+])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div class='content main'>{}</div>", "<main><div>{}</div></main>"])
+def test_names_that_articles_use_as_well(part, text, wrap):
+    half = ARTICLE.index("<ul>")
+    page = f"<body>{wrap.format(ARTICLE[:half] + part + ARTICLE[half:])}</body>"
+    lines = TEXT.split("\n")
+    assert main_text(page) == "\n".join(lines[:2] + ([text] if text else []) + lines[2:])
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main><article class=post>{}</article></main>", "<main><div>{}</div></main>"])
+def test_weak_names_outside_the_article_go(wrap):
+    other = ("<div class=related><p>Other, things, to read, many, of, them, and long enough to score well.</p></div>"
+             "<article class=teaser><p>Another, page, of, ours, told, in short, but long enough to score well.</p></article>")
+    assert main_text(f"<body>{other}{wrap.format(ARTICLE)}{other}</body>") == TEXT
+    assert main_text(f"<body><article class='post trending'>{ARTICLE}</article></body>") == TEXT
+
+
 @pytest.mark.parametrize("page, text", [
     ("<article><p>icon <svg class=i href='#a'/> then text</p><p>more text</p></article>", "icon then text\nmore text"),
     ("<article><p>one <svg/> two</p><p>three</p><p><svg><text>gone</text></svg>four</p></article>", "one two\nthree\nfour"),
