@@ -12,10 +12,14 @@ from attemptlog.llm.graph import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+_CANONICAL = (r"""(?is)<link\b[^>]*\brel\s*=\s*(?:["']?canonical\b|"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|"""
+              r"""'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?')[^>]*>""")
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-_TARGET = r"""(?is)\burl\s*=\s*([^"'>\s]+)"""
+_CONTENT = r"""(?is)(?<![-\w])content\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+#: Target of a refresh: seconds, a mark, then the url with or without ``url=`` and quotes; else what follows ``url=``.
+_JUMP = r"""(?is)^\s*+(?:[\d.]*+(?:\s*+[;,]|\s)\s*+(?:url\s*+=\s*+)?+|url\s*+=\s*+)["']?+\s*+([^"'>\s;,][^"'>\s]*+)"""
+_TARGET = r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s]+)"""
 
 
 class Rule(NamedTuple):
@@ -63,10 +67,14 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     and of its refresh redirect.  ``//host/x``, ``/x`` and ``x`` are resolved
     against the page's url; targets are read from the whole html."""
     u, h = F.col(url), F.col(html)
-    tag = F.regexp_extract(h, _CANONICAL, 0)
+    tag, meta, content = F.col("_tag"), F.col("_meta"), F.col("_content")
     href = F.concat(*[F.regexp_extract(tag, _HREF, k) for k in (1, 2, 3)])
-    jump = F.regexp_extract(F.regexp_extract(h, _REFRESH, 0), _TARGET, 1)
-    e = pages.select(u.alias("_u"), F.explode(F.array(href, jump)).alias("_t")) \
+    jump = F.regexp_extract(content, _JUMP, 1)
+    jump = F.when(jump == "", F.regexp_extract(meta, _TARGET, 1)).otherwise(jump)
+    e = pages.select(u.alias("_u"), F.regexp_extract(h, _CANONICAL, 0).alias("_tag"), F.regexp_extract(h, _REFRESH, 0).alias("_meta")) \
+        .filter("_tag != '' or _meta != ''") \
+        .withColumn("_content", F.concat(*[F.regexp_extract(meta, _CONTENT, k) for k in (1, 2, 3)])) \
+        .select("_u", F.explode(F.array(href, jump)).alias("_t")) \
         .select("_u", F.replace(F.trim(F.col("_t")), F.lit("&amp;"), F.lit("&")).alias("_t")) \
         .filter("_t != '' and instr(_u, '://') > 0")
     scheme, t = F.regexp_extract("_u", r"(?s)^(.*?://)", 1), F.col("_t")

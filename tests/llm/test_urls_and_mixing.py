@@ -69,6 +69,25 @@ def test_block_follows_links_and_allow_stands(spark):
     assert by[None] == [("other.com", "/", None, "allow")]
 
 
+def test_forms_of_redirects_and_canonical_links(spark):
+    refresh = ["0;url='http://x.net/'", "0; http://x.net/", "5,http://x.net/", "0; URL = http://x.net/", "0 url=http://x.net/",
+               ";url=http://x.net/", "url=http://x.net/", "0;url= 'http://x.net/ '", "1.5 ; http://x.net/"]
+    tags = [f'<meta http-equiv="refresh" content="{x}">' for x in refresh] \
+        + ["<meta content='0;url=\"http://x.net/\"' http-equiv=refresh>", "<meta http-equiv=refresh content=0;url=http://x.net/>",
+           "<meta http-equiv=refresh content=0; url=http://x.net/>"] \
+        + [f"<link {x} href='http://x.net/'>" for x in ('rel="shortlink canonical"', "rel='canonical shortlink'", "rel=canonical",
+                                                       'rel="a canonical b"', "rel='a\ncanonical'")]
+    none = ['<meta http-equiv="refresh" content="30">', '<meta http-equiv="refresh" content="30 " name="x">',
+            '<meta http-equiv="refresh" content="0;url=">', '<meta http-equiv="refresh" content="30 ; ">',
+            '<link rel="not-canonical" href="http://x.net/">', '<link rel="shortlink" title="canonical" href="http://x.net/">']
+    inner = '<meta http-equiv="refresh" content="0; http://x.net/?url=http://y.com/">'
+    rows = [(f"http://p{k}.com/", t) for k, t in enumerate(tags + none + [inner])]
+    got = url_filter.page_links(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted((r["src"], r["dst"]) for r in got) == sorted(
+        [(f"http://p{k}.com/", "http://x.net/") for k in range(len(tags))]
+        + [(f"http://p{len(tags) + len(none)}.com/", "http://x.net/?url=http://y.com/")])
+
+
 def test_urls_of_an_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge_urls(pages, url_filter.page_links(pages), RULES).count() == 0
