@@ -181,7 +181,8 @@ def fit_model(x: np.ndarray, lang: list[str]) -> LanguageModel:
 def learn_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
                     per_lang: int = ROWS_PER_LANG, total: int = TRAIN_ROWS) -> LanguageModel:
     """Fit on at most ``per_lang`` rows of every non-null language and ``total`` in all,
-    drawn by a seeded hash of id and language; rows without letters are left out.
+    drawn by a seeded hash of id and language; of the rows that share both, one is taken,
+    by the hash of its text; rows without letters are left out.
     Only their features are brought to the driver."""
     known = docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(lang).alias("_lang")).filter("_lang is not null")
     n = known.agg(F.count_distinct("_lang")).first()[0]
@@ -191,6 +192,8 @@ def learn_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .orderBy("_k", "_lang").limit(total).select("_id", "_lang")
     rows = docs.select(F.col(doc_id).cast("string").alias("_did"), F.col(lang).alias("_dlang"), F.col(text).alias("text"))
     drawn = rows.join(F.broadcast(some), F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dlang") == F.col("_lang"))) \
+        .groupBy("_id", "_lang") \
+        .agg(F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("h"), "text"))["text"].alias("text")) \
         .select("_lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

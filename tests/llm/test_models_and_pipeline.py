@@ -43,6 +43,16 @@ def test_languages_are_told_apart(spark):
     assert all(again[k]["score"] == pytest.approx(rows[k]["score"], abs=1e-5) for k in rows)
 
 
+def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
+    rng = random.Random(14)
+    texts, ids = [prose(rng, "en", 9) for _ in range(90)], [5] * 40 + [None] * 40 + list(range(10, 20))
+    fitted, fit = [], langid.fit_model
+    monkeypatch.setattr(langid, "fit_model", lambda x, lang: fitted.append(sorted(r.tobytes() for r in x)) or fit(x, lang))
+    for parts in (3, 5):
+        langid.learn_languages(docs_frame(spark, texts + [None], ids=ids + [5], parts=parts))
+    assert len(fitted[0]) == 12 and fitted[0] == fitted[1]
+
+
 def test_language_models_of_odd_tables(spark):
     none = langid.learn_languages(spark.createDataFrame([], DOCS))
     assert [(r["lang_pred"], r["score"]) for r in langid.identify(docs_frame(spark, ["abc"]), none).collect()] == [("und", 0.0)]
