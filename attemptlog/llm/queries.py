@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlog.llm import (decontaminate, html_extract, langid, mixing, ngram_join, pii, quality_model, quality_rules,
+from attemptlog.llm import (decontaminate, html_extract, langid, merkle, mixing, ngram_join, pii, quality_model, quality_rules,
                             sharding, url_filter)
 
 QUERIES: dict = {}
@@ -311,3 +311,68 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn_languages(docs.filter(_remainder(3) != 1))
     return langid.identify(docs.select("doc_id", "text"), model) \
         .select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+# -- 13: Merkle manifest ------------------------------------------------------------------------
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of ASCII text, bit by bit, for DuckDB."""
+    bit = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    def told(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(told(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS grp, {_leaf_sql('text')} AS leaf,
+  CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 3 = 0 THEN {_leaf_sql(f"translate(text, {_LOW})")} END AS other FROM documents),
+p AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, other NULLS FIRST) - 1 AS idx,
+  count(*) OVER (PARTITION BY grp) AS n FROM d),
+tree(lev, grp, idx, n, h) AS (
+  SELECT 0, grp, idx, n, leaf FROM p
+  UNION ALL
+  SELECT lev + 1, grp, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM tree WHERE n > 1
+  GROUP BY lev, grp, idx // 8, (n + 7) // 8),
+sub AS (SELECT grp, lev, h AS subroot FROM tree WHERE n = 1),
+top0 AS (SELECT grp, subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM sub),
+top(lev, idx, n, h) AS (
+  SELECT 0, idx, n, subroot FROM top0
+  UNION ALL
+  SELECT lev + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1
+  GROUP BY lev, idx // 8, (n + 7) // 8),
+root AS (SELECT lev, h AS root FROM top WHERE n = 1),
+kids AS (SELECT lev, 't' || grp AS grp, idx, h FROM tree UNION ALL SELECT lev, '/', idx, h FROM top),
+beside AS (SELECT a.lev, a.grp, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+  coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM kids a JOIN kids b ON a.lev = b.lev AND a.grp = b.grp AND a.idx // 8 = b.idx // 8 GROUP BY a.lev, a.grp, a.idx),
+step AS (
+  SELECT rid, k AS lev, 't' || grp AS grp, idx // (8 ** k)::BIGINT AS idx, k AS nth FROM (
+    SELECT rid, grp, idx, unnest(range(sub.lev)) AS k FROM p JOIN sub USING (grp))
+  UNION ALL
+  SELECT rid, k, '/', idx // (8 ** k)::BIGINT, 1000 + k FROM (
+    SELECT rid, top0.idx, unnest(range((SELECT lev FROM root))) AS k FROM p JOIN top0 USING (grp))),
+path AS (SELECT rid, string_agg(l || r, '' ORDER BY nth) AS sib, list(l || '|' || r ORDER BY nth) AS steps
+  FROM step JOIN beside USING (lev, grp, idx) GROUP BY rid),
+fin AS (SELECT p.rid, coalesce(sib, '') AS sib,
+  list_reduce(list_prepend(coalesce(other, leaf), coalesce(steps, [])), lambda acc, x: sha256(split_part(x, '|', 1) || acc || split_part(x, '|', 2))) AS acc
+  FROM p LEFT JOIN path USING (rid))
+SELECT p.doc_id, p.leaf, sub.subroot, root.root, sha256(fin.sib) AS proof_sha256, fin.acc AS folded_root, fin.acc = root.root AS verified
+FROM p JOIN fin USING (rid) JOIN sub ON sub.grp = p.grp, root
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    def leaf(text):
+        return merkle.leaf_hash([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    made = merkle.merkle_manifest(docs, leaf(F.col("text")),
+                                  other_leaf=F.when(tampered, leaf(merkle.lower_ascii(F.col("text")))))
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"),
+                       "folded_root", "verified")
