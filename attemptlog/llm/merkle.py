@@ -53,18 +53,17 @@ _SLOTS = [F"c{k}" for k in range(FANOUT)]
 
 
 def _grow(nodes: DataFrame, rounds: int) -> tuple[list[DataFrame], DataFrame]:
-    """Levels of runs over ``nodes`` (grp, idx, n, hash) and the one node left of each group."""
-    levels, tops = [], []
-    for _ in range(rounds):
-        level = cut_lineage(_runs(nodes, F.col("hash")).withColumn("hash", _digest([F.col(c) for c in _SLOTS])))
-        levels.append(level)
-        tops.append(nodes.filter("n = 1").select("grp", "hash"))
-        nodes = level.select("grp", F.col("run").alias("idx"), F.col("m").alias("n"), "hash")
-    tops.append(nodes.filter("n = 1").select("grp", "hash"))
-    out = tops[0]
-    for t in tops[1:]:
-        out = out.unionByName(t)
-    return levels, out
+    """Levels of runs over ``nodes`` (grp, idx, n, hash), and the one node left of each
+    group with the number of levels below it (``lev``)."""
+    levels, tops = [], None
+    for k in range(rounds + 1):
+        top = nodes.filter("n = 1").select("grp", F.lit(k).alias("lev"), "hash")
+        tops = top if tops is None else tops.unionByName(top)
+        if k < rounds:
+            level = cut_lineage(_runs(nodes, F.col("hash")).withColumn("hash", _digest([F.col(c) for c in _SLOTS])))
+            levels.append(level)
+            nodes = level.select("grp", F.col("run").alias("idx"), F.col("m").alias("n"), "hash")
+    return levels, tops
 
 
 def _rounds(n: int) -> int:
@@ -75,23 +74,22 @@ def _rounds(n: int) -> int:
 
 
 def _paths(levels: list[DataFrame], above: DataFrame) -> DataFrame:
-    """Path (siblings level by level up to the root) of every run of the lowest level, and
-    of the nodes that are alone in their group (``idx`` 0).  ``above``: grp, path of the
-    group's top and what goes with it."""
-    extra = [c for c in above.columns if c not in ("grp", "path")]
-    found = above.withColumn("idx", F.lit(0).cast("long"))
-    for level in reversed(levels):
-        # a run of this level is a node of the next; those of the lowest level are joined by the caller
-        runs = level.select("grp", F.col("run").alias("idx"), "m", *_SLOTS)
-        here = found.withColumnRenamed("path", "_up")
-        joined = runs.join(here, ["grp", "idx"])
-        kids = F.explode(F.filter(F.array(*[
-            F.struct((F.col("idx") * FANOUT + k).alias("idx"), F.col(f"c{k}").isNotNull().alias("there"),
-                     _siblings([F.col(c) for c in _SLOTS], k).alias("own")) for k in range(FANOUT)]), lambda x: x["there"]))
-        lower = joined.select("grp", "_up", *extra, kids.alias("_k")) \
-            .select("grp", F.concat(F.array("_k.own"), "_up").alias("path"), *extra, F.col("_k.idx").alias("idx"))
-        alone = found.join(level.select("grp").distinct(), "grp", "left_anti")
-        found = lower.unionByName(alone.select(lower.columns))
+    """Path (siblings level by level up to the root) of every node below the lowest level.
+    ``above``: grp, lev, path of each group's top and what goes with it."""
+    extra = [c for c in above.columns if c not in ("grp", "lev", "path")]
+
+    def tops(k: int) -> DataFrame:
+        return above.filter(F.col("lev") == k).select("grp", F.lit(0).cast("long").alias("idx"), "path", *extra)
+    slots = [F.col(c) for c in _SLOTS]
+    kids = F.explode(F.filter(F.array(*[
+        F.struct((F.col("idx") * FANOUT + k).alias("idx"), F.col(f"c{k}").isNotNull().alias("there"),
+                 _siblings(slots, k).alias("own")) for k in range(FANOUT)]), lambda x: x["there"]))
+    found = tops(len(levels))
+    for k in reversed(range(len(levels))):
+        runs = levels[k].select("grp", F.col("run").alias("idx"), *_SLOTS).join(found, ["grp", "idx"])
+        found = runs.select("grp", "path", *extra, kids.alias("_k")) \
+            .select("grp", F.col("_k.idx").alias("idx"), F.concat(F.array("_k.own"), "path").alias("path"), *extra) \
+            .unionByName(tops(k))
     return found
 
 
@@ -147,17 +145,16 @@ def merkle_manifest(rows: DataFrame, leaf: Column, group: str = "lang", order: s
         .unionByName(lone.select("grp", F.lit(0).cast("long").alias("idx"), F.lit(1).cast("long").alias("n"),
                                  F.col("leaf").alias("hash")))
     levels, tops = _grow(nodes, max(rounds - 1, 0))
-    tops = cut_lineage(tops)
 
     # the same over the subroots, as one group
-    ranked = global_rank(tops.select(F.col("grp").alias("name"), "hash"), ["name"], out="idx")
-    one = ranked.select(F.lit("").alias("grp"), "idx", F.lit(n_groups).cast("long").alias("n"), "hash", "name")
-    high, root = _grow(one.drop("name"), above_rounds)
+    ranked = global_rank(tops.select(F.col("grp").alias("name"), F.col("lev").alias("below"), "hash"), ["name"], out="idx")
+    one = cut_lineage(ranked.select(F.lit("").alias("grp"), "idx", F.lit(n_groups).cast("long").alias("n"), "hash", "name", "below"))
+    high, root = _grow(one.select("grp", "idx", "n", "hash"), above_rounds)
     none = F.lit(None).cast("array<struct<left:string,right:string>>")
-    start = root.select("grp", F.coalesce(none, F.expr("array()").cast("array<struct<left:string,right:string>>")).alias("path"),
+    start = root.select("grp", "lev", F.coalesce(none, F.expr("array()").cast("array<struct<left:string,right:string>>")).alias("path"),
                         F.col("hash").alias("root"))
-    top_paths = _paths(high, start).join(one.select("idx", "name", F.col("hash").alias("subroot")), "idx")
-    above = cut_lineage(top_paths.select(F.col("name").alias("grp"), "path", "root", "subroot"))
+    top_paths = _paths(high, start).join(one.select("idx", "name", "below", F.col("hash").alias("subroot")), "idx")
+    above = cut_lineage(top_paths.select(F.col("name").alias("grp"), F.col("below").alias("lev"), "path", "root", "subroot"))
 
     found = _paths(levels, above)
     runs = first.join(found.withColumnRenamed("idx", "run"), ["grp", "run"])
