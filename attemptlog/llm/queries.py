@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attemptlog.llm import (decontaminate, html_extract, langid, merkle, mixing, ngram_join, pii, quality_model, quality_rules,
-                            sharding, url_filter)
+                            sharding, simhash, url_filter)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -313,6 +313,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+# -- 12: SimHash near duplicates ----------------------------------------------------------------
+@query("op12_simhash_near_dedup")
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.simhash_components(docs).select("doc_id", "fingerprint", "component_id")
+
+
 # -- 13: Merkle manifest ------------------------------------------------------------------------
 def crc32_sql(text: str) -> str:
     """Unsigned crc32 of ASCII text, bit by bit, for DuckDB."""
