@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlog.llm import (decontaminate, html_extract, langid, merkle, mixing, ngram_join, pii, quality_model, quality_rules,
-                            sharding, simhash, url_filter)
+from attemptlog.llm import (decontaminate, html_extract, langid, merkle, mixing, ngram_join, pii, quality_model,
+                            quality_rules, sharding, simhash, url_filter)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
