@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attemptlog.llm import (decontaminate, html_extract, langid, merkle, mixing, ngram_join, pii, quality_model,
-                            quality_rules, sharding, simhash, url_filter)
+from attemptlog.llm import (conversation_repair, decontaminate, html_extract, langid, merkle, mixing, ngram_join, pii,
+                            quality_model, quality_rules, sharding, simhash, url_filter)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -313,6 +313,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+# -- 11: conversation structure repair ----------------------------------------------------------
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 # -- 12: SimHash near duplicates ----------------------------------------------------------------
 @query("op12_simhash_near_dedup")
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
