@@ -314,7 +314,60 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- 11: conversation structure repair ----------------------------------------------------------
-@query("op11_conversation_repair")
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of ASCII text, bit by bit, for DuckDB."""
+    bit = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+_KEY11 = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+OP11_SQL = rf"""
+WITH RECURSIVE k AS (SELECT coalesce('+' || conv_id::VARCHAR, '') AS key, conv_id, turn, coalesce(role, ' ') AS role,
+  coalesce(text, ' ') AS text, {crc32_sql(_KEY11)} % 20 AS k FROM conversations),
+d AS (SELECT key, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text), copy) AS i FROM d),
+f AS (SELECT key, turn, role, text, i, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY key ORDER BY i) || left(role, 1) AS pair,
+  CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+    WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault FROM o),
+ins(q, n, q2, lines) AS (VALUES (0, 0, 0, ''), (0, 1, 2, 'user:' || chr(10)), (0, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10)),
+  (1, 0, 1, ''), (1, 1, 2, 'user:' || chr(10)), (1, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10)),
+  (2, 0, 2, ''), (2, 1, 3, 'assistant:' || chr(10)), (3, 0, 3, ''), (3, 1, 2, 'user:' || chr(10)), (3, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10))),
+edit(letter, ini, q, q2, cost, role) AS (
+  SELECT 'D', NULL::VARCHAR, unnest([0, 1, 2, 3]), unnest([0, 1, 2, 3]), 4, NULL::VARCHAR
+  UNION ALL SELECT 'R', NULL::VARCHAR, unnest([0, 1, 2, 3]), unnest([2, 2, 3, 2]), 3, unnest(['user', 'user', 'assistant', 'user'])
+  UNION ALL SELECT 'K', unnest(['s', 'u', 'u', 'u', 'a']), unnest([0, 0, 1, 3, 2]), unnest([1, 2, 2, 2, 3]), 0, NULL::VARCHAR),
+way(key, i, q, cost, audit, lines) AS (
+  SELECT DISTINCT key, 0::BIGINT, 0, 0::BIGINT, '', '' FROM k
+  UNION ALL
+  SELECT key, i, q, cost, audit, lines FROM (
+    SELECT w.key, f.i, edit.q2 AS q, w.cost + 3 * ins.n + edit.cost + CASE WHEN letter <> 'D' AND fault = 3 THEN 3 ELSE 0 END AS cost,
+      w.audit || repeat('I', ins.n) || letter AS audit,
+      w.lines || ins.lines || CASE WHEN letter = 'D' THEN '' ELSE coalesce(edit.role, f.role) || ':' || f.text || chr(10) END AS lines,
+      row_number() OVER (PARTITION BY w.key, edit.q2 ORDER BY w.cost + 3 * ins.n + edit.cost + CASE WHEN letter <> 'D' AND fault = 3 THEN 3 ELSE 0 END,
+        w.audit || repeat('I', ins.n) || letter) AS nth
+    FROM way w JOIN f ON f.key = w.key AND f.i = w.i + 1 JOIN ins ON ins.q = w.q
+    JOIN edit ON edit.q = ins.q2 AND (letter = 'D' OR fault IN (0, 3)) AND (letter <> 'K' OR edit.ini = f.ini)) WHERE nth = 1),
+done AS (SELECT key, cost, audit, lines FROM (
+  SELECT w.key, w.cost + 3 * ins.n AS cost, w.audit || repeat('I', ins.n) AS audit, w.lines || ins.lines AS lines,
+    row_number() OVER (PARTITION BY w.key ORDER BY w.cost + 3 * ins.n, w.audit || repeat('I', ins.n)) AS nth
+  FROM way w JOIN ins ON ins.q = w.q AND ins.q2 IN (0, 3)
+  WHERE w.i = (SELECT coalesce(max(f.i), 0) FROM f WHERE f.key = w.key)) WHERE nth = 1),
+s AS (SELECT key, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank,
+  count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY key)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit,
+  sha256(CASE WHEN lines = '' THEN '' ELSE left(lines, length(lines) - 1) END) AS repaired_sha256
+FROM (SELECT DISTINCT key, conv_id FROM k) c JOIN done USING (key) LEFT JOIN s USING (key)
+"""
+
+
+@query("op11_conversation_repair", OP11_SQL)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -327,14 +380,6 @@ def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- 13: Merkle manifest ------------------------------------------------------------------------
-def crc32_sql(text: str) -> str:
-    """Unsigned crc32 of ASCII text, bit by bit, for DuckDB."""
-    bit = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
-    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: {bit})"
-    codes = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"
-
-
 def _leaf_sql(text: str) -> str:
     def told(c: str) -> str:
         return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
