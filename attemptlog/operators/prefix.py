@@ -61,23 +61,3 @@ def prefix_sums(df: DataFrame, order: Sequence[str], by: Sequence[str], sums: Ma
     return j.drop("_p", "_r", "_op", "_on", "_o_rank", *[f"_by{k}" for k in range(len(by))],
                   *[f"_o_{o}" for o in sums.values()], *[f"_x_{o}" for o in following.values()])
 
-
-def exact_percentiles(df: DataFrame, by: Sequence[str], values: Mapping[str, str], q: float = 0.5) -> DataFrame:
-    """Linearly interpolated percentile of each column of ``values`` (column -> output
-    name) per group; NULLs are left out.
-
-    Counts per (group, value) get prefix sums, so neither a group nor its values
-    are held by one task."""
-    by = list(by)
-    out = None
-    for c, name in values.items():
-        counts = df.filter(F.col(c).isNotNull()).groupBy(*by, F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        p = prefix_sums(counts, ["_v"], by, {"_c": "_before"})
-        total = p.groupBy(*by).agg(F.sum("_c").alias("_n"))
-        p = p.join(total, by, "inner").withColumn("_at", (F.col("_n") - 1) * F.lit(float(q)))
-        holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
-        one = p.groupBy(*by).agg(F.max("_at").alias("_at"), F.max(F.when(holds(F.floor("_at")), F.col("_v"))).alias("_lo"),
-                                 F.max(F.when(holds(F.ceil("_at")), F.col("_v"))).alias("_hi"))
-        one = one.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))).alias(name))
-        out = one if out is None else out.join(one, by, "full")
-    return out

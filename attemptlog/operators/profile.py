@@ -13,8 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlog.operators.prefix import exact_percentiles
-from attemptlog.session import cut_lineage
+from attemptlog.operators.select import exact_percentiles
 
 
 def dataset_profile(summary: DataFrame, student: str = "student_id",
@@ -52,11 +51,11 @@ def time_stats(summary: DataFrame, problem: str = "problem_id",
     """A10: time-to-solve and per-task mean gap statistics per problem, minutes.
 
     Tasks with a single attempt are left out (they have no gap).  Times are nearly
-    all distinct, so the medians come from prefix sums over ranges of values, not
-    from a map of values per problem.
+    all distinct, so both medians come from counters over the bits of the values
+    (:mod:`attemptlog.operators.select`), not from a map of values per problem.
     """
-    s = cut_lineage(summary.filter(F.col("num_snapshots") > 1).select(
-        problem, student, (F.col("time_to_solve") / 60.0).alias("_t"), (F.col("mean_gap") / 60.0).alias("_g")))
+    s = summary.filter((F.col("num_snapshots") > 1) & F.col(problem).isNotNull()).select(
+        problem, student, (F.col("time_to_solve") / 60.0).alias("_t"), (F.col("mean_gap") / 60.0).alias("_g"))
     t, g = F.col("_t"), F.col("_g")
     medians = exact_percentiles(s, [problem], {"_t": "median_time_to_solve", "_g": "median_time_between_snapshots"})
     stats = s.groupBy(problem).agg(

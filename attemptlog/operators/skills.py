@@ -12,8 +12,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attemptlog.session import cut_lineage
-
 
 def last_or_zero(c) -> Column:
     """last element of an array, 0 when it is empty or NULL."""
@@ -34,6 +32,12 @@ def cosine(a, b) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(None)).otherwise(dot(a, b) / (na * nb))
 
 
+def unit_vector(v: Column) -> Column:
+    """The vector divided by its length (NULL where that is 0)."""
+    length = F.sqrt(dot(v, v))
+    return F.when(length > 0, F.zip_with(v, F.array_repeat(length, F.size(v)), lambda x, n: x / n))
+
+
 def score_vector(prev_scores: str = "prev_scores", n: int = 30) -> Column:
     """Last score of each history task, padded with 0 to ``n``."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(
@@ -135,13 +139,14 @@ def task_similarity(targets: DataFrame, history: DataFrame, vectors: DataFrame,
     """K7: cosine similarity of each target to all previous tasks, from the question
     vectors (``id``, ``vec``; questions without one give NULL).
 
-    Cosines are computed once per distinct pair of questions and joined back."""
-    pairs = cut_lineage(task_pairs(targets, history, group, task, order))
-    v = vectors.select(F.col("id").alias("_id"), F.col("vec"))
+    Only ids are paired.  Each vector is brought to length one once, and each distinct
+    pair of questions takes one product of two such vectors."""
+    pairs = task_pairs(targets, history, group, task, order)
+    unit = vectors.select(F.col("id").alias("_id"), unit_vector(F.col("vec")).alias("_u"))
     distinct = pairs.select("target_id", "prev_id").distinct()
-    cos = distinct.join(v, distinct["target_id"] == v["_id"]).drop("_id").withColumnRenamed("vec", "_a") \
-        .join(v, F.col("prev_id") == F.col("_id")).drop("_id") \
-        .select("target_id", "prev_id", cosine(F.col("_a"), F.col("vec")).alias("similarity"))
+    cos = distinct.join(unit.withColumnsRenamed({"_id": "target_id", "_u": "_a"}), "target_id") \
+        .join(unit.withColumnsRenamed({"_id": "prev_id", "_u": "_b"}), "prev_id") \
+        .select("target_id", "prev_id", dot(F.col("_a"), F.col("_b")).alias("similarity"))
     return pairs.join(cos, ["target_id", "prev_id"], "left")
 
 

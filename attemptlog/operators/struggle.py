@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attemptlog.operators.prefix import prefix_sums
+from attemptlog.operators.select import least_means
 
 
 def without_break_tasks(summary: DataFrame, max_gap: int = 900, inclusive: bool = False) -> DataFrame:
@@ -41,23 +41,9 @@ def fastest_count(summary_multi: DataFrame, student: str = "student_id",
     return per.agg(F.floor(F.avg("_s") / 5).cast("long").alias("top_n"))
 
 
-def _bottom_n_mean(tasks: DataFrame, col: str, top_n: DataFrame, problem: str) -> DataFrame:
-    # Exact mean of the N smallest values per problem from a count per distinct
-    # value, with prefix sums over ranges of values.
-    vc = tasks.groupBy(problem, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    vc = prefix_sums(vc, ["_v"], [problem], {"_c": "_before"}).crossJoin(top_n)
-    take = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("top_n") - F.col("_before")))
-    return vc.groupBy(problem).agg(
-        (F.sum(take * F.col("_v")) / F.nullif(F.sum(take), F.lit(0))).alias(f"top_{col}"))
-
-
 def fastest_mean(tasks: DataFrame, top_n: DataFrame, problem: str = "problem_id") -> DataFrame:
     """Mean of the N smallest times and attempt counts per problem."""
-    t = _bottom_n_mean(tasks, "time_to_solve", top_n, problem) \
-        .withColumnRenamed("top_time_to_solve", "top_20_time")
-    a = _bottom_n_mean(tasks, "num_snapshots", top_n, problem) \
-        .withColumnRenamed("top_num_snapshots", "top_20_attempts")
-    return t.join(a, problem, "inner")
+    return least_means(tasks.filter(F.col(problem).isNotNull()), [problem], {"time_to_solve": "top_20_time", "num_snapshots": "top_20_attempts"}, top_n)
 
 
 def baseline_overview(baseline: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def test_curves_of_saturated_scores_and_of_one_group(spark):
 
 
 def test_exact_percentiles_over_ranges(spark):
-    from attemptlog.operators.prefix import exact_percentiles
+    from attemptlog.operators.select import exact_percentiles
     rnd = random.Random(2)
     rows = [(g, None if i % 9 == 0 else rnd.choice([rnd.random(), 0.5])) for g in (1, 2) for i in range(rnd.randint(3, 70))]
     df = spark.createDataFrame(rows, "g int, v double")
