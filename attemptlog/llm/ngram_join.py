@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ SKETCH_BITS = 18
 HOT_TIMES, HOT_ROWS, HOT_PARTS = 8, 10_000, 64
 #: A group with more documents, or more bytes of sets, is joined block by block.
 BLOCK_ROWS, BLOCK_BYTES = 8192, 32 << 20
+#: Exact sets of a piece are compared as rows of bits up to so many bytes.
+BITMAP_BYTES = 64 << 20
 #: Members of candidate groups are broadcast up to so many, else joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _F1, _F2 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -132,6 +134,45 @@ def _shared_tokens(prefix: DataFrame) -> DataFrame:
     return cut_lineage(found.select("token", "cls").distinct())
 
 
+def shared_tokens(sets: list[np.ndarray], limit: int = BITMAP_BYTES) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that counts the tokens sets ``i`` and ``j`` have in common, for many pairs at once.
+
+    Tokens of one set alone cannot be common.  The others get a bit each, so a pair is
+    the number of bits in two rows; above ``limit`` bytes of rows, the tokens of a set are
+    marked and those of all its partners looked up."""
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    _, name, count = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[name]
+    row, keep = np.repeat(np.arange(len(sets)), size), place >= 0
+    row, place, names = row[keep], place[keep], int((count > 1).sum())
+    words = max(1, -(-names // 64))
+    if len(sets) * words * 8 <= limit:
+        rows = np.zeros((len(sets), words), np.uint64)
+        np.add.at(rows, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))    # each bit once
+
+        def by_bits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out, step = np.empty(len(i), np.int64), max(1, (4 << 20) // (8 * words))
+            for k in range(0, len(i), step):
+                out[k:k + step] = np.bitwise_count(rows[i[k:k + step]] & rows[j[k:k + step]]).sum(1, dtype=np.int64)
+            return out
+        return by_bits
+    starts = np.searchsorted(row, np.arange(len(sets) + 1))
+    marked = np.zeros(names, bool)
+
+    def by_marks(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, order = np.empty(len(i), np.int64), np.argsort(i, kind="stable")
+        cuts = np.flatnonzero(np.diff(i[order], prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            own = place[starts[i[order[a]]]:starts[i[order[a]] + 1]]
+            marked[own] = True
+            for k in order[a:b].tolist():
+                out[k] = marked[place[starts[j[k]]:starts[j[k] + 1]]].sum()
+            marked[own] = False
+        return out
+    return by_marks
+
+
 def _join_groups(members: DataFrame, sets: bool, num: int, den: int) -> DataFrame:
     """Spanning links of every group: ``members`` has ``gid``, ``cls``, ``n``,
     ``payload`` (signature, or the set itself) and ``blocks``, equal in a group.
@@ -153,14 +194,11 @@ def _join_groups(members: DataFrame, sets: bool, num: int, den: int) -> DataFram
         if sets:
             data = [np.frombuffer(x, np.uint64) for x in payload]
             bits = [signature(x) for x in data]
+            both = shared_tokens(data)
 
             def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                ok = np.zeros(len(i), bool)
-                for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                    a, b = (data[x], data[y]) if len(data[x]) <= len(data[y]) else (data[y], data[x])
-                    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                    ok[k] = den * both >= num * (len(a) + len(b) - both)
-                return ok
+                k = both(i, j)
+                return den * k >= num * (n[i] + n[j] - k)
         else:
             bits = [np.frombuffer(x, np.uint64) for x in payload]
 

@@ -49,25 +49,48 @@ THRESHOLD = 0.6
 BEFORE, AFTER = 40, 20
 
 
+#: Matches laid at once, and code points of a text cut at once for the context (with those that may follow).
+BLOCK, PIECE, OVERLAP = 256, 4096, 64
+
+
+def _plausible(kind: Kind, match: Column) -> Column:
+    """Whether a match is long enough to pass the check of its kind."""
+    least = {"card": 16, "phone": 9}.get(kind.name)
+    return F.char_length(match) >= least if least else F.lit(True)
+
+
 def _found(text: Column, kind: Kind) -> Column:
-    """Matches with positions: the pieces between matches and the matches
+    """Matches that may pass, with positions: the pieces between matches and the matches
     themselves, laid end to end.  Text without the needed character or
-    any digit-like start is not searched twice."""
+    any digit-like start is not searched twice.
+
+    Matches are laid in blocks of BLOCK, each an array of its own that is appended once, so
+    the work of a text with very many matches stays near their number."""
     found = F.regexp_extract_all(text, F.lit(kind.spark_pattern), F.lit(0))
     parts = F.split(text, kind.spark_pattern, -1)
     sized = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda a, b: F.struct(
         F.char_length(a).alias("gap"), F.char_length(b).alias("len"), b.alias("match")))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    laid = F.aggregate(
-        sized, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"),
-                                                (acc["at"] + x["gap"] + x["len"]).alias("end"),
-                                                x["match"].alias("match"))).alias("out")),
-        lambda acc: acc["out"])
+    spans = "array<struct<start:int,end:int,match:string>>"
+    empty = F.array().cast(spans)
+
+    def lay(acc: Column, x: Column) -> Column:
+        end = acc["at"] + x["gap"] + x["len"]
+        span = F.struct((acc["at"] + x["gap"]).alias("start"), end.alias("end"), x["match"].alias("match"))
+        return F.struct(end.alias("at"), F.when(_plausible(kind, x["match"]), F.array_append(acc["out"], span))
+                        .otherwise(acc["out"]).alias("out"))
+
+    def block(done: Column, part: Column) -> Column:
+        return F.array_append(done, F.aggregate(part, F.struct(F.element_at(done, -1)["at"].alias("at"), empty.alias("out")), lay))
+
+    def laid(all_sized: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_sized), F.lit(BLOCK))
+        blocks = F.transform(starts, lambda k: F.slice(all_sized, k, F.lit(BLOCK)))
+        start = F.array(F.struct(F.lit(0).alias("at"), empty.alias("out")))
+        return F.flatten(F.aggregate(blocks, start, block, lambda done: F.transform(done, lambda d: d["out"])))
     there = F.instr(text, kind.needs) > 0 if kind.needs else F.lit(True)
-    return F.when(there & text.rlike(kind.spark_pattern), laid).otherwise(empty)
+    # the array of pieces is made once and bound as the only element of another
+    once = F.element_at(F.transform(F.array(sized), laid), 1)
+    return F.when(there & text.rlike(kind.spark_pattern), once).otherwise(empty)
 
 
 def luhn_ok(digits: Column) -> Column:
@@ -126,11 +149,14 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     def confirmed(k: Kind) -> Column:
         return F.filter(_found(t, k), lambda x: _valid(k, x["match"]))
 
+    def cut(at: Column, size: Column) -> Column:
+        # a text is cut into pieces once: looking up a code point takes time by its place
+        return F.substr(F.get(F.col("_pii_pieces"), F.floor(at / PIECE).cast("int")), (at % PIECE + 1).cast("int"), size.cast("int"))
+
     def scored(k: Kind) -> Column:
         def one(x):
             first = F.greatest(x["start"] - BEFORE, F.lit(0))
-            near = F.concat(F.substr(t, first + 1, x["start"] - first), F.lit(" "),
-                            F.substr(t, x["end"] + 1, F.lit(AFTER)))
+            near = F.concat(cut(first, x["start"] - first), F.lit(" "), cut(x["end"], F.lit(AFTER)))
             near = F.lower(near).rlike(k.context)
             own = F.lit(k.score + (CHECKED if k.name in checked else 0.0))
             score = F.least(F.round(own + F.when(near, CONTEXT).otherwise(0.0), 2), F.lit(1.0))
@@ -139,13 +165,16 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
         return F.transform(F.col(f"_pii_{k.name}"), one)
 
     tmp = {f"_pii_{k.name}": confirmed(k) for k in KINDS}
-    found = docs.withColumns(tmp)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(t) / PIECE).cast("int")),
+                         lambda k: F.substr(t, k * PIECE + 1, F.lit(PIECE + OVERLAP)))
+    some = F.concat(*[F.col(c) for c in tmp])
+    found = docs.withColumns(tmp).withColumn("_pii_pieces", F.when(F.size(some) > 0, pieces))
     base = F.concat(*[F.col(f"_pii_{k.name}") for k in KINDS if k.base])
 
     def added(k: Kind) -> Column:
         return F.filter(scored(k), lambda x: (x["score"] >= THRESHOLD) & ~F.exists(
             base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.withColumn(out, F.concat(*[scored(k) if k.base else added(k) for k in KINDS])).drop(*tmp)
+    return found.withColumn(out, F.concat(*[scored(k) if k.base else added(k) for k in KINDS])).drop(*tmp, "_pii_pieces")
 
 
 def span_list(spans: Column) -> Column:

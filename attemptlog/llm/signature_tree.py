@@ -10,6 +10,8 @@ import numpy as np
 FAN = 16
 #: Node pairs expanded at once, and documents tried as a hub before the traversal.
 CHUNK, HUBS = 8192, 4
+#: Bytes of bitmaps gathered for one side of a chunk of pairs; wide bitmaps make the chunk shorter.
+CHUNK_BYTES = 4 << 20
 #: Bits a token at least, rounded up to a power of two: more bits, fewer pairs that only seem similar.
 BITS_A_TOKEN, MIN_BITS, MAX_BITS = 1, 64, 1 << 17
 
@@ -107,11 +109,12 @@ def _pairs(a: Tree, b: Tree, same: bool, num: int, den: int, forest: Forest, ids
     if same:
         i, j = i[i <= j], j[i <= j]
     stack = [(top, i, j)]
+    chunk = max(64, min(CHUNK, CHUNK_BYTES // (8 * a.levels[0][0].shape[1])))
     while stack:
         k, i, j = stack.pop()
-        if len(i) > CHUNK:
-            stack.append((k, i[CHUNK:], j[CHUNK:]))
-            i, j = i[:CHUNK], j[:CHUNK]
+        if len(i) > chunk:
+            stack.append((k, i[chunk:], j[chunk:]))
+            i, j = i[:chunk], j[:chunk]
         la, lb = a.levels[k], b.levels[k]
         if k == 0:
             roots = forest.roots()

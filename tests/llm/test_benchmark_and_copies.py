@@ -171,3 +171,35 @@ def test_components_of_odd_tables(spark):
     assert ngram_join.ngram_components(spark.createDataFrame([], DOCS)).count() == 0
     rows = ngram_join.ngram_components(docs_frame(spark, ["a b c d e", "a b c d e", None], ids=[None, 4, None])).collect()
     assert sorted((r["n_shingles"], r["component_id"] or -1) for r in rows) == [(0, -1), (2, 4), (2, 4)]
+
+
+def test_common_tokens_of_sets_by_bits_and_by_marks():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, size).astype(np.uint64)) for size in rng.integers(1, 40, 50)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(50), np.arange(50)))
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert ngram_join.shared_tokens(sets)(i, j).tolist() == want
+    assert ngram_join.shared_tokens(sets, limit=0)(i, j).tolist() == want
+
+
+def test_family_of_near_misses():
+    import time
+
+    from attemptlog.llm.signature_tree import signature, tree_join
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    sets = []
+    for _ in range(8192):               # 18 of 200 tokens differ: similarity about 0.7, no links under 0.85
+        x = base.copy()
+        x[rng.choice(200, 18, replace=False)] = rng.integers(0, 1 << 63, 18).astype(np.uint64)
+        sets.append(np.unique(x))
+    sets += [sets[7][1:], sets[8191][2:]]
+    n, both = np.array([len(x) for x in sets]), ngram_join.shared_tokens(sets)
+
+    def linked(i, j):
+        k = both(i, j)
+        return 100 * k >= 85 * (n[i] + n[j] - k)
+    began = time.time()
+    joined = tree_join([signature(x) for x in sets], n, 85, 100, linked)
+    assert time.time() - began < 120
+    assert sorted(tuple(sorted(p)) for p in joined) == [(7, 8192), (8191, 8193)]

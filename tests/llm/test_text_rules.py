@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from attemptlog.llm import pii, quality_rules
 from tests.llm.helpers import DOCS, docs_frame, with_clashes
@@ -117,3 +118,19 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert {r["doc_id"]: r["kept"] for r in rows} == {0: True, 1: False, 2: False, 3: False, 4: True}
     assert {r["doc_id"]: r["clean_text"] for r in rows}[4] == prose
     assert quality_rules.clean_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_pii_in_a_text_of_very_many_matches(spark):
+    import re
+    import time
+
+    from attemptlog.llm import pii
+    texts = ["37, " * 100_000, "mail a@b.cd " * 1000 + "4111 1111 1111 1111, " * 300 + "ü tel 555-123-4567 " * 700]
+    began = time.time()
+    got = [r["spans"] for r in pii.find_pii(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+           .select("doc_id", pii.span_list(F.col("pii")).alias("spans")).orderBy("doc_id").collect()]
+    assert time.time() - began < 90
+    want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[a-z]@b\.cd", texts[1])] \
+        + [f"card:{m.start()}:{m.end()}" for m in re.finditer(r"4111 1111 1111 1111", texts[1])] \
+        + [f"tel:{m.start()}:{m.end()}" for m in re.finditer(r"555-123-4567", texts[1])]
+    assert got[0] == "" and got[1] == ",".join(want)
