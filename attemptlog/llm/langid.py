@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attemptlog.llm import tokens
@@ -235,3 +235,25 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: tup
     schema = docs.withColumn(out[0], F.lit("")).withColumn(out[1], F.lit(0.0)) \
         .withColumns({c: F.lit(None).cast("double") for c in added[2:]}).schema
     return docs.mapInArrow(run, schema)
+
+
+def judge(spark: SparkSession, model: LanguageModel) -> Callable[[Column], Column]:
+    """A function from a text column to a struct (``lang``, ``score``, ``fit``) as :func:`identify`
+    gives them.  Only the text goes to Python and only the struct comes back: the other columns
+    of wide rows stay where they are."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang:string,score:double,fit:double>")
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            lang, score, fit = [], [], []
+            for _, _, data, offsets in tokens.slices(column, limit=1 << 20, rows=SLICE_ROWS):
+                x, ok = features(data, offsets), has_letter(data, offsets)
+                named, sure = shared.value.predict(x)
+                lang += [n if good else "und" for n, good in zip(named, ok.tolist(), strict=True)]
+                score.append(np.where(ok, sure, 0.0))
+                fit.append(pa.array(shared.value.fit(x, named), pa.float64(), mask=~ok | (not shared.value.families)))
+            yield pa.StructArray.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(np.concatenate([*score, np.zeros(0)])),
+                 pa.concat_arrays([*fit, pa.array([], pa.float64())])], names=["lang", "score", "fit"])
+    return told
