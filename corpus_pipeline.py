@@ -16,22 +16,33 @@ MIN_LANGUAGE_FIT = 0.7
 #: Near duplicates share at least 80 of 100 distinct five-word shingles.
 SHINGLE_WORDS, NEAR = 5, (80, 100)
 N_SHARDS = 40
+#: Bytes of an Arrow batch between Spark and Python, for all stages.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Rows go to Python by bytes, not by ten thousand: texts are long.  A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is told: rows without letters (also null
     texts) and rows whose n-grams do not fit the language told go.  Without any
     labelled language nothing is learned and nothing rejected but rows without letters."""
+    _small_batches(spark)
     model = langid.learn_languages(docs)
-    found = langid.identify(docs, model, out=("_lang", "_sure"), fit="_fit")
-    told = (F.col("_fit") >= MIN_LANGUAGE_FIT) if model.families else F.col("text").rlike(r"\p{L}")
-    return found.filter(told).select(*docs.columns)
+    told = (langid.judge(spark, model)(F.col("text"))["fit"] >= MIN_LANGUAGE_FIT) if model.families \
+        else F.col("text").rlike(r"\p{L}")
+    return docs.filter(told)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: the row with the least id
     (of repeated rows with that id, one).  Rows without words are no duplicates;
     rows with a null id stay only if their group has no other."""
+    _small_batches(spark)
     numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))   # ids change with the file splits
     groups = ngram_join.ngram_components(numbered, SHINGLE_WORDS, *NEAR, doc_id="_row", also=["doc_id"])
     member = cut_lineage(groups.filter("n_shingles > 0").select(F.col("component_id").alias("_group"), "_row", "doc_id"))
@@ -42,13 +53,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove the documents that hold ten consecutive words of a benchmark item."""
+    """Remove the documents that hold ten consecutive words of a benchmark item (an item of
+    fewer words: all of it).  Null and empty texts hold none and stay, repeated rows go or stay
+    together, an empty benchmark removes nothing."""
+    _small_batches(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources meet their targets.  A document
-    taken k times gives k rows."""
+    taken k times gives k rows.  A null source is a source; documents without words count
+    nothing and take only the whole repetitions of their source; repeated rows are taken alike."""
     plan = mixing.plan_mix(mixing.measure(docs))
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")     # names of the plan cannot clash
     rows = docs.select(own, F.col("source").alias("_source"), mixing.word_count(F.col("text")).alias("size"),
@@ -58,7 +73,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row; equal texts share a shard."""
+    """Shard and slot of every row; equal texts share a shard, as do null texts.  An empty table
+    gives an empty result."""
     return sharding.assign_shards(docs, N_SHARDS).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
