@@ -71,15 +71,21 @@ def cut_lineage(df):
     enclosing :func:`scratch_tables` ends, or for the folder's own retention.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.mode("overwrite").parquet(path)
-    _written.append(path)
     return spark.read.parquet(path)
 
 
 _written: list[str] = []
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder that the enclosing :func:`scratch_tables` deletes."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 @contextmanager
 def scratch_tables(spark: SparkSession):
     """Delete on exit what :func:`cut_lineage` has written inside.  Results that read

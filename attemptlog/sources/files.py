@@ -122,3 +122,55 @@ def read_courses(spark: SparkSession, paths: Sequence[str], schema: T.StructType
     """S9 as one scan: all course files at once, the course taken from the path."""
     df = read_attempts(spark, list(paths), schema)
     return df.withColumn("course", F.regexp_extract(F.input_file_name(), course_pattern, 1))
+
+
+#: Column with the text of a record that does not fit its schema (NULL for good rows).
+BAD_RECORD = "bad_record"
+
+
+def scan_courses(spark: SparkSession, folders: dict[str, str], schema: T.StructType = EVENT_LOG) -> DataFrame:
+    """CSV files with headers of many course folders (course -> folder) as one table that
+    keeps what does not parse.
+
+    Columns are matched by name, so folders may order them differently, lack some (NULL) or
+    have others (not read).  Adds ``course``, ``file`` (the record's file) and ``bad_record``: the
+    text of a record with a wrong number of fields or a value that its type does not take.
+    An empty field is NULL.  Split the result with :func:`good_rows` and :func:`quarantine`.
+
+    The driver reads one line a folder, the header, which all files of a folder share; folders
+    with equal headers are one scan, and each scan stays split by file blocks."""
+    headers: dict[str, list[str]] = {}
+    for course, folder in folders.items():
+        first = spark.read.text(folder).first()
+        headers.setdefault(first[0] if first else "", []).append(course)
+    wanted = {f.name: f for f in schema.fields}
+    full = T.StructType([*schema.fields, *[T.StructField(c, T.StringType()) for c in ("course", "file", BAD_RECORD)]])
+    parts = [spark.createDataFrame([], full)]           # folders without a header line add nothing
+    headers.pop("", None)
+    for header, courses in headers.items():
+        names = spark.createDataFrame([(header,)], "h string").select(F.from_csv(
+            "h", F.lit(", ".join(f"c{k} STRING" for k in range(header.count(",") + 1))))).first()[0]
+        names = [n for n in names if n is not None]
+        found = T.StructType([wanted.get(n, T.StructField(n, T.StringType())) for n in names]
+                             + [T.StructField(BAD_RECORD, T.StringType())])
+        # a record is only known to be bad once all its fields are read
+        whole = F.length(F.concat_ws("", *[F.col(n).cast("string") for n in names])) >= 0
+        rows = spark.read.schema(found).option("header", True).option("escape", '"').option("mode", "PERMISSIVE") \
+            .option("columnNameOfCorruptRecord", BAD_RECORD).csv([folders[c] for c in courses])
+        path = F.col("_metadata.file_path")
+        course = F.coalesce(*[F.when(F.contains(path, F.lit(folders[c].rstrip("/") + "/")), F.lit(c)) for c in courses])
+        parts.append(rows.select(
+            *[F.col(n) if n in names else F.lit(None).cast(f.dataType).alias(n) for n, f in wanted.items()],
+            course.alias("course"), F.col("_metadata.file_name").alias("file"),
+            F.when(whole, F.col(BAD_RECORD)).alias(BAD_RECORD)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def good_rows(scanned: DataFrame) -> DataFrame:
+    """Rows of :func:`scan_courses` that fit the schema."""
+    return scanned.filter(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD, "file")
+
+
+def quarantine(scanned: DataFrame) -> DataFrame:
+    """Records of :func:`scan_courses` that do not: course, file, text."""
+    return scanned.filter(F.col(BAD_RECORD).isNotNull()).select("course", "file", BAD_RECORD)

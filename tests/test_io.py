@@ -96,3 +96,25 @@ def test_streaming_is_row_wise(spark, tmp_dir):
     with pytest.raises(AnalysisException):
         write_row_wise(stream, lambda b: summarize_attempts(b, ["student_id", "problem_id"], ["ord"]),
                        os.path.join(tmp_dir, "o2"), os.path.join(tmp_dir, "c2"))
+
+
+def test_scan_courses_keeps_bad_records_and_follows_names(spark, tmp_dir):
+    import os
+
+    from attemptlog.sources import files as S
+    schema = "Order long, SubjectID string, Score double"
+    texts = {"a": "Order,SubjectID,Score\n1,x,5.0\n2,\"y, z\",\n3,q\n,,\n",
+             "b": "Score,More,Order\n7,m,4\nno,m,5\n1,m,6,7\n", "c": "Order,SubjectID,Score\nten,x,1\n", "d": ""}
+    folders = {}
+    for course, text in texts.items():
+        folders[course] = f"{tmp_dir}/{course}"
+        os.makedirs(folders[course])
+        with open(f"{folders[course]}/log.csv", "w") as f:
+            f.write(text)
+    from pyspark.sql import types as T
+    scanned = S.scan_courses(spark, folders, T._parse_datatype_string(schema))
+    good = {tuple(r) for r in S.good_rows(scanned).select("course", "Order", "SubjectID", "Score").collect()}
+    assert good == {("a", 1, "x", 5.0), ("a", 2, "y, z", None), ("a", None, None, None), ("b", 4, None, 7.0)}
+    bad = {(r["course"], r["file"], r["bad_record"]) for r in S.quarantine(scanned).collect()}
+    assert bad == {("a", "log.csv", "3,q"), ("b", "log.csv", "no,m,5"), ("b", "log.csv", "1,m,6,7"), ("c", "log.csv", "ten,x,1")}
+    assert S.quarantine(scanned).groupBy("course").count().count() == 3
