@@ -61,18 +61,26 @@ def _node_sql(url: str) -> str:
 
 
 _Q = "''"
+def _attr_sql(name: str) -> str:
+    pattern = url_filter.attribute_pattern(name).replace("'", "''")
+    return " || ".join(f"regexp_extract(tag, '{pattern}', {k})" for k in (1, 2, 3))
+
+
+# Seconds and marks before the url of a refresh.
+_WAIT = rf'(?is)^\s*(?:[\d.]*(?:\s*[;,]|\s)\s*(?:url\s*=\s*)?|url\s*=\s*)["{_Q}]?\s*'
 OP2_SQL = rf"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, {_host_sql('url')} AS host, {_path_sql('url')} AS path,
                             {_node_sql('url')} AS node FROM pages),
-raw AS (SELECT url, host, path, node,
-  regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["{_Q}]?canonical\b[^>]*>', 0) AS tag,
-  regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["{_Q}]?refresh\b[^>]*>', 0) AS meta FROM p
-  WHERE contains(url, '://')),
-targets AS (
-  SELECT url, host, path, node, regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|{_Q}([^{_Q}]*){_Q}|([^\s>"{_Q}]+))', 1)
-    || regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|{_Q}([^{_Q}]*){_Q}|([^\s>"{_Q}]+))', 2)
-    || regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|{_Q}([^{_Q}]*){_Q}|([^\s>"{_Q}]+))', 3) AS t FROM raw
-  UNION ALL SELECT url, host, path, node, regexp_extract(meta, '(?is)\burl\s*=\s*([^"{_Q}>\s]+)', 1) FROM raw),
+raw AS (SELECT url, host, path, node, unnest(regexp_extract_all(
+    regexp_replace(html, '{url_filter.HIDDEN}', ' ', 'g'), '{url_filter.TAGS}')) AS tag FROM p WHERE contains(url, '://')),
+tags AS (SELECT url, host, path, node, tag, regexp_matches(tag, '(?i)^<link') AS is_link, {_attr_sql('rel')} AS rel,
+  {_attr_sql('http-equiv')} AS equiv, {_attr_sql('href')} AS href, {_attr_sql('content')} AS content FROM raw),
+jumps AS (SELECT *, CASE WHEN regexp_matches(content, '{_WAIT}') THEN
+    regexp_extract(regexp_replace(content, '{_WAIT}', ''), '(?s)^[^"{_Q}>\s;,][^"{_Q}>\s]*') ELSE '' END AS jump FROM tags),
+targets AS (SELECT url, host, path, node, CASE
+    WHEN is_link THEN CASE WHEN list_contains(string_split_regex(lower(rel), '\s'), 'canonical') THEN href END
+    WHEN lower(trim(equiv, ' ')) = 'refresh' THEN CASE WHEN jump <> '' THEN jump
+      ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["{_Q}]?\s*([^"{_Q}>\s]+)', 1) END END AS t FROM jumps),
 full_urls AS (SELECT node AS src, regexp_extract(url, '(?s)^(.*?://)', 1) AS scheme, host, path,
   replace(trim(t, ' '), '&amp;', '&') AS t FROM targets),
 resolved AS (SELECT src, CASE WHEN contains(t, '://') THEN t
@@ -331,9 +339,11 @@ d AS (SELECT key, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
   unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE k <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text), copy) AS i FROM d),
 f AS (SELECT key, turn, role, text, i, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY key ORDER BY i) || left(role, 1) AS pair,
-  CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+  CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1
     WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 2
-    WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault FROM o),
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault FROM o),
 ins(q, n, q2, lines) AS (VALUES (0, 0, 0, ''), (0, 1, 2, 'user:' || chr(10)), (0, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10)),
   (1, 0, 1, ''), (1, 1, 2, 'user:' || chr(10)), (1, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10)),
   (2, 0, 2, ''), (2, 1, 3, 'assistant:' || chr(10)), (3, 0, 3, ''), (3, 1, 2, 'user:' || chr(10)), (3, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10))),

@@ -12,11 +12,9 @@ from attemptlog.llm.graph import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_CANONICAL = (r"""(?is)<link\b[^>]*\brel\s*=\s*(?:["']?canonical\b|"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|"""
-              r"""'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?')[^>]*>""")
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-_CONTENT = r"""(?is)(?<![-\w])content\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+#: What a browser reads no links from: comments and elements whose content is no markup of the page.
+HIDDEN = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{x}\b.*?(?:</{x}\b[^>]*>|\z)" for x in ("script", "style", "template", "textarea"))
+TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
 #: Target of a refresh: seconds, a mark, then the url with or without ``url=`` and quotes; else what follows ``url=``.
 _JUMP = r"""(?is)^\s*+(?:[\d.]*+(?:\s*+[;,]|\s)\s*+(?:url\s*+=\s*+)?+|url\s*+=\s*+)["']?+\s*+([^"'>\s;,][^"'>\s]*+)"""
 _TARGET = r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s]+)"""
@@ -62,21 +60,40 @@ def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colum
     return text, verdict
 
 
+def attribute_pattern(name: str) -> str:
+    """Pattern of an attribute in a tag; the value is in one of three groups."""
+    return rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.concat(*[F.regexp_extract(tag, attribute_pattern(name), k) for k in (1, 2, 3)])
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges ``src``, ``dst`` from each page to the target of its canonical link
-    and of its refresh redirect.  ``//host/x``, ``/x`` and ``x`` are resolved
-    against the page's url; targets are read from the whole html."""
-    u, h = F.col(url), F.col(html)
-    tag, meta, content = F.col("_tag"), F.col("_meta"), F.col("_content")
-    href = F.concat(*[F.regexp_extract(tag, _HREF, k) for k in (1, 2, 3)])
+    """Edges ``src``, ``dst`` from each page to the targets of all its canonical
+    links and refresh redirects.  ``//host/x``, ``/x`` and ``x`` are resolved
+    against the page's url; tags are read from the whole html, but not in
+    comments, scripts, styles, templates and text areas, and ``canonical`` must be
+    a whole word of ``rel``.
+
+    Null html and null urls or such without ``://`` give no edge, nor do targets
+    that are the page itself; repeated pages repeat their edges.  Further columns
+    are not read.
+    """
+    h, tag, content = F.col(html), F.col("_tag"), F.col("_content")
     jump = F.regexp_extract(content, _JUMP, 1)
-    jump = F.when(jump == "", F.regexp_extract(meta, _TARGET, 1)).otherwise(jump)
-    e = pages.select(u.alias("_u"), F.regexp_extract(h, _CANONICAL, 0).alias("_tag"), F.regexp_extract(h, _REFRESH, 0).alias("_meta")) \
-        .filter("_tag != '' or _meta != ''") \
-        .withColumn("_content", F.concat(*[F.regexp_extract(meta, _CONTENT, k) for k in (1, 2, 3)])) \
-        .select("_u", F.explode(F.array(href, jump)).alias("_t")) \
+    jump = F.when(jump == "", F.regexp_extract(tag, _TARGET, 1)).otherwise(jump)
+    rel = F.concat(F.lit(" "), F.regexp_replace(F.lower(_attribute(tag, "rel")), r"\s", " "), F.lit(" "))
+    refresh = F.lower(F.trim(_attribute(tag, "http-equiv"))) == "refresh"
+    e = pages.select(F.col(url).alias("_u"), h.alias("_h")) \
+        .filter(F.col("_h").rlike("(?i)canonical|refresh") & (F.instr("_u", "://") > 0)) \
+        .select("_u", F.explode(F.regexp_extract_all(F.regexp_replace("_h", HIDDEN, " "), F.lit(TAGS), F.lit(0))).alias("_tag")) \
+        .filter(tag.rlike("(?i)canonical|refresh")) \
+        .withColumn("_content", _attribute(tag, "content")) \
+        .select("_u", F.when(tag.rlike("(?i)^<link"), F.when(rel.contains(" canonical "), _attribute(tag, "href")))
+                .otherwise(F.when(refresh, jump)).alias("_t")) \
         .select("_u", F.replace(F.trim(F.col("_t")), F.lit("&amp;"), F.lit("&")).alias("_t")) \
-        .filter("_t != '' and instr(_u, '://') > 0")
+        .filter("_t != ''")
     scheme, t = F.regexp_extract("_u", r"(?s)^(.*?://)", 1), F.col("_t")
     site = F.concat(scheme, url_host(F.col("_u")))
     folder = F.concat(F.regexp_extract(url_path(F.col("_u")), r"(?s)^(.*/)", 1))

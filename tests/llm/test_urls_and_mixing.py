@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from attemptlog.llm import graph, mixing, sharding, url_filter
+from attemptlog.llm import graph, mixing, queries, sharding, url_filter
 from attemptlog.llm.queries import RULES
 from tests.llm.helpers import DOCS, docs_frame, with_clashes
 
@@ -88,6 +88,49 @@ def test_forms_of_redirects_and_canonical_links(spark):
         + [(f"http://p{len(tags) + len(none)}.com/", "http://x.net/?url=http://y.com/")])
 
 
+EDGE_PAGES = {
+    "a comment": ("<!-- <link rel=canonical href='http://no.net/'> --><link rel=canonical href='http://yes.com/'>", ["yes.com"]),
+    "an open comment": ("<link rel=canonical href='http://yes.com/'><!-- <link rel=canonical href='http://no.net/'>", ["yes.com"]),
+    "a script": ("<script>s = '<meta http-equiv=\"refresh\" content=\"0;url=http://no.net/\">'</script>", []),
+    "a style": ("<STYLE><link rel=canonical href='http://no.net/'></STYLE >", []),
+    "a template": ("<template><link rel=canonical href='http://no.net/'></template>", []),
+    "a text area": ("<textarea><link rel=canonical href='http://no.net/'></textarea>", []),
+    "parts of words": ("<link rel='canonical-old' href='http://no.net/'><link rel=xcanonical href='http://no.net/'>", []),
+    "other attributes": ("<link data-rel=canonical href='http://no.net/'><link rel=canonical data-href='http://no.net/'>", []),
+    "several": ("<link rel=canonical href='http://one.com/'><meta http-equiv=' Refresh' content='1;http://two.com/'>"
+                "<link href='http://three.com/' rel='x CANONICAL'>", ["one.com", "three.com", "two.com"]),
+    "a comment in a script": ("<script><!-- </script><link rel=canonical href='http://yes.com/'>", ["yes.com"]),
+    "null": (None, []), "empty": ("", [])}
+
+
+@pytest.mark.parametrize("repeats", [1, 2])
+def test_links_are_read_from_the_markup_alone(spark, repeats):
+    rows = [(f"http://p{k}.org/", x) for k, (x, _) in enumerate(EDGE_PAGES.values())] * repeats
+    got = url_filter.page_links(with_clashes(spark.createDataFrame(rows, "url string, html string"))).collect()
+    assert sorted((r["src"], r["dst"]) for r in got) == sorted(
+        (f"http://p{k}.org/", f"http://{host}/") for k, (_, hosts) in enumerate(EDGE_PAGES.values()) for host in hosts * repeats)
+
+
+def test_op2_with_edges_equals_its_sql(spark, tmp_path):
+    import duckdb
+    refresh = ["0;url='http://x.net/'", "0; http://x.net/", "5,http://x.net/", "0 url=http://x.net/", "0;url=", "30", "url=x/y",
+               "0;url= 'http://x.net/ '", "1.5 ; /fr/", "0; http://x.org/?url=http://y.net/", "//spam.net/a&amp;b"]
+    pages = [f'<meta http-equiv="refresh" content="{x}">' for x in refresh] + [x for x, _ in EDGE_PAGES.values()] \
+        + [f"<link rel=canonical href='http://h{k + 1}.com/'>" for k in range(12)] + ["<link rel=canonical href=//spam.net/z>"] \
+        + ["<meta content=0;url=http://x.net/ http-equiv=refresh>", "<meta http-equiv=refresh content=0; url=http://x.net/>"]
+    chain = len(refresh) + len(EDGE_PAGES)
+    rows = [(k, f"http://H{k - chain}.com/" if chain <= k <= chain + 12 else f"http://p{k}.com/d/{k}", x) for k, x in enumerate(pages)]
+    rows += [(900, None, pages[0]), (901, "none", pages[0]), (902, "http://x.org/fr/", pages[0]), (902, "http://x.org/fr/", pages[0])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op2_url_filters(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.OP2_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    verdicts = {r["page_id"]: r["verdict"] for r in got}
+    assert all(verdicts[chain + k] == "block" for k in range(13)) and verdicts[chain - 1] == "allow"
+
+
 def test_urls_of_an_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge_urls(pages, url_filter.page_links(pages), RULES).count() == 0
