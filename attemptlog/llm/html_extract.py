@@ -21,13 +21,15 @@ CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
          "option": {"select"}}
 #: Elements that never hold article text.
-DROP = frozenset("head nav footer aside form button select option input label dialog menu canvas audio video".split()) | RAW
+DROP = frozenset("head nav footer aside button select option input label dialog menu canvas audio video".split()) | RAW
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Words of class names and ids that speak against an element, also beside a good word; that do so with a second
 #: sign; and that speak for it.
 STRONG = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist disqus cookie cookies "
     "consent gdpr footer nav navbar navigation menu sidebar breadcrumb breadcrumbs newsletter subscribe popup modal".split())
+#: Those of the strong names that no heading of an article's section explains.
+NEVER = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist disqus".split())
 WEAK = frozenset(
     "aside banner promo promotion notice notices notification alert overlay side toolbar widget related recommended "
     "recommendations share sharing social signup login search pagination pager masthead topbar header skip copyright legal "
@@ -41,24 +43,30 @@ TITLED = HEADINGS | frozenset("p dt caption figcaption legend summary".split())
 CLASS_SCORE, SIBLING_SHARE, SIBLING_LEAST, MENU_DENSITY, MENU_LINKS = 25.0, 0.2, 3.0, 0.8, 3
 #: Second signs against an element with a weak name: the share of its text in links, or so few characters.
 WEAK_DENSITY, WEAK_SIZE = 0.5, 25
+#: What a form is filled in with, and the text for each of them that a form around an article has at least.
+CONTROLS, CONTROL_SIZE = frozenset("input select textarea button".split()), 200
+#: Blocks that belong to the text beside the best container unless they are links.
+BESIDE = frozenset("pre dl ul ol table blockquote figure".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
                     r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RIGHTS = re.compile(r"©|copyright|all rights reserved", re.I)
+_HIDDEN_INPUT = re.compile(r"""\btype\s*=\s*["']?hidden\b""", re.I)
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Node:
     """An element: ``parts`` are texts and elements in page order."""
 
-    __slots__ = ("tag", "attrs", "parent", "parts", "size", "linked", "links", "points", "weak")
+    __slots__ = ("tag", "attrs", "parent", "parts", "size", "linked", "links", "points", "weak", "controls", "wraps")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
         self.size = self.linked = self.links = 0
         self.points = 0.0
-        self.weak = False
+        self.weak = self.wraps = False
+        self.controls = 0
 
 
 def parse(source: str) -> Node:
@@ -122,7 +130,9 @@ def _judge(node: Node) -> float | None:
     """Score of an element's names, None if it is to be dropped."""
     if node.tag in DROP:
         return None
-    strong = weak = good = False
+    weak = good = False
+    strong: set[str] = set()
+    named = False               # whether a class says so, not only an id
     own_words = node.tag in TITLED or node.tag not in BLOCK and node.tag not in CONTAINERS and node.tag != "th"
     for m in _ATTR.finditer(node.attrs) if node.attrs else ():
         value = m[2] or m[3] or m[4] or ""
@@ -135,8 +145,9 @@ def _judge(node: Node) -> float | None:
         for words in _names(value):
             if words and words[0] in ("has", "with", "no", "is"):
                 continue
-            if STRONG.intersection(words):
-                strong = True
+            if found := STRONG.intersection(words):
+                strong |= found
+                named = named or m[1].lower() == "class"
             elif GOOD.intersection(words):
                 good = True
             elif WEAK.intersection(words):
@@ -145,7 +156,7 @@ def _judge(node: Node) -> float | None:
         return 0.0
     if node.tag == "header" and not _inside(node, "article"):
         return None
-    if strong and (node.tag == "article" or not good and node.tag != "main"):
+    if strong and (node.tag == "article" or not good and node.tag != "main") and (named or not _titled(node, strong)):
         return None
     node.weak = weak and (node.tag == "article" or not good and node.tag != "main")
     return CLASS_SCORE if good else 0.0
@@ -158,6 +169,28 @@ def _inside(node: Node, tag: str) -> Node | None:
     return up
 
 
+def _words(node: Node) -> set[str]:
+    """Words of an element's text, lower-cased."""
+    words, stack = set(), [node]
+    while stack:
+        for x in stack.pop().parts:
+            if isinstance(x, str):
+                words.update(w.lower() for w in _NAME.findall(x))
+            else:
+                stack.append(x)
+    return words
+
+
+def _titled(node: Node, names: set[str]) -> bool:
+    """Whether an element is a section of an article whose heading has the words of
+    its id and which has text besides."""
+    if names & NEVER or node.tag not in ("section", "div") or not (_inside(node, "article") or _inside(node, "main")):
+        return False
+    heads = [x for x in node.parts if isinstance(x, Node) and x.tag in HEADINGS]
+    return bool(heads) and names <= _words(heads[0]) and any(
+        isinstance(x, Node) and x.tag in ("p", "pre", "table", "dl", "blockquote") for x in node.parts)
+
+
 def _weigh(root: Node) -> tuple[list[Node], dict[int, float]]:
     """Drop what is no text and measure the rest, children before parents."""
     order, stack, names = [], [root], {}
@@ -173,6 +206,8 @@ def _weigh(root: Node) -> tuple[list[Node], dict[int, float]]:
                 names[id(x)] = score
                 kept.append(x)
                 stack.append(x)
+            elif x.tag in CONTROLS and not _HIDDEN_INPUT.search(x.attrs):
+                node.controls += 1
         node.parts = kept
     for node in reversed(order):
         own = commas = 0
@@ -184,6 +219,8 @@ def _weigh(root: Node) -> tuple[list[Node], dict[int, float]]:
                 node.size += x.size
                 node.links += x.links + (x.tag == "a")
                 node.linked += x.size if x.tag == "a" else x.linked
+                node.controls += x.controls
+                node.wraps = node.wraps or x.wraps or x.tag in ("article", "main", "h1")
         node.size += own
     return order, names
 
@@ -199,7 +236,8 @@ def _remove(node: Node) -> None:
 
 
 def _drop_weak(order: list[Node]) -> list[Node]:
-    """Drop the elements with a weak name and a second sign: outside the article (or
+    """Drop forms to be filled in, but not one around an article, and the elements
+    with a weak name and a second sign: outside the article (or
     main part) of a page that has one, mostly links, or a few words without blocks."""
     texts = [x for x in order if x.tag == "article" and not x.weak and x.size] or [x for x in order if x.tag == "main" and x.size]
     above: set[int] = set()             # what holds an article is not outside
@@ -217,6 +255,11 @@ def _drop_weak(order: list[Node]) -> list[Node]:
         if node.parent is not None and id(node.parent) in held:
             held.add(id(node))
         kept.append(node)
+        if node.tag == "form" and not node.wraps and node.size < CONTROL_SIZE * node.controls:
+            _remove(node)
+            gone.add(id(node))
+            kept.pop()
+            continue
         if not node.weak or not node.size:
             continue
         block = node
@@ -234,10 +277,24 @@ def _drop_weak(order: list[Node]) -> list[Node]:
 def _drop_menus(order: list[Node]) -> None:
     for node in order:
         if node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links >= MENU_LINKS and node.size \
-                and node.linked >= MENU_DENSITY * node.size and node.parent is not None:
+                and node.linked >= MENU_DENSITY * node.size and node.parent is not None and not _listed(node):
             _remove(node)
 
 
+def _listed(node: Node) -> bool:
+    """Whether a list of links stands right under a heading of an article, as sources
+    do; a heading with words of menus and adverts does not count."""
+    if node.tag not in ("ul", "ol", "dl") or not _inside(node, "article"):
+        return False
+    before = None
+    for x in node.parent.parts:
+        if x is node:
+            break
+        if isinstance(x, Node) or x.strip():
+            before = x
+    return isinstance(before, Node) and before.tag in HEADINGS and not _words(before) & (STRONG | WEAK)
+
+
 def _inline_text(node: Node) -> str:
     """Text of a block without the blocks inside it."""
     out, stack = [], [iter(node.parts)]
@@ -270,7 +327,9 @@ def _stands_beside(node: Node, top: Node) -> bool:
     if node.tag == "p":
         text = _inline_text(node).strip()
         return not _RIGHTS.search(text) and (
-            len(text) > 80 and density < 0.25 or density == 0 and text.endswith((".", "!", "?")))
+            len(text) > 80 and density < 0.25 or density == 0 and (text.endswith((".", "!", "?")) or top.parent.tag != "body"))
+    if node.tag in BESIDE:
+        return density < 0.25 and not _RIGHTS.search(" ".join(_blocks([node])))
     return node.tag in CONTAINERS and density < 0.25 and node.points >= max(SIBLING_LEAST, SIBLING_SHARE * top.points)
 
 
@@ -352,7 +411,9 @@ def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> Dat
     """Add ``out``, the main text of every page.
 
     Elements that by tag, role or name hold menus, notices, adverts, forms, scripts,
-    comments and the like are dropped, as are lists that are nearly all links.  Names
+    comments and the like are dropped, as are lists that are nearly all links and do not
+    stand right under a heading of the article.  A form goes unless it is put around an article or
+    has much text for each control; a section whose id is a word of its heading stays in an article.  Names
     that articles use as well ("related", "legal") count only outside the article, on
     elements that are mostly links or on a few words; ids of headings, paragraphs
     and inline elements do not count. Each

@@ -98,6 +98,45 @@ def test_foreign_elements(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<body><form id=aspnetForm><input type=hidden name=v><div id=content>{ARTICLE}</div></form></body>", TEXT),
+    (f"<body><form id=f><input name=q><button>Find</button><div id=content>{ARTICLE}</div></form></body>", TEXT),
+    (f"<body><form><div id=content>{ARTICLE}</div><input type=submit></form></body>", TEXT),
+    ("<body><form><h3>Mail</h3><p>Have our letters, all of them, sent to you.</p><input name=m></form>"
+     f"<div id=content>{ARTICLE}</div></body>", TEXT)])
+def test_forms_around_articles_stay(page, text):
+    assert main_text(page) == text
+
+
+LINKS = "<ul><li><a href=a>Smith, A.</a></li><li><a href=b>Jones, B.</a></li><li><a href=c>Brown, C.</a></li></ul>"
+
+
+@pytest.mark.parametrize("part, text", [
+    (f"<h2>Sources</h2>{LINKS}", "Sources\nSmith, A.\nJones, B.\nBrown, C."), (f"<h2>Related</h2>{LINKS}", "Related"), (LINKS, None),
+    ("<section id=cookies><h2>How cookies are baked</h2><p>With sugar, and butter.</p></section>",
+     "How cookies are baked\nWith sugar, and butter."),
+    ("<section id='navigation'><h2>Navigation</h2><p>By the stars, at sea.</p></section>", "Navigation\nBy the stars, at sea."),
+    ("<section class='cookies'><h2>Cookies</h2><p>We use them, as you see.</p></section>", None),
+    ("<section id='cookies'><p>We use them, as you see.</p></section>", None),
+    ("<section id='comments'><h2>Comments</h2><p>Nice one, thanks.</p></section>", None),
+    ("<section id='ads'><h2>Ads</h2><p>Buy one, now.</p></section>", None)])
+def test_sections_and_lists_of_an_article(part, text):
+    half = ARTICLE.index("<ul>")
+    lines = TEXT.split("\n")
+    assert main_text(f"<body><article>{ARTICLE[:half]}{part}{ARTICLE[half:]}</article></body>") == "\n".join(
+        lines[:2] + ([text] if text else []) + lines[2:])
+
+
+@pytest.mark.parametrize("part, text", [
+    ("<dl><dt>Word</dt><dd>what it means</dd></dl>", "Word\nwhat it means"), ("<pre>x = 1</pre>", "x = 1"),
+    ("<ul><li>one</li><li>two</li></ul>", "one\ntwo"), ("<table><tr><td>cell</td></tr></table>", "cell"),
+    ("<blockquote>as they said</blockquote>", "as they said"), ("<p>Short one</p>", "Short one"),
+    ("<p>&copy; 2020 All rights reserved</p>", None), ("<ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul>", None)])
+def test_blocks_beside_the_best_container(part, text):
+    page = f"<body><div class=wrap><div class=content>{ARTICLE}</div>{part}</div></body>"
+    assert main_text(page) == "\n".join([TEXT] + ([text] if text else []))
+
+
 def test_very_long_and_deep_pages():
     many = "".join(f"<p>Paragraph {k}, of many.</p>" for k in range(20_000))
     assert main_text(f"<article>{many}</article>").count("\n") == 19_999
