@@ -17,6 +17,7 @@ from attemptlog.operators.splits import global_rank
 
 PAD = 0          # padding / END index
 UNK = 1          # unknown token index (path vocabularies)
+TOKEN_SHARE = 1024   # a token of more than one in this many is looked up in a map, not by shuffle
 
 
 def task_vocabulary(targets: DataFrame, histories: DataFrame, target: str = "new_task_id",
@@ -156,24 +157,57 @@ def path_vocabulary(paths: DataFrame, key: Sequence[str], train_ids: DataFrame |
     return vocab(nodes), vocab(pth)
 
 
+def mark_frequent(tokens: DataFrame, vocab: DataFrame, share: int = TOKEN_SHARE) -> DataFrame:
+    """Add the index of the frequent tokens of ``tokens`` (``kind``, ``token``) and a
+    key ``_t``, ``_s`` to join the others by.
+
+    Frequent is what makes up more than one in ``share`` of all rows, known to
+    ``vocab`` (``kind``, ``token``, ``index``) or not: fewer than ``share`` tokens, so
+    their digests and indices are broadcast.  The rows of frequent tokens get
+    ``_index`` (UNK if unknown), a null ``_t`` and spread ``_s``; no key of the
+    others has more than that share of rows.  Null tokens are unknown ones.
+    """
+    counts = tokens.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    often = counts.crossJoin(F.broadcast(total)).filter(F.col("_n") * share > F.col("_all")).select("kind", "token") \
+        .join(vocab, ["kind", "token"], "left") \
+        .select(F.col("kind").alias("_kind"), F.md5(F.coalesce("token", F.lit(""))).alias("_d"),
+                F.coalesce("index", F.lit(UNK)).cast("long").alias("_index"), F.col("token").isNull().alias("_null"))
+    digest = F.md5(F.coalesce("token", F.lit("")))
+    hot = F.col("_index").isNotNull()
+    return tokens.join(F.broadcast(often), (F.col("kind") == F.col("_kind")) & (digest == F.col("_d"))
+                       & (F.col("token").isNull() == F.col("_null")), "left") \
+        .withColumn("_t", F.when(~hot, F.col("token"))) \
+        .withColumn("_s", F.when(hot, F.pmod(F.xxhash64(*[c for c in tokens.columns if c not in ("kind", "token")]), F.lit(share)))
+                    .otherwise(0).cast("int")) \
+        .drop("_kind", "_d", "_null")
+
+
 def encode_code_steps(paths: DataFrame, node_vocab: DataFrame, path_vocab: DataFrame,
                       key: Sequence[str], max_paths: int = 100, col: str = "RawASTPath") -> DataFrame:
     """K19 (long form): per step, the first ``max_paths`` entries as (start,
-    path, end) indices; unknown -> UNK, missing entries padded with END."""
+    path, end) indices; unknown -> UNK, missing entries padded with END.
+
+    Tokens of all three fields go through one join: the frequent ones by a
+    bounded map, the rest by shuffle (:func:`mark_frequent`)."""
     key = list(key)
-    e = path_entries(paths, key, col, max_paths)
-    nv = node_vocab.select(F.col("token").alias("_t"), F.col("index").alias("_i"))
-    pv = path_vocab.select(F.col("token").alias("_t"), F.col("index").alias("_i"))
-    e = e.join(nv.withColumnRenamed("_t", "start").withColumnRenamed("_i", "start_idx"), "start", "left") \
-         .join(pv.withColumnRenamed("_t", "path").withColumnRenamed("_i", "path_idx"), "path", "left") \
-         .join(nv.withColumnRenamed("_t", "end").withColumnRenamed("_i", "end_idx"), "end", "left")
-    e = e.na.fill(UNK, subset=["start_idx", "path_idx", "end_idx"])
-    g = e.groupBy(*key).agg(F.sort_array(F.collect_list(
-        F.struct("entry", "start_idx", "path_idx", "end_idx"))).alias("_e"))
+    fields = ("start", "path", "end")
+    kind = {"start": 0, "path": 1, "end": 0}
+    tokens = path_entries(paths, key, col, max_paths).select(*key, "entry", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("field"), F.lit(kind[f]).alias("kind"), F.col(f).alias("token"))
+        for k, f in enumerate(fields)])).alias("_x")).select(*key, "entry", "_x.field", "_x.kind", "_x.token")
+    vocab = node_vocab.select(F.lit(0).alias("kind"), "token", "index") \
+        .unionByName(path_vocab.select(F.lit(1).alias("kind"), "token", "index"))
+    known = vocab.select("kind", F.col("token").alias("_t"), F.lit(0).alias("_s"), F.col("index").alias("_known"))
+    e = mark_frequent(tokens, vocab).join(known, ["kind", "_t", "_s"], "left")
+    g = e.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(
+        "entry", "field", F.coalesce("_index", "_known", F.lit(UNK)).alias("i")))).alias("_e"))
     out = paths.select(*key).join(g, key, "left")
-    return out.select(*key, *[right_pad(F.coalesce(F.transform("_e", _field(f)),
-                                                   F.array().cast("array<long>")), max_paths, PAD).alias(f)
-                              for f in ("start_idx", "path_idx", "end_idx")])
+
+    def of(k: int) -> Column:
+        mine = F.transform(F.filter("_e", lambda x: x["field"] == k), lambda x: x["i"])
+        return right_pad(F.coalesce(mine, F.array().cast("array<long>")), max_paths, PAD)
+    return out.select(*key, *[of(k).alias(f"{f}_idx") for k, f in enumerate(fields)])
 
 
 def code_step_rows(df: DataFrame, row_key: Sequence[str], n_tasks: int | Column, length: int = 100,
@@ -194,10 +228,6 @@ def code_step_rows(df: DataFrame, row_key: Sequence[str], n_tasks: int | Column,
     return ex.select(*row_key, (F.col("_i") + length - F.col("_n")).cast("long").alias("step"), "_x.interaction", "_x.code")
 
 
-def _field(name: str):
-    return lambda x: x[name]
-
-
 def training_examples(df: DataFrame, row_key: Sequence[str], n_tasks: int = 30,
                       labels: str = "prev_labels", prev_scores: str = "prev_scores") -> DataFrame:
     """K13 (fixed-shape part): snapshots per task padded with 1, task count

@@ -68,6 +68,36 @@ def test_code_steps(spark):
     assert enc[2]["path_idx"] == [0, 0, 0]
 
 
+def test_frequent_tokens_leave_the_shuffle(spark):
+    import random
+    rng = random.Random(7)
+    words = ["hot"] * 40 + ["unseen"] * 30 + [f"w{k}" for k in range(60)] + [""]
+    rows = [(k, "@$".join(f"{rng.choice(words)},{rng.choice(words)},{rng.choice(words)}" for _ in range(rng.randrange(12))))
+            for k in range(80)] + [(80, None), (81, "hot,unseen,hot")]
+    paths = spark.createDataFrame(rows, "code_id int, RawASTPath string").repartition(4)
+    names = sorted(set(words) - {"unseen"})
+    nodes = spark.createDataFrame([(w, k + 2) for k, w in enumerate(names)], "token string, index long")
+    pth = spark.createDataFrame([(w, k + 2) for k, w in enumerate(reversed(names))], "token string, index long")
+    entries = E.path_entries(paths, ["code_id"], max_paths=8).collect()
+    of_node, of_path = {w: k + 2 for k, w in enumerate(names)}, {w: k + 2 for k, w in enumerate(reversed(names))}
+    want = {k: ([0] * 8, [0] * 8, [0] * 8) for k, _ in rows}
+    for r in entries:
+        for lists, i in zip(want[r["code_id"]], (of_node.get(r["start"], 1), of_path.get(r["path"], 1), of_node.get(r["end"], 1))):
+            lists[r["entry"]] = i
+    got = E.encode_code_steps(paths, nodes, pth, ["code_id"], max_paths=8).collect()
+    assert {r["code_id"]: (r["start_idx"], r["path_idx"], r["end_idx"]) for r in got} == want and len(got) == len(rows)
+    # no key of the shuffle holds more than its share, whether the vocabulary knows the token or not
+    tokens = spark.range(6000).selectExpr(
+        "id", "0 as kind", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then null when id % 30 = 2 then 'unseen' "
+        "else concat('w', id) end as token")
+    vocab = nodes.selectExpr("0 as kind", "token", "index")
+    marked = E.mark_frequent(tokens, vocab, share=64)
+    most = marked.groupBy("_t", "_s").count().agg({"count": "max"}).first()[0]
+    assert marked.count() == 6000 and most <= 2 * 6000 / 64
+    by = {r["token"]: r["_index"] for r in marked.select("token", "_index").distinct().collect()}
+    assert by["hot"] == of_node["hot"] and by[None] == 1 and by["unseen"] == 1 and by["w5"] is None
+
+
 def test_code_step_rows(spark):
     df = spark.createDataFrame([("s", [3, 1], [True, False], [["a"], ["b", "c"]])],
                                "student_id string, prev_q array<int>, prev_labels array<boolean>, prev_tasks array<array<string>>")
