@@ -53,20 +53,45 @@ def _fingerprints(flat: np.ndarray, ends: np.ndarray, seed: np.uint64) -> np.nda
     return tokens.mix((total[ends[1:]] - total[ends[:-1]]) ^ (size * seed))
 
 
-def _each(batches, text: str, n: int):
+def _each(batches, text: str, n: int, class_bits: int = 64, renamed: dict[tuple[int, int], int] | None = None):
+    """Rows, sets, their ends and classes; sets in ``renamed`` (by both fingerprints)
+    have the class given there."""
+    shared = np.array(sorted({f1 for f1, _ in renamed or {}}), np.int64)
     for batch in batches:
         for lo, hi, data, offsets in tokens.slices(batch.column(text)):
             flat, ends = shingle_sets(data, offsets, n)
-            yield batch.slice(lo, hi - lo), flat, ends, _fingerprints(flat, ends, _F1)
-
-
-def _signatures(docs: DataFrame, n: int, doc_id: str, text: str, also: list[str]) -> DataFrame:
+            f1 = _fingerprints(flat, ends, _F1) >> np.uint64(64 - class_bits)
+            at = np.flatnonzero(np.isin(f1.view(np.int64), shared)) if renamed else ()
+            if len(at):
+                f2 = _fingerprints(flat, ends, _F2).view(np.int64)
+                cls = f1.view(np.int64)
+                cls[at] = [renamed.get(pair, pair[0]) for pair in zip(cls[at].tolist(), f2[at].tolist(), strict=True)]
+            yield batch.slice(lo, hi - lo), flat, ends, f1
+
+
+def _renamed(rows: DataFrame, classes: DataFrame) -> dict[tuple[int, int], int]:
+    """New classes for the sets that share one with a different set, by both
+    fingerprints.  About ``sets ** 2 / 2 ** 64`` sets do (5 of 1e10), so these alone come to the driver."""
+    spark, clash = rows.sparkSession, classes.filter("_clash").select("cls")
+    pairs = rows.filter("n > 0").join(clash, "cls", "left_semi").select("cls", "check").distinct().collect()
+    f1, f2 = (np.array([r[k] for r in pairs], np.int64).view(np.uint64) for k in (0, 1))
+    turn = np.uint64(1)
+    while len(pairs):
+        new = tokens.mix(tokens.mix(f2 ^ turn) ^ f1).view(np.int64).tolist()
+        taken = spark.createDataFrame([(x,) for x in new], "cls long")
+        if len(set(new)) == len(new) and classes.join(F.broadcast(taken), "cls", "left_semi").isEmpty():
+            return dict(zip(map(tuple, pairs), new, strict=True))
+        turn += np.uint64(1)
+    return {}
+
+
+def _signatures(docs: DataFrame, n: int, doc_id: str, text: str, also: list[str], class_bits: int) -> DataFrame:
     """One row a document (id, size, class = 64-bit fingerprint, second fingerprint,
     signature) and, with ``part``, the sketch of each input partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kinds = np.zeros(1 << SKETCH_BITS, np.int32), None
         names = [*ids, "n", "cls", "check", "sig", "part", "counts"]
-        for batch, flat, ends, f1 in _each(batches, "text", n):
+        for batch, flat, ends, f1 in _each(batches, "text", n, class_bits):
             np.add(counts, np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
                                        minlength=len(counts)).astype(np.int32), out=counts)
             kinds = [batch.column(c).type for c in ids]
@@ -90,7 +115,7 @@ def _signatures(docs: DataFrame, n: int, doc_id: str, text: str, also: list[str]
     return rows.mapInArrow(run, schema)
 
 
-def _prefixes(docs: DataFrame, n: int, text: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, text: str, sketch: np.ndarray, num: int, den: int, **classes) -> DataFrame:
     """(token, class) for the rarest tokens of each set, so many that linked sets
     share one, and whether the sketch has the token in a hot bucket.  Repeated
     classes of a partition are given once."""
@@ -102,7 +127,7 @@ def _prefixes(docs: DataFrame, n: int, text: str, sketch: np.ndarray, num: int,
         rank = (np.log2(np.maximum(sketch, 1)) * 16).astype(np.uint64) << np.uint64(54)
         hot = sketch > HOT_TIMES * sketch.mean() + HOT_ROWS
         seen: set[int] = set()
-        for _, flat, ends, f1 in _each(batches, "text", n):
+        for _, flat, ends, f1 in _each(batches, "text", n, **classes):
             bucket = (flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
             key = rank[bucket] | (tokens.mix(flat.copy()) >> np.uint64(10))
             got, cls, at_hot = [], [], []
@@ -238,11 +263,11 @@ def _join_groups(members: DataFrame, sets: bool, num: int, den: int) -> DataFram
     return pieces.mapInArrow(run, "src long, dst long")
 
 
-def _sets_of(docs: DataFrame, members: DataFrame, n: int, text: str) -> DataFrame:
+def _sets_of(docs: DataFrame, members: DataFrame, n: int, text: str, **classes) -> DataFrame:
     """The sets of the classes in ``members``, made again from the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, flat, ends, f1 in _each(batches, "text", n):
+        for _, flat, ends, f1 in _each(batches, "text", n, **classes):
             keep = [(c, a, b) for c, a, b in zip(f1.view(np.int64).tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
                     if b > a and not (c in seen or seen.add(c))]
             yield pa.RecordBatch.from_arrays([
@@ -254,7 +279,7 @@ def _sets_of(docs: DataFrame, members: DataFrame, n: int, text: str) -> DataFram
 
 
 def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id",
-                     text: str = "text", also: list[str] | None = None) -> DataFrame:
+                     text: str = "text", also: list[str] | None = None, class_bits: int = 64) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of at least ``num`` / ``den``
     on their distinct word ``n``-grams.
 
@@ -277,19 +302,27 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     3. The sets of those groups meet, one copy of a set in a group, and a signature tree
        with exact intersections finds the links that connect them.
     Groups above ``BLOCK_ROWS`` rows or ``BLOCK_BYTES`` are joined by pairs of blocks.
-    Tokens are 64-bit hashes; two sets with the same 64-bit class are told apart by
-    a second fingerprint and raise an error.
+    Tokens are 64-bit hashes.  Different sets of one 64-bit class are told apart by a
+    second fingerprint and get classes of their own; ``class_bits`` under 64 makes such
+    clashes likely, to try them.
     """
     also = list(also or [])
-    signed = cut_lineage(_signatures(docs, n, doc_id, text, also))
+    signed = cut_lineage(_signatures(docs, n, doc_id, text, also, class_bits))
     sketch = gather.add_up(signed.filter("part is not null"), 1 << SKETCH_BITS)
     rows = signed.filter("part is null")
-    classes = cut_lineage(rows.filter("n > 0").groupBy("cls").agg(
-        F.min("_key").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"),
-        (F.min("check") != F.max("check")).alias("_clash")))
+
+    def classes_of(rows: DataFrame) -> DataFrame:
+        return cut_lineage(rows.filter("n > 0").groupBy("cls").agg(
+            F.min("_key").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"),
+            (F.min("check") != F.max("check")).alias("_clash")))
+    classes, renamed = classes_of(rows), {}
     if not classes.filter("_clash").isEmpty():
-        raise RuntimeError("two different sets share a 64-bit class; run again with another _F1")
-    prefix = _shared_tokens(_prefixes(docs, n, text, sketch, num, den))
+        renamed = _renamed(rows, classes)
+        names = docs.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "cls long, check long, _name long")
+        rows = rows.join(F.broadcast(names), ["cls", "check"], "left").withColumn("cls", F.coalesce("_name", "cls"))
+        classes = classes_of(rows)
+    kept = {"class_bits": class_bits, "renamed": renamed}
+    prefix = _shared_tokens(_prefixes(docs, n, text, sketch, num, den, **kept))
     h = F.xxhash64("cls")
     posting = prefix.groupBy("token").agg(
         F.count(F.lit(1)).alias("m"), F.bit_xor(h).alias("_x"), F.bit_xor(F.xxhash64(h, F.lit(7))).alias("_y")) \
@@ -303,11 +336,11 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     weight = members.groupBy("gid").agg(F.greatest(
         F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
     members = cut_lineage(members.join(weight, "gid"))
-    links = connected_components(_join_groups(_sets_of(docs, members, n, text), True, num, den))
+    links = connected_components(_join_groups(_sets_of(docs, members, n, text, **kept), True, num, den))
     parts = classes.join(links, classes["cls"] == links["node"], "left") \
         .select("cls", "least", F.coalesce("component", "cls").alias("_part"))
     least = parts.groupBy("_part").agg(F.min("least").alias("component_id"))
     named = parts.join(least, "_part").select("cls", "component_id", F.lit(True).alias("_known"))
     out = rows.select("_key", *also, "n", "cls").join(named, "cls", "left")
     return out.select(F.col("_key").alias(doc_id), *also, F.col("n").alias("n_shingles"), "cls",
-                      F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("_key")).alias("component_id"))
+                      F.when(F.col("_known") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("_key")).alias("component_id"))

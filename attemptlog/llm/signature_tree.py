@@ -150,7 +150,7 @@ def tree_join(bits: list[np.ndarray], n: np.ndarray, num: int, den: int,
     are looked at.  A few hubs are tried against all first, so that groups of near
     copies fall together in linear time; then trees over the documents of
     each signature width, sorted by part and size, are traversed against themselves
-    and against the next width, folded.  Every link joins two documents that are
+    and against the wider ones that linked sets can have, folded.  Every link joins two documents that are
     in one part at the end.
     """
     m = len(n)
@@ -227,6 +227,10 @@ def tree_join(bits: list[np.ndarray], n: np.ndarray, num: int, den: int,
     for w, ids in by_width.items():
         if len(ids) > 1 and (side is None or len(np.unique(side[ids])) > 1):
             traverse(ids, ids, w, True)
-        if 2 * w in by_width:
-            traverse(ids, by_width[2 * w], w, False)
+        # linked sets differ in size by den / num at most, so in width by that, rounded up to a power of two
+        wider = 2 * w
+        while wider <= max(2 * w, 2 * w * den // num):
+            if wider in by_width:
+                traverse(ids, by_width[wider], w, False)
+            wider *= 2
     return forest.joined

@@ -106,24 +106,25 @@ def parts_of(n, links):
     return [find(x) for x in range(n)]
 
 
-@pytest.mark.parametrize("m, sides", [(5, False), (16, False), (60, False), (200, False), (90, True)])
-def test_tree_join_connects_what_links_connect(m, sides):
+@pytest.mark.parametrize("m, sides, num", [(5, False, 85), (16, False, 85), (60, False, 85), (200, False, 85), (90, True, 85),
+                                           (200, False, 20), (90, True, 30)])
+def test_tree_join_connects_what_links_connect(m, sides, num):
     rng = np.random.default_rng(m)
     bases = [rng.integers(0, 2 ** 62, int(k)).astype(np.uint64) for k in rng.integers(3, 900, max(2, m // 6))]
     sets = []
     for _ in range(m):
         b = bases[rng.integers(len(bases))]
-        keep = rng.random(len(b)) > rng.choice([0, 0.02, 0.08, 0.2])
+        keep = rng.random(len(b)) > rng.choice([0, 0.02, 0.08, 0.2] if num == 85 else [0, 0.2, 0.5, 0.7, 0.77])
         sets.append(np.unique(np.concatenate([b[keep], rng.integers(0, 2 ** 62, int(len(b) * rng.choice([0, 0.03, 0.1])) + 1).astype(np.uint64)])))
     side = rng.integers(0, 2, m) if sides else None
-    links = brute_links([set(s.tolist()) for s in sets], 85, 100)
+    links = brute_links([set(s.tolist()) for s in sets], num, 100)
     if sides:
         links = {(i, j) for i, j in links if side[i] != side[j]}
     n = np.array([len(s) for s in sets])
 
     def linked(i, j):
         return np.array([(min(a, b), max(a, b)) in links for a, b in zip(i.tolist(), j.tolist())], bool)
-    got = signature_tree.tree_join([signature_tree.signature(s) for s in sets], n, 85, 100, linked, side)
+    got = signature_tree.tree_join([signature_tree.signature(s) for s in sets], n, num, 100, linked, side)
     assert parts_of(m, got) == parts_of(m, links) and len(got) == m - len(set(parts_of(m, links)))
 
 
@@ -132,8 +133,8 @@ def shingles_by_hand(t, n):
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("blocks", [False, True])
-def test_components_match_brute_force(spark, blocks, monkeypatch):
+@pytest.mark.parametrize("blocks, class_bits, num", [(False, 64, 85), (True, 64, 85), (False, 4, 85), (False, 64, 30)])
+def test_components_match_brute_force(spark, blocks, class_bits, num, monkeypatch):
     if blocks:      # groups of any size are joined by pairs of small blocks, members by a shuffle
         monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
         monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4096)
@@ -156,10 +157,10 @@ def test_components_match_brute_force(spark, blocks, monkeypatch):
     ids = list(range(100, 100 + len(texts)))
     rng.shuffle(ids)
     df = with_clashes(docs_frame(spark, texts, ids=ids))
-    rows = ngram_join.ngram_components(df).collect()
+    rows = ngram_join.ngram_components(df, num=num, class_bits=class_bits).collect()
     assert len(rows) == len(texts)
     sets = [shingles_by_hand(t, 4) for t in texts]
-    part = parts_of(len(texts), brute_links(sets, 85, 100))
+    part = parts_of(len(texts), brute_links(sets, num, 100))
     least = {}
     for k, p in enumerate(part):
         least[p] = min(least.get(p, 10 ** 9), ids[k])
