@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attemptlog.operators import encode as E
+from attemptlog.operators import fits as FT
 from attemptlog.operators import jobs as D
 from attemptlog.operators import metrics as M
 from attemptlog.operators import profile as P
@@ -167,3 +168,16 @@ def q_fit_struggle(spark, d):
 @register("tune_struggle")
 def q_tune_struggle(spark, d):
     return finalize(D.tune_struggle(_features(spark, d), FEATURES, grid=(0.0, 0.1)))
+
+
+@register("fit_struggle_models")
+def q_fit_struggle_models(spark, d):
+    x = cut_lineage(_features(spark, d).select(*FEATURES, "Label", "fold"))
+    models = FT.fit_models(x, FEATURES, grid=(0.0, 0.01, 0.1))
+    per = M.metrics_by_group(FT.score_held_out(x, models, FEATURES), 0.5, ["fold", "reg"])
+    return finalize(per.join(models.select("fold", "reg", "converged"), ["fold", "reg"]))
+
+
+@register("tune_struggle_models")
+def q_tune_struggle_models(spark, d):
+    return finalize(FT.tune_models(_features(spark, d), FEATURES, grid=(0.0, 0.01, 0.1)))
