@@ -41,12 +41,15 @@ def hashed_token_vector(text, dim: int = 64):
     column expression of built-in functions."""
     toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
     slots = F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
+
+    def counts(s):
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(s, lambda v: v == k)).cast("double"))
 
     def scaled(v):
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
         return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
-    return F.transform(F.array(counts), scaled)[0]
+    # a one-element array binds a value to a lambda, which then does not make it anew for each use
+    return F.transform(F.transform(F.array(slots), counts), scaled)[0]
 
 
 def embed_texts(snippets: DataFrame, fn: Callable[[list], list] | None = None,
