@@ -47,7 +47,7 @@ def hashed_token_vector(text, dim: int = 64):
 
     def scaled(v):
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+        return F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float")))[0]
     # a one-element array binds a value to a lambda, which then does not make it anew for each use
     return F.transform(F.transform(F.array(slots), counts), scaled)[0]
 
