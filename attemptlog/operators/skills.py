@@ -63,9 +63,13 @@ def raw_skills(df: DataFrame, size: int = 10, n: int = 30, latents: bool = False
     s = F.col("score_vec")
     if similarity:
         s = F.zip_with(F.col(similarity), s, lambda a, b: F.coalesce(a, F.lit(0.0)) * b)
-    return df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.aggregate(
-        F.zip_with(m, s, lambda v, x: F.coalesce(v[j], F.lit(0.0)) * x), F.lit(0.0),
-        lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))))
+
+    def per_concept(t):
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.aggregate(
+            F.zip_with(t["m"], t["s"], lambda v, x: F.coalesce(v[j], F.lit(0.0)) * x), F.lit(0.0),
+            lambda acc, x: acc + F.coalesce(x, F.lit(0.0))))
+    # a one-element array binds matrix and scores to a lambda, so they are made once and not for each concept
+    return df.withColumn(out, F.transform(F.array(F.struct(m.alias("m"), s.alias("s"))), per_concept)[0])
 
 
 def column_range(df: DataFrame, col: str, size: int) -> DataFrame:
